@@ -1,0 +1,301 @@
+"""Short-series models, fitted for many series of one length at a time.
+
+Each function takes a matrix with one series per row and returns forecasts with
+one row per series, plus a message for series the model cannot be fitted to.
+They run inside Spark tasks on batches of series; see ``forecast.fitted``.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+HOLT = "suavizacao_exponencial"
+ARIMA = "arima"
+MARKOV = "markov_switching"
+BOOSTING = "gradient_boosting"
+
+# Fixed values of the boosting model.
+TREES = 80
+RATE = 0.1
+ROW_SHARE = 0.8
+SEED = 42
+LAGS = 3
+MEAN_WINDOW = 5
+MIN_BOOSTING_POINTS = 15
+
+
+# ---- Holt: level and trend -------------------------------------------------
+
+def _holt_sse(y, alpha, beta):
+    """Best squared error and start values for each series and grid point. For fixed
+    (alpha, beta) each error is affine in the start level and trend, so one pass
+    collects the 2x2 normal equations."""
+    shape = np.broadcast_shapes((len(y), 1), alpha.shape)
+    level, trend = np.zeros(shape), np.zeros(shape)
+    l1, b1 = np.ones_like(alpha), np.zeros_like(alpha)
+    l2, b2 = np.zeros_like(alpha), np.ones_like(alpha)
+    s0, v1, v2 = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    m11, m12, m22 = np.zeros_like(alpha), np.zeros_like(alpha), np.zeros_like(alpha)
+    for t in range(y.shape[1]):
+        e0, e1, e2 = y[:, t:t + 1] - level - trend, -l1 - b1, -l2 - b2
+        s0 += e0 * e0
+        v1 += e0 * e1
+        v2 += e0 * e2
+        m11 += e1 * e1
+        m12 += e1 * e2
+        m22 += e2 * e2
+        level, trend = level + trend + alpha * e0, trend + alpha * beta * e0
+        l1, b1 = l1 + b1 + alpha * e1, b1 + alpha * beta * e1
+        l2, b2 = l2 + b2 + alpha * e2, b2 + alpha * beta * e2
+    m11, m22 = m11 + 1e-9, m22 + 1e-9
+    det = m11 * m22 - m12 * m12
+    x1 = (-v1 * m22 + v2 * m12) / det
+    x2 = (-v2 * m11 + v1 * m12) / det
+    return s0 + x1 * v1 + x2 * v2, x1, x2
+
+
+def holt(y, h):
+    steps = np.arange(0.05, 0.951, 0.05)
+    alpha, beta = (g.reshape(1, -1) for g in np.meshgrid(steps, steps, indexing="ij"))
+    rows = np.arange(len(y))
+    best = np.argmin(_holt_sse(y, alpha, beta)[0], axis=1)
+    near = np.linspace(-0.04, 0.04, 5)
+    da, db = (g.reshape(1, -1) for g in np.meshgrid(near, near, indexing="ij"))
+    alpha = np.clip(alpha[0, best][:, None] + da, 0.01, 0.99)
+    beta = np.clip(beta[0, best][:, None] + db, 0.01, 0.99)
+    sse, x1, x2 = _holt_sse(y, alpha, beta)
+    best = np.argmin(sse, axis=1)
+    alpha, beta = alpha[rows, best], beta[rows, best]
+    level, trend = x1[rows, best], x2[rows, best]
+    for t in range(y.shape[1]):
+        e = y[:, t] - level - trend
+        level, trend = level + trend + alpha * e, trend + alpha * beta * e
+    return level[:, None] + trend[:, None] * np.arange(1, h + 1), [None] * len(y)
+
+
+# ---- ARIMA(1,1,1) with drift -----------------------------------------------
+
+def _css(w, phi, theta):
+    """Conditional squared error with the drift solved exactly: errors are affine in it."""
+    shape = np.broadcast_shapes((len(w), 1), phi.shape)
+    a, c = np.zeros(shape), np.zeros_like(phi)
+    saa, sac, scc = np.zeros(shape), np.zeros(shape), np.zeros_like(phi)
+    for t in range(1, w.shape[1]):
+        a = w[:, t:t + 1] - phi * w[:, t - 1:t] - theta * a
+        c = phi - 1.0 - theta * c
+        saa += a * a
+        sac += a * c
+        scc += c * c
+    drift = -sac / scc
+    return saa + drift * sac, drift, a + c * drift
+
+
+def arima(y, h):
+    if y.shape[1] < 4:
+        return np.full((len(y), h), np.nan), ["série demasiado curta"] * len(y)
+    w = np.diff(y, axis=1)
+    steps = np.arange(-19, 20) * 0.05
+    phi, theta = (g.ravel() for g in np.meshgrid(steps, steps, indexing="ij"))
+    simple = np.argsort(np.abs(phi) + np.abs(theta), kind="stable")
+    phi, theta = phi[simple][None, :], theta[simple][None, :]
+    slack = 1e-10 * (w * w).sum(axis=1, keepdims=True)
+    rows = np.arange(len(y))
+
+    def first_best(sse):
+        return np.argmax(sse <= sse.min(axis=1, keepdims=True) + slack, axis=1)
+
+    best = first_best(_css(w, phi, theta)[0])
+    near = np.array([0.0, -0.0125, 0.0125, -0.025, 0.025])
+    dp, dt = (g.reshape(1, -1) for g in np.meshgrid(near, near, indexing="ij"))
+    phi = np.clip(phi[0, best][:, None] + dp, -0.99, 0.99)
+    theta = np.clip(theta[0, best][:, None] + dt, -0.99, 0.99)
+    sse, drift, last_error = _css(w, phi, theta)
+    best = first_best(sse)
+    phi, theta, drift, error = (m[rows, best] for m in (phi, theta, drift, last_error))
+    out, level, step = np.empty((len(y), h)), y[:, -1].copy(), w[:, -1]
+    for i in range(h):
+        step = drift + phi * (step - drift) + theta * error
+        error = 0.0
+        level = level + step
+        out[:, i] = level
+    return out, [None] * len(y)
+
+
+# ---- Markov-switching mean, two regimes ------------------------------------
+
+def _em_round(y, mean, var, move, start):
+    """One filter and smoother pass; ``move[s, i, j]`` is P(next = i | now = j)."""
+    s, n = y.shape
+    logd = -0.5 * (np.log(2 * np.pi * var)[:, None, :]
+                   + (y[:, :, None] - mean[:, None, :]) ** 2 / var[:, None, :])
+    top = logd.max(axis=2, keepdims=True)
+    dens = np.exp(logd - top)
+    filt, pred = np.empty((s, n, 2)), np.empty((s, n, 2))
+    loglik = top.sum(axis=(1, 2))
+    p = start
+    for t in range(n):
+        pred[:, t] = p
+        joint = p * dens[:, t]
+        scale = np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
+        filt[:, t] = joint / scale
+        loglik += np.log(scale[:, 0])
+        p = np.einsum("sij,sj->si", move, filt[:, t])
+    smooth = np.empty_like(filt)
+    smooth[:, -1] = filt[:, -1]
+    flow = np.zeros((s, 2, 2))
+    for t in range(n - 2, -1, -1):
+        ratio = smooth[:, t + 1] / np.maximum(pred[:, t + 1], 1e-300)
+        joint = move * ratio[:, :, None] * filt[:, t][:, None, :]
+        flow += joint
+        smooth[:, t] = joint.sum(axis=1)
+    return loglik, smooth, flow
+
+
+def markov(y, h, rounds=200, tolerance=1e-6):
+    s, n = y.shape
+    spread = y.var(axis=1)
+    failed = np.array([None] * s, dtype=object)
+    failed[~(spread > 0)] = "variância nula"
+    live = np.flatnonzero(spread > 0)
+    out = np.full((s, h), np.nan)
+    if len(live) == 0:
+        return out, list(failed)
+    z = y[live]
+    floor = 1e-8 * spread[live][:, None]
+    high = z > np.median(z, axis=1, keepdims=True)
+    sides = np.stack([~high, high], axis=2).astype(float)
+    empty = sides.sum(axis=1).min(axis=1) == 0
+    sides[empty] = 0.5
+
+    def moments(weight):
+        total = np.maximum(weight.sum(axis=1), 1e-300)
+        mean = (weight * z[:, :, None]).sum(axis=1) / total
+        var = (weight * (z[:, :, None] - mean[:, None, :]) ** 2).sum(axis=1) / total
+        return mean, np.maximum(var, floor)
+
+    mean, var = moments(sides)
+    move = np.tile(np.array([[0.9, 0.1], [0.1, 0.9]]), (len(live), 1, 1))
+    start = np.full((len(live), 2), 0.5)
+    last = np.full(len(live), -np.inf)
+    smooth = sides
+    done = np.zeros(len(live), dtype=bool)
+    for _ in range(rounds):
+        loglik, new_smooth, flow = _em_round(z, mean, var, move, start)
+        keep = done[:, None]
+        smooth = np.where(keep[:, :, None], smooth, new_smooth)
+        new_mean, new_var = moments(smooth)
+        new_move = flow / np.maximum(flow.sum(axis=1, keepdims=True), 1e-300)
+        mean, var = np.where(keep, mean, new_mean), np.where(keep, var, new_var)
+        move = np.where(keep[:, :, None], move, new_move)
+        start = np.where(keep, start, smooth[:, 0])
+        with np.errstate(invalid="ignore"):
+            done |= np.abs(loglik - last) <= tolerance * np.maximum(1.0, np.abs(loglik))
+        last = loglik
+        if done.all():
+            break
+    weak = smooth.sum(axis=1).min(axis=1) < 1.0
+    p, rows = smooth[:, -1], np.empty((len(live), h))
+    for i in range(h):
+        p = np.einsum("sij,sj->si", move, p)
+        rows[:, i] = (p * mean).sum(axis=1)
+    rows[weak] = np.nan
+    failed[live[weak]] = "um dos regimes ficou sem pontos"
+    out[live] = rows
+    return out, list(failed)
+
+
+# ---- Gradient boosting on calendar and lags --------------------------------
+
+def _day_features(days):
+    dates = days.astype("datetime64[D]")
+    weekday = (days + 3) % 7                     # day 0 was a Thursday
+    day = (dates - dates.astype("datetime64[M]")).astype(int) + 1
+    return np.stack([weekday, day, weekday >= 5], axis=-1).astype(float)
+
+
+def _row(past):
+    """Lags 1..3 and mean of the last values, from a matrix of earlier values."""
+    return np.column_stack([past[:, -1], past[:, -2], past[:, -3], past[:, -MEAN_WINDOW:].mean(axis=1)])
+
+
+def _best_split(order, ordered_x, residual, weight):
+    """Feature, threshold and gain of the best cut of each series' node."""
+    s, n, f = order.shape
+    r = np.take_along_axis(np.broadcast_to((residual * weight)[:, :, None], order.shape), order, 1)
+    w = np.take_along_axis(np.broadcast_to(weight[:, :, None], order.shape), order, 1)
+    left_r, left_w = r.cumsum(axis=1)[:, :-1], w.cumsum(axis=1)[:, :-1]
+    right_r = r.sum(axis=1, keepdims=True) - left_r
+    right_w = w.sum(axis=1, keepdims=True) - left_w
+    usable = (ordered_x[:, :-1] < ordered_x[:, 1:]) & (left_w > 0) & (right_w > 0)
+    lw, rw = np.maximum(left_w, 1), np.maximum(right_w, 1)
+    gain = np.where(usable, lw * rw / (lw + rw) * (left_r / lw - right_r / rw) ** 2, 0.0)
+    flat = gain.reshape(s, -1)
+    best = flat.argmax(axis=1)
+    at, feature = best // f, best % f
+    rows = np.arange(s)
+    cut = (ordered_x[rows, at, feature] + ordered_x[rows, at + 1, feature]) / 2
+    value = flat[rows, best]
+    return feature, np.where(value > 1e-12, cut, np.inf), np.where(value > 1e-12, value, 0.0)
+
+
+def _mean_where(residual, weight):
+    return (residual * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1)
+
+
+def boosting(first_day, y, h):
+    """Forecasts, messages and feature importances."""
+    s, n = y.shape
+    if n < MIN_BOOSTING_POINTS:
+        nothing = np.full((s, h), np.nan)
+        return nothing, [f"histórico insuficiente ({n} pontos, mínimo {MIN_BOOSTING_POINTS})"] * s, None
+    days = first_day[:, None] + np.arange(n + h)[None, :]
+    when = _day_features(days)
+    x = np.stack([np.column_stack([when[:, i], _row(y[:, :i])]) for i in range(LAGS, n)], axis=1)
+    target = y[:, LAGS:]
+    m = target.shape[1]
+    order = x.argsort(axis=1, kind="stable")
+    ordered = np.take_along_axis(x, order, 1)
+    rng = np.random.default_rng(SEED)
+    base = target.mean(axis=1)
+    fitted = np.repeat(base[:, None], m, axis=1)
+    rows = np.arange(s)
+    importance = np.zeros((s, x.shape[2]))
+    trees = []
+    for _ in range(TREES):
+        bag = np.zeros(m)
+        bag[rng.choice(m, max(1, int(ROW_SHARE * m)), replace=False)] = 1.0
+        weight = np.broadcast_to(bag, (s, m))
+        residual = target - fitted
+        feature, cut, gain = _best_split(order, ordered, residual, weight)
+        importance[rows, feature] += gain
+        left = x[rows, :, feature] <= cut[:, None]
+        leaves, splits = [], []
+        update = np.empty_like(fitted)
+        for side in (left, ~left):
+            inside = weight * side
+            f2, c2, g2 = _best_split(order, ordered, residual, inside)
+            importance[rows, f2] += g2
+            low = x[rows, :, f2] <= c2[:, None]
+            a, b = _mean_where(residual, inside * low), _mean_where(residual, inside * ~low)
+            update = np.where(side, np.where(low, a[:, None], b[:, None]), update)
+            splits.append((f2, c2))
+            leaves.append((a, b))
+        fitted = fitted + RATE * update
+        trees.append((feature, cut, splits, leaves))
+
+    def predict(row):
+        total = base.copy()
+        for feature, cut, splits, leaves in trees:
+            (fl, cl), (fr, cr) = splits
+            (la, lb), (ra, rb) = leaves
+            on_left = np.where(row[rows, fl] <= cl, la, lb)
+            on_right = np.where(row[rows, fr] <= cr, ra, rb)
+            total += RATE * np.where(row[rows, feature] <= cut, on_left, on_right)
+        return total
+
+    history, out = y, np.empty((s, h))
+    for i in range(h):
+        out[:, i] = predict(np.column_stack([when[:, n + i], _row(history)]))
+        history = np.column_stack([history[:, -MEAN_WINDOW:], out[:, i]])
+    share = importance / np.maximum(importance.sum(axis=1, keepdims=True), 1e-300)
+    return out, [None] * s, share
