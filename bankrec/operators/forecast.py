@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -178,9 +178,13 @@ def backtest(series: DataFrame, k: int = 5, boosting: bool = False,
     return scores.unionByName(fit_scores)
 
 
+def model_order() -> Column:
+    return F.array_position(F.array(*[F.lit(m) for m in MODEL_ORDER]), F.col("modelo"))
+
+
 def best_model(scores: DataFrame) -> DataFrame:
     """Lowest RMSE per series; on ties the first in model order, boosting last."""
-    order = F.array_position(F.array(*[F.lit(m) for m in MODEL_ORDER]), F.col("modelo"))
+    order = model_order()
     return (scores.where("rmse is not null").groupBy("serie")
             .agg(F.min_by("modelo", F.struct("rmse", order)).alias("melhor_modelo"),
                  F.min("rmse").alias("rmse")))
