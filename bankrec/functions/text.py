@@ -14,6 +14,9 @@ STOP_WORDS = ("LDA", "SA", "DE", "DA", "DO", "E")
 _RANGES = ((0xA0, 0x24F), (0x1E00, 0x1EFF), (0x2000, 0x200A), (0x2070, 0x209F),
            (0x2100, 0x218F), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFF01, 0xFF5E))
 
+NON_ASCII = r"[^\x00-\x7F]"
+MARKS = r"\p{Mn}"
+
 
 def _plain(char: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
@@ -25,22 +28,38 @@ _SINGLE = {c: p for c, p in _MAP.items() if len(p) == 1}
 _MULTI = {c: p for c, p in _MAP.items() if len(p) != 1}
 # Spacing accents decompose to a blank; they never separate words.
 _SPACING = "".join(c for c, p in _MAP.items() if p[:1] == " " and not c.isspace())
+# one literal that Spark folds into a map, rather than an expression per entry
+_MULTI_TEXT = ";".join(f"{c}={p}" for c, p in _MULTI.items())
+
+
+def quoted(text: str) -> str:
+    """A SQL string literal, taken as it is."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+def _fold(col: str, drop: str = "") -> str:
+    """Plain ASCII text, the common case, passes through untouched."""
+    kept = [c for c in _SINGLE if c not in drop]
+    # characters without a counterpart at the end are removed
+    single = (f"translate({col}, {quoted(''.join(kept) + drop)}, "
+              f"{quoted(''.join(_SINGLE[c] for c in kept))})")
+    table = f"str_to_map({quoted(_MULTI_TEXT)}, ';', '=')"
+    letters = f"transform(split({single}, ''), c -> coalesce(try_element_at({table}, c), c))"
+    folded = (f"case when {single} rlike {quoted('[' + ''.join(_MULTI) + ']')} "
+              f"then array_join({letters}, '') else {single} end")
+    return (f"case when {col} rlike {quoted(NON_ASCII)} "
+            f"then regexp_replace({folded}, {quoted(MARKS)}, '') else {col} end")
 
-def strip_accents(col: Column | str) -> Column:
-    """Compatibility decomposition without combining marks. Plain ASCII text, the
-    common case, passes through untouched."""
-    col = F.col(col) if isinstance(col, str) else col
-    single = F.translate(col, "".join(_SINGLE), "".join(_SINGLE.values()))
-    table = F.create_map(*[F.lit(x) for pair in _MULTI.items() for x in pair])
-    letters = F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
-    folded = F.when(single.rlike("[" + "".join(_MULTI) + "]"), F.array_join(letters, "")).otherwise(single)
-    return F.when(col.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"\p{Mn}", "")).otherwise(col)
 
+def strip_accents(col: str) -> Column:
+    """Compatibility decomposition without combining marks; ``col`` is a column name
+    or a SQL expression."""
+    return F.expr(_fold(col))
 
-def normalize(col: Column | str) -> Column:
+
+def normalize(col: str) -> Column:
     """Accent-free upper case, letters A-Z and digits only."""
-    return F.regexp_replace(F.upper(strip_accents(col)), "[^A-Z0-9]", "")
+    return F.expr(f"regexp_replace(upper({_fold(col)}), '[^A-Z0-9]', '')")
 
 
 def _stop_word_pattern() -> str:
@@ -50,13 +69,15 @@ def _stop_word_pattern() -> str:
     return rf"(?<![^\s,])(?:{words})(?![^\s,])"
 
 
-def company_key(col: Column | str) -> Column:
+def company_key(col: str) -> Column:
     """Company name without legal-form words, for equality across spellings."""
-    col = F.col(col) if isinstance(col, str) else col
-    if _SPACING:
-        col = F.when(col.rlike(f"[{_SPACING}]"), F.translate(col, _SPACING, "")).otherwise(col)
-    upper = F.upper(strip_accents(col))
-    return F.regexp_replace(F.regexp_replace(upper, _stop_word_pattern(), ""), "[^A-Z0-9]", "")
+    without = f"regexp_replace(upper({_fold(col, drop=_SPACING)}), {quoted(_stop_word_pattern())}, '')"
+    return F.expr(f"regexp_replace({without}, '[^A-Z0-9]', '')")
+
+
+def key_of(name: str) -> Column:
+    """Company key of one name."""
+    return company_key(quoted(name))
 
 
 def case_text(empresa: Column, descricao: Column, valor: Column) -> Column:

@@ -95,5 +95,6 @@ FEATURE_LABELS = {
 def label(col: Column | str, labels: dict[str, str]) -> Column:
     """Display name, or the value itself when it has none."""
     col = _col(col)
-    table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    pairs = ";".join(f"{k}={v}" for k, v in labels.items())
+    table = F.str_to_map(F.lit(pairs), F.lit(";"), F.lit("="))
     return F.coalesce(F.try_element_at(table, col), col)

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bankrec import skew
+from bankrec.session import task_count
 
 MIN_HISTORY = 10
 TREES = 100
@@ -99,13 +100,10 @@ def fit(movimentos: DataFrame) -> DataFrame:
     Trees draw from at most ``SAMPLE_ROWS`` movements of a company, picked by hash;
     the rank limit is applied before the shuffle, so a large company sends few rows.
     """
-    spark = movimentos.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                spark.sparkContext.defaultParallelism)
     place = F.row_number().over(W.partitionBy("empresa").orderBy(F.xxhash64("id", F.lit(SEED)), "id"))
     sample = (movimentos.select("id", "empresa", F.col("valor").cast("double").alias("valor"))
               .withColumn("_r", place).where(F.col("_r") <= SAMPLE_ROWS))
-    companies = (sample.repartition(tasks, "empresa").groupBy("empresa")
+    companies = (sample.repartition(task_count(movimentos.sparkSession), "empresa").groupBy("empresa")
                  .agg(F.array_sort(F.collect_list("valor")).alias("valores"))
                  .where(F.size("valores") >= MIN_HISTORY)
                  .withColumn("semente", F.abs(F.xxhash64("empresa") % (1 << 31))))

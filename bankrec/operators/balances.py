@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bankrec.functions.text import company_key
+from bankrec.functions.text import key_of
 
 _MONEY = ["saldo_contabilistico", "saldo_disponivel"]
 
 
 def lookup(saldos: DataFrame, empresa: str, dia: date | None = None) -> DataFrame:
-    rows = saldos.where(F.col("chave") == company_key(F.lit(empresa)))
+    rows = saldos.where(F.col("chave") == key_of(empresa))
     return rows if dia is None else rows.where(F.col("dia") == F.lit(dia))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bankrec.functions.text import company_key
+from bankrec.functions.text import key_of
 from bankrec.functions.values import payment, receipt
 
 
@@ -17,7 +17,7 @@ def companies(movimentos: DataFrame) -> DataFrame:
 def company_history(movimentos: DataFrame, empresa: str) -> DataFrame:
     """All movements of a company under any spelling, by day. ``chave`` is stored
     with the rows, so the test on it reaches the scan."""
-    return (movimentos.where(F.col("chave") == company_key(F.lit(empresa)))
+    return (movimentos.where(F.col("chave") == key_of(empresa))
             .select("id", "dia", "descricao", "valor").orderBy("dia", "id"))
 
 

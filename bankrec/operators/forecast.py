@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from bankrec.functions.values import FEATURE_LABELS, MODEL_LABELS, label
 from bankrec.operators import models, series as s
+from bankrec.session import task_count
 
 MIN_POINTS = 5
 LINEAR, AVERAGE = "regressao_linear", "media_movel"
@@ -104,10 +105,7 @@ def fitted(series: DataFrame, h: int, boosting: bool = False) -> DataFrame:
     """``(serie, modelo, passo, valor, falha, importancia)`` of the iterative models.
     A model that cannot be fitted gives one row with ``falha``; boosting gives one
     row with its importances at ``passo`` 0. ``boosting`` needs consecutive days."""
-    spark = series.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                spark.sparkContext.defaultParallelism)
-    rows = (series.repartition(tasks, "serie").groupBy("serie")
+    rows = (series.repartition(task_count(series.sparkSession), "serie").groupBy("serie")
             .agg(F.array_sort(F.collect_list(F.struct("t", "valor"))).alias("p"),
                  F.min(F.unix_date("dia")).alias("primeiro"))
             .select("serie", "primeiro", F.col("p.valor").alias("valores")))

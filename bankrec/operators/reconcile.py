@@ -39,9 +39,8 @@ def movement_groups(movimentos: DataFrame) -> DataFrame:
     return movimentos.groupBy(*KEYS).agg(F.count("*").alias("n_mov"))
 
 
-def _state(n_linhas: Column, is_first: Column) -> Column:
-    return (F.when(n_linhas.isNull(), "novo").when(n_linhas >= 2, "ambiguo")
-            .when(is_first, "exato").otherwise("novo"))
+_STATE = """case when n_linhas is null then 'novo' when n_linhas >= 2 then 'ambiguo'
+                 when id = _primeiro then 'exato' else 'novo' end"""
 
 
 def classify(pendentes: DataFrame, linhas: DataFrame, min_rows: int = skew.MIN_ROWS) -> DataFrame:
@@ -53,17 +52,18 @@ def classify(pendentes: DataFrame, linhas: DataFrame, min_rows: int = skew.MIN_R
     """
     buckets = skew.overfull_buckets(pendentes, KEYS, min_rows)
     hot_first = (skew.in_overfull(pendentes, KEYS, buckets).groupBy(*KEYS)
-                 .agg(F.min("id").alias("_primeiro")))
-    lookup = line_groups(linhas).join(hot_first, KEYS, "left")
+                 .agg(F.expr("min(id) as _em_quente")))
+    lookup = (line_groups(linhas).withColumnRenamed("linha_id", "_linha")
+              .join(hot_first, KEYS, "left"))
     joined = (skew.add_part(pendentes, KEYS, buckets, by="id")
               .join(skew.copy_to_parts(lookup, KEYS, buckets), [*KEYS, "_parte"], "left"))
-    local_first = F.min("id").over(W.partitionBy(*KEYS, "_parte"))
-    marked = joined.withColumn("_primeiro", F.coalesce("_primeiro", local_first))
-    state = _state(F.col("n_linhas"), F.col("id") == F.col("_primeiro"))
-    return (marked.withColumn("tipo_match", state)
-            .withColumn("linha_id", F.when(F.col("tipo_match") == "exato", F.col("linha_id")))
-            .withColumn("grupo", F.when(F.col("tipo_match") == "ambiguo", F.col("_primeiro")))
-            .drop("_primeiro", "_parte"))
+    columns = pendentes.columns
+    first = "coalesce(_em_quente, min(id) over (partition by dia, chave, valor, _parte)) as _primeiro"
+    return (joined.selectExpr(*columns, "n_linhas", "_linha", first)
+            .selectExpr(*columns, "n_linhas", "_linha", "_primeiro", f"{_STATE} as tipo_match")
+            .selectExpr(*columns, "n_linhas", "tipo_match",
+                        "case when tipo_match = 'exato' then _linha end as linha_id",
+                        "case when tipo_match = 'ambiguo' then _primeiro end as grupo"))
 
 
 def reconciliations(classificados: DataFrame, ts: Column | None = None) -> DataFrame:

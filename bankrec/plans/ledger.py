@@ -9,65 +9,61 @@ from pyspark.sql import functions as F
 from bankrec.functions.text import company_key
 
 _MONEY = "decimal(18,2)"
+# the columns in use; named here so that no file has to be opened for its schema
+_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("o_totalprice").cast(_MONEY)
-    return (load(spark, sf_dir, "orders")
-            .join(load(spark, sf_dir, "customer").select("c_custkey", "c_name"),
-                  F.col("o_custkey") == F.col("c_custkey"))
-            .select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("dia"), "c_name",
-                    F.when(F.col("o_orderstatus") == "F", -v).otherwise(v).cast(_MONEY).alias("v"),
-                    "o_orderpriority"))
+    joined = load(spark, sf_dir, "orders").join(
+        load(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+    return joined.selectExpr(
+        "o_orderkey as k", "to_date(o_orderdate) as dia", "c_name", "o_orderpriority",
+        "cast(case when o_orderstatus = 'F' then -o_totalprice else o_totalprice end as decimal(18,2)) as v")
 
 
 def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter A: one movement per order, some of them twice. Copies come from one
     scan by exploding, not from a second read."""
-    copies = F.when(F.col("k") % 17 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = (_orders(spark, sf_dir).where("k % 10 <> 9").withColumn("c", F.explode(copies))
-            .withColumn("empresa", F.when(F.col("c") == 0, F.concat(F.upper("c_name"), F.lit(",LDA")))
-                        .otherwise(F.col("c_name"))))
-    return rows.select(
-        (F.col("k") * 2 + F.col("c")).alias("id"), "dia", "empresa",
-        F.col("o_orderpriority").alias("descricao"), F.col("v").alias("valor"),
-        F.concat(F.date_format("dia", "dd-MM-yyyy"), F.lit("_"), F.col("empresa"),
-                 F.lit(".xlsx")).alias("ficheiro_origem"),
-        company_key("empresa").alias("chave"))
+    rows = _orders(spark, sf_dir).where("k % 10 <> 9").selectExpr(
+        "*", "explode(if(k % 17 = 0, array(0, 1), array(0))) as c")
+    named = rows.selectExpr("2 * k + c as id", "dia",
+                            "if(c = 0, concat(upper(c_name), ',LDA'), c_name) as empresa",
+                            "o_orderpriority as descricao", "v as valor")
+    return named.select("*", F.expr("concat(date_format(dia, 'dd-MM-yyyy'), '_', empresa, '.xlsx')")
+                        .alias("ficheiro_origem"), company_key("empresa").alias("chave"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter A: one planned line per order, some of them twice, some already paid."""
-    copies = F.when(F.col("k") % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = (_orders(spark, sf_dir).where("k % 7 <> 6").withColumn("c", F.explode(copies))
-            .withColumn("empresa", F.when(F.col("c") == 0, F.col("c_name"))
-                        .otherwise(F.concat("c_name", F.lit(" SA")))))
-    return rows.select(
-        (F.col("k") * 2 + F.col("c")).alias("id"), "dia",
-        F.when(F.col("v") >= 0, "recebimento").otherwise("pagamento").alias("tipo"),
-        (F.lit(5) + F.col("k") % 40).cast("int").alias("linha"), "empresa",
-        F.col("v").alias("previsto"),
-        F.when((F.col("c") == 0) & (F.col("k") % 13 == 0), F.col("v")).alias("pago"),
-        F.concat(F.lit("IMP"), (F.col("k") % 5).cast("string")).alias("imputacao"),
-        company_key("empresa").alias("chave"))
+    rows = _orders(spark, sf_dir).where("k % 7 <> 6").selectExpr(
+        "*", "explode(if(k % 11 = 0, array(0, 1), array(0))) as c")
+    named = rows.selectExpr(
+        "2 * k + c as id", "dia", "if(v >= 0, 'recebimento', 'pagamento') as tipo",
+        "cast(5 + k % 40 as int) as linha", "if(c = 0, c_name, concat(c_name, ' SA')) as empresa",
+        "v as previsto", "case when c = 0 and k % 13 = 0 then v end as pago",
+        "concat('IMP', k % 5) as imputacao")
+    return named.select("*", company_key("empresa").alias("chave"))
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter B: one movement per event."""
-    v = F.col("value").cast(_MONEY)
-    empresa = F.concat(F.lit("Conta "), F.col("user_id").cast("string"), F.lit(", SA"))
-    return (load(spark, sf_dir, "events")
-            .select(F.col("event_id").alias("id"), F.to_date("ts").alias("dia"),
-                    empresa.alias("empresa"), F.col("event_type").alias("descricao"),
-                    F.when(F.col("event_type").isin("error", "view"), -v).otherwise(v)
-                    .cast(_MONEY).alias("valor"))
-            .withColumn("ficheiro_origem", F.concat(F.date_format("dia", "dd-MM-yyyy"), F.lit("_"),
-                                                    F.col("empresa"), F.lit(".xlsx")))
-            .withColumn("chave", company_key("empresa")))
+    rows = load(spark, sf_dir, "events").selectExpr(
+        "event_id as id", "to_date(ts) as dia", "concat('Conta ', user_id, ', SA') as empresa",
+        "event_type as descricao",
+        "cast(if(event_type in ('error', 'view'), -value, value) as decimal(18,2)) as valor")
+    return rows.select("*", F.expr("concat(date_format(dia, 'dd-MM-yyyy'), '_', empresa, '.xlsx')")
+                       .alias("ficheiro_origem"), company_key("empresa").alias("chave"))
 
 
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:

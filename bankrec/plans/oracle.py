@@ -122,7 +122,7 @@ ultimas as (
   from execucoes group by script),
 devidas as (
   select nome, max(timestamp '2024-01-30 00:00:00' + h) devida from (
-    select nome, cast(trim(unnest(string_split(hora_execucao, ','))) as time) - time '00:00:00' h from scripts)
+    select nome, cast(trim(unnest(string_split(hora_execucao, ','))) as interval) h from scripts)
   where timestamp '2024-01-30 00:00:00' + h <= timestamp '2024-01-30 12:55:00' group by nome),
 situacao as (
   select s.*, coalesce(u.status, 'ok') status, u.erro ultima_erro,
@@ -271,7 +271,7 @@ ORACLE: dict[str, str] = {
         "round(lag(valor, 2) over w, 4) lag_2, round(lag(valor, 3) over w, 4) lag_3, "
         "round(avg(valor) over (partition by serie order by t rows between 5 preceding and 1 preceding), 4) "
         "media_movel_5, round(valor, 4) valor from serie "
-        "qualify t >= 3 window w as (partition by serie order by t)", _SERIES),
+        "window w as (partition by serie order by t) qualify t >= 3", _SERIES),
     "forecast_too_short": _sql(
         "select chave serie, count(*) n, 'Histórico insuficiente (' || count(*) || ' pontos, mínimo 25)' motivo "
         "from saldos group by chave having count(*) < 25", _FLOWS),

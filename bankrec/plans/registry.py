@@ -155,7 +155,7 @@ def _half_resolved(spark, sf):
     m, lines, run, found, options, decisions = _decided(spark, sf)
     named = decisions.where("linha_id is not null")
     done = cases.apply_decisions(named, found, options, reconcile.reconciliations(run), lines)
-    return m, lines, done.casos, options
+    return m, lines, done.casos.checkpoint(), options
 
 
 def open_cases(spark, sf):
@@ -356,7 +356,7 @@ def prompts(spark, sf):
     m, lines, found, options = _half_resolved(spark, sf)
     vectors = ledger.load(spark, sf, "embeddings").select(
         (F.col("vec_id") * 2).alias("caso_id"), "embedding")
-    own = found.select(F.col("id").alias("caso_id"), "resolvido_por").join(vectors, "caso_id")
+    own = found.select(F.col("id").alias("caso_id"), "resolvido_por").join(vectors, "caso_id").checkpoint()
     near = similarity.top_k(own.where("resolvido_por is null").select("caso_id", "embedding"),
                             own.where("resolvido_por is not null").select("caso_id", "embedding"))
     return suggestions.prompts(found, options, lines, m, near)

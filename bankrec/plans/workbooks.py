@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bankrec.session import task_count
 from bankrec.sources.paths import plan_path, statement_folder
 
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -97,7 +98,8 @@ def statement_files(movimentos: DataFrame, saldos: DataFrame, root: str) -> Data
     rows = (movimentos.join(closing, ["dia", "empresa"], "left")
             .select("id", "descricao", "valor", "saldo_contabilistico", "saldo_disponivel",
                     F.date_format("dia", "dd-MM-yyyy").alias("dia_texto"), path.alias("path")))
-    return rows.groupBy("path").applyInPandas(_statement_file, "path string, content binary")
+    return (rows.repartition(task_count(rows.sparkSession), "path").groupBy("path")
+            .applyInPandas(_statement_file, "path string, content binary"))
 
 
 def _plan_file(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -124,4 +126,5 @@ def plan_files(linhas: DataFrame, root: str) -> DataFrame:
         "id", "empresa", "previsto", "pago", "imputacao",
         F.when(F.col("tipo") == "recebimento", 1).otherwise(-1).alias("sinal"),
         path.alias("path"), F.date_format("dia", "dd").alias("folha"))
-    return rows.groupBy("path", "folha").applyInPandas(_plan_file, "path string, content binary")
+    return (rows.repartition(task_count(rows.sparkSession), "path", "folha").groupBy("path", "folha")
+            .applyInPandas(_plan_file, "path string, content binary"))

@@ -41,3 +41,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
+
+
+def task_count(spark: SparkSession) -> int:
+    """Tasks for work that is heavy for its few bytes, which would otherwise be
+    gathered into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               spark.sparkContext.defaultParallelism)

@@ -21,37 +21,34 @@ ROWS_PER_PART = 1_000_000
 
 
 def _bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(BUCKETS)).cast("int")
+    return F.expr(f"cast(pmod(xxhash64({', '.join(keys)}), {BUCKETS}) as int)").alias("_balde")
 
 
 def overfull_buckets(df: DataFrame, keys: Sequence[str], min_rows: int = MIN_ROWS) -> DataFrame:
     """``(_balde, _partes)`` for hash buckets with more than four times their fair
     share of the rows. One column-pruned scan; at most ``BUCKETS`` rows."""
-    counts = df.groupBy(_bucket(keys).alias("_balde")).agg(F.count("*").alias("_n"))
-    # one window over at most BUCKETS rows
-    total = F.sum("_n").over(W.partitionBy(F.lit(0)))
-    target = F.greatest(F.lit(float(min_rows)), 4.0 * total / BUCKETS)
-    return (counts.withColumn("_alvo", target).where("_n > _alvo")
-            .select("_balde", F.ceil(F.col("_n") / F.col("_alvo")).cast("int").alias("_partes")))
+    counts = df.groupBy(_bucket(keys)).agg(F.expr("count(*) as _n"))
+    # the window sees at most BUCKETS rows
+    target = f"greatest({float(min_rows)}, 4.0 * sum(_n) over (partition by 0) / {BUCKETS})"
+    return (counts.selectExpr("_balde", "_n", f"{target} as _alvo").where("_n > _alvo")
+            .selectExpr("_balde", "cast(ceil(_n / _alvo) as int) as _partes"))
 
 
 def add_part(df: DataFrame, keys: Sequence[str], buckets: DataFrame, by: str) -> DataFrame:
     """Give each row the part it belongs to; ``by`` is what tells rows of a key apart."""
-    tagged = df.withColumn("_balde", _bucket(keys)).join(F.broadcast(buckets), "_balde", "left")
-    part = F.pmod(F.xxhash64(by), F.coalesce("_partes", F.lit(1))).cast("int")
-    return tagged.withColumn("_parte", part).drop("_balde", "_partes")
+    tagged = df.select("*", _bucket(keys)).join(F.broadcast(buckets), "_balde", "left")
+    return tagged.selectExpr(*df.columns, f"cast(pmod(xxhash64({by}), coalesce(_partes, 1)) as int) as _parte")
 
 
 def copy_to_parts(df: DataFrame, keys: Sequence[str], buckets: DataFrame) -> DataFrame:
     """One copy of each row per part of its bucket."""
-    tagged = df.withColumn("_balde", _bucket(keys)).join(F.broadcast(buckets), "_balde", "left")
-    parts = F.sequence(F.lit(0), F.coalesce("_partes", F.lit(1)) - 1)
-    return tagged.withColumn("_parte", F.explode(parts)).drop("_balde", "_partes")
+    tagged = df.select("*", _bucket(keys)).join(F.broadcast(buckets), "_balde", "left")
+    return tagged.selectExpr(*df.columns, "explode(sequence(0, coalesce(_partes, 1) - 1)) as _parte")
 
 
 def in_overfull(df: DataFrame, keys: Sequence[str], buckets: DataFrame) -> DataFrame:
-    return (df.withColumn("_balde", _bucket(keys))
-            .join(F.broadcast(buckets.select("_balde")), "_balde", "left_semi").drop("_balde"))
+    return (df.select("*", _bucket(keys))
+            .join(F.broadcast(buckets.select("_balde")), "_balde", "left_semi").select(*df.columns))
 
 
 def join_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, by: str,
