@@ -14,12 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bankrec import skew
-from bankrec.session import task_count
+from bankrec.session import deal_out, ensure_checkpoint_dir
 
 MIN_HISTORY = 10
 TREES = 100
 TREE_ROWS = 256
 SAMPLE_ROWS = 1000       # rows a company's trees draw from
+AMOUNTS_PER_PART = 100_000
 SEED = 42
 _MODEL_SCHEMA = "empresa string, cortes array<double>, notas array<double>"
 _SCORE_SCHEMA = "empresa string, centimos long, n long, nota double"
@@ -87,64 +88,76 @@ def fit_forest(values: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return cuts[by_cut], -np.exp2(-(sums / TREES) / scale)
 
 
+def samples(movimentos: DataFrame) -> DataFrame:
+    """``(empresa, amostra, semente)`` of eligible companies: at most ``SAMPLE_ROWS``
+    amounts each, picked by hash. The rank limit is applied before the shuffle, so a
+    large company sends few rows."""
+    place = F.row_number().over(W.partitionBy("empresa").orderBy(F.xxhash64("id", F.lit(SEED)), "id"))
+    picked = (movimentos.select("id", "empresa", F.col("valor").cast("double").alias("valor"))
+              .withColumn("_r", place).where(F.col("_r") <= SAMPLE_ROWS))
+    return (picked.groupBy("empresa").agg(F.array_sort(F.collect_list("valor")).alias("amostra"))
+            .where(F.size("amostra") >= MIN_HISTORY)
+            .withColumn("semente", F.abs(F.xxhash64("empresa") % (1 << 31))))
+
+
 def _fit_batches(batches):
     for batch in batches:
-        rows = [(name, *(part.tolist() for part in fit_forest(np.asarray(values, dtype=float), seed)))
-                for name, values, seed in zip(batch["empresa"], batch["valores"], batch["semente"])]
+        rows = [(name, *fit_forest(np.asarray(sample, dtype=float), seed))
+                for name, sample, seed in zip(batch["empresa"], batch["amostra"], batch["semente"])]
         yield pd.DataFrame(rows, columns=["empresa", "cortes", "notas"])
 
 
 def fit(movimentos: DataFrame) -> DataFrame:
-    """One row per eligible company: the forest as cut points and interval scores.
+    """One row per eligible company: its forest as cut points and interval scores."""
+    return deal_out(samples(movimentos), "empresa").mapInPandas(_fit_batches, _MODEL_SCHEMA)
 
-    Trees draw from at most ``SAMPLE_ROWS`` movements of a company, picked by hash;
-    the rank limit is applied before the shuffle, so a large company sends few rows.
-    """
-    place = F.row_number().over(W.partitionBy("empresa").orderBy(F.xxhash64("id", F.lit(SEED)), "id"))
-    sample = (movimentos.select("id", "empresa", F.col("valor").cast("double").alias("valor"))
-              .withColumn("_r", place).where(F.col("_r") <= SAMPLE_ROWS))
-    companies = (sample.repartition(task_count(movimentos.sparkSession), "empresa").groupBy("empresa")
-                 .agg(F.array_sort(F.collect_list("valor")).alias("valores"))
-                 .where(F.size("valores") >= MIN_HISTORY)
-                 .withColumn("semente", F.abs(F.xxhash64("empresa") % (1 << 31))))
-    return companies.mapInPandas(_fit_batches, _MODEL_SCHEMA)
 
-
-def _score_part(key, amounts: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    if len(amounts) == 0 or len(model) == 0:
-        return pd.DataFrame(columns=["empresa", "centimos", "n", "nota"])
-    cuts, scores = model["cortes"].iloc[0], model["notas"].iloc[0]
-    at = np.searchsorted(cuts, amounts["centimos"].to_numpy() / 100.0, side="left")
-    return pd.DataFrame({"empresa": amounts["empresa"], "centimos": amounts["centimos"],
-                         "n": amounts["n"], "nota": np.asarray(scores)[at]})
+def _score_batches(batches):
+    for batch in batches:
+        forests, parts = {}, []
+        for row in batch.itertuples(index=False):
+            if row.empresa not in forests:
+                forests[row.empresa] = fit_forest(np.asarray(row.amostra, dtype=float), row.semente)
+            cuts, scores = forests[row.empresa]
+            parts.append(scores[np.searchsorted(cuts, row.centimos / 100.0, side="left")])
+        if parts:
+            sizes = batch["centimos"].map(len)
+            yield pd.DataFrame({"empresa": np.repeat(batch["empresa"].to_numpy(), sizes),
+                                "centimos": np.concatenate(batch["centimos"].to_numpy()),
+                                "n": np.concatenate(batch["n"].to_numpy()),
+                                "nota": np.concatenate(parts)})
 
 
 def _cents():
-    return (F.col("valor") * 100).cast("long").alias("centimos")
+    return F.expr("cast(valor * 100 as bigint) as centimos")
 
 
-def score_amounts(movimentos: DataFrame, rows_per_part: int = skew.ROWS_PER_PART) -> DataFrame:
+def score_amounts(movimentos: DataFrame, rows_per_part: int = AMOUNTS_PER_PART) -> DataFrame:
     """Distinct amounts of each eligible company with their count and score. Lower
-    is more unusual."""
+    is more unusual. A company with many distinct amounts is scored in parts; its
+    small sample goes to each, and its forest, being seeded, is the same in each."""
     amounts = (movimentos.select("empresa", _cents()).groupBy("empresa", "centimos")
                .agg(F.count("*").alias("n")))
-    # how many distinct amounts a company has decides how many tasks score it
     heavy = skew.parts_of_heavy_keys(amounts.groupBy("empresa").agg(F.count("*").alias("_n")),
                                      "_n", rows_per_part)
-    part = F.pmod(F.xxhash64("centimos"), F.coalesce("_partes", F.lit(1))).cast("int")
-    spread = amounts.join(F.broadcast(heavy), "empresa", "left").withColumn("_parte", part)
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_partes", F.lit(1)) - 1))
-    forests = fit(movimentos).join(F.broadcast(heavy), "empresa", "left").withColumn("_parte", copies)
-    return (spread.drop("_partes").groupBy("empresa", "_parte")
-            .cogroup(forests.drop("_partes").groupBy("empresa", "_parte"))
-            .applyInPandas(_score_part, _SCORE_SCHEMA))
+    parts = (amounts.join(F.broadcast(heavy), "empresa", "left")
+             .groupBy("empresa", F.expr("pmod(xxhash64(centimos), coalesce(_partes, 1)) as _parte"))
+             .agg(F.collect_list(F.struct("centimos", "n")).alias("a")))
+    copies = (samples(movimentos).join(F.broadcast(heavy), "empresa", "left").selectExpr(
+        "empresa", "amostra", "semente", "explode(sequence(0L, coalesce(_partes, 1) - 1L)) as _parte"))
+    rows = parts.join(copies, ["empresa", "_parte"]).selectExpr(
+        "empresa", "amostra", "semente", "a.centimos as centimos", "a.n as n",
+        "concat(empresa, '/', _parte) as _onde")
+    return deal_out(rows, "_onde").drop("_onde").mapInPandas(_score_batches, _SCORE_SCHEMA)
 
 
 def flag(movimentos: DataFrame, contaminacao: float = 0.1, dia=None,
-         min_rows: int = skew.MIN_ROWS, rows_per_part: int = skew.ROWS_PER_PART) -> DataFrame:
+         min_rows: int = skew.MIN_ROWS, rows_per_part: int = AMOUNTS_PER_PART) -> DataFrame:
     """Movements whose score is strictly below the contamination quantile of their
     company's whole history. ``dia`` limits the answer, not the history."""
-    scored = score_amounts(movimentos, rows_per_part)
+    ensure_checkpoint_dir(movimentos.sparkSession)
+    # read three times below, and dear to make
+    scored = score_amounts(movimentos, rows_per_part).checkpoint()
     threshold = scored.groupBy("empresa").agg(
         F.percentile("nota", F.lit(contaminacao), F.col("n")).alias("limite"))
     unusual = (skew.join_lookup(scored, threshold, ["empresa"], "inner", by="centimos",

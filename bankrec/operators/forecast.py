@@ -1,10 +1,11 @@
 """Forecasts and hold-out evaluation of every series at once.
 
-The linear trend and the moving average are Spark aggregates. The other models
+The linear trend and the moving average are Spark expressions. The other models
 are iterative fits of short series: Spark gathers each series into one row, deals
 the rows out by series, and each task fits its batches of series with numpy.
 A daily series has at most one value per calendar day, so a row stays small
-however many movements are behind it.
+however many movements are behind it. History, forecasts and held-out values
+travel in that row, so nothing is joined back.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ from pyspark.sql import functions as F
 
 from bankrec.functions.values import FEATURE_LABELS, MODEL_LABELS, label
 from bankrec.operators import models, series as s
-from bankrec.session import task_count
+from bankrec.session import deal_out
 
 MIN_POINTS = 5
 LINEAR, AVERAGE = "regressao_linear", "media_movel"
 MODEL_ORDER = [LINEAR, AVERAGE, models.HOLT, models.ARIMA, models.MARKOV, models.BOOSTING]
-_SERIES_PER_FIT = 128
-_FIT_SCHEMA = ("serie string, modelo string, passo int, valor double, falha string, "
-               "importancia array<double>")
+_SERIES_PER_FIT = 512
+_MODEL = "struct<modelo:string,falha:string,valores:array<double>,importancia:array<double>>"
+_FIT_SCHEMA = ("serie string, primeiro int, ultimo date, valores array<double>, real array<double>, "
+               f"modelos array<{_MODEL}>")
 
 
 def long_enough(series: DataFrame, minimum: int = MIN_POINTS) -> DataFrame:
@@ -67,58 +69,81 @@ def simple(series: DataFrame, h: int) -> DataFrame:
     return linear(series, h).unionByName(moving_average(series, h))
 
 
+def gather(series: DataFrame) -> DataFrame:
+    """One row per series: first and last day, and the values in order."""
+    return (series.groupBy("serie")
+            .agg(F.array_sort(F.collect_list(F.struct("t", "valor"))).alias("p"),
+                 F.expr("min(unix_date(dia)) as primeiro"), F.expr("max(dia) as ultimo"))
+            .selectExpr("serie", "primeiro", "ultimo", "p.valor as valores",
+                        "cast(null as array<double>) as real"))
+
+
+def hold_out(linhas: DataFrame, k: int) -> DataFrame:
+    """Gathered series cut into training values and the last ``k``, where long enough."""
+    return linhas.where(f"size(valores) >= {MIN_POINTS + k}").selectExpr(
+        "serie", "primeiro", "ultimo", f"slice(valores, 1, size(valores) - {k}) as valores",
+        f"slice(valores, -{k}, {k}) as real")
+
+
 def _fit_batches(h: int, boosting: bool):
     fits = [(models.HOLT, models.holt), (models.ARIMA, models.arima), (models.MARKOV, models.markov)]
 
-    def rows_of(names, model, forecast, failed, shares=None):
+    def entries(model, forecast, failed, shares=None):
         ok = np.isfinite(forecast).all(axis=1)
-        for i, name in enumerate(names):
+        for i, values in enumerate(forecast):
             if failed[i] or not ok[i]:
-                yield name, model, None, None, failed[i] or "previsão não finita", None
-                continue
-            for step, value in enumerate(forecast[i], 1):
-                yield name, model, step, float(value), None, None
-            if shares is not None:
-                yield name, model, 0, None, None, shares[i].tolist()
+                yield {"modelo": model, "falha": failed[i] or "previsão não finita",
+                       "valores": None, "importancia": None}
+            else:
+                yield {"modelo": model, "falha": None, "valores": values,
+                       "importancia": None if shares is None else shares[i]}
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lengths = batch["valores"].map(len)
-            for _, same in batch.groupby(lengths):
+            for _, same in batch.groupby(batch["valores"].map(len)):
                 for at in range(0, len(same), _SERIES_PER_FIT):
                     part = same.iloc[at:at + _SERIES_PER_FIT]
-                    names, y = part["serie"].tolist(), np.stack(part["valores"].to_numpy())
-                    out = []
+                    y = np.stack(part["valores"].to_numpy())
                     with np.errstate(all="ignore"):
-                        for model, function in fits:
-                            out += rows_of(names, model, *function(y, h))
+                        per_model = [list(entries(m, *function(y, h))) for m, function in fits]
                         if boosting:
                             first = part["primeiro"].to_numpy()
-                            out += rows_of(names, models.BOOSTING, *models.boosting(first, y, h))
-                    yield pd.DataFrame(out, columns=["serie", "modelo", "passo", "valor", "falha",
-                                                     "importancia"]).astype({"passo": "Int32"})
+                            per_model.append(list(entries(models.BOOSTING, *models.boosting(first, y, h))))
+                    yield part.assign(modelos=[list(row) for row in zip(*per_model)])
 
     return fit
 
 
-def fitted(series: DataFrame, h: int, boosting: bool = False) -> DataFrame:
-    """``(serie, modelo, passo, valor, falha, importancia)`` of the iterative models.
-    A model that cannot be fitted gives one row with ``falha``; boosting gives one
-    row with its importances at ``passo`` 0. ``boosting`` needs consecutive days."""
-    rows = (series.repartition(task_count(series.sparkSession), "serie").groupBy("serie")
-            .agg(F.array_sort(F.collect_list(F.struct("t", "valor"))).alias("p"),
-                 F.min(F.unix_date("dia")).alias("primeiro"))
-            .select("serie", "primeiro", F.col("p.valor").alias("valores")))
-    return rows.mapInPandas(_fit_batches(h, boosting), _FIT_SCHEMA)
+def fitted(linhas: DataFrame, h: int, boosting: bool = False) -> DataFrame:
+    """Gathered series with ``modelos``: the forecast of each iterative model, or the
+    reason it has none. ``boosting`` needs consecutive days."""
+    return deal_out(linhas, "serie").mapInPandas(_fit_batches(h, boosting), _FIT_SCHEMA)
+
+
+def _with_simple(linhas: DataFrame, h: int) -> DataFrame:
+    """Prepend the linear trend and the moving average, from sums over the values."""
+    n = "cast(size(valores) as double)"
+    total = "aggregate(valores, 0D, (a, x) -> a + x)"
+    product = "aggregate(transform(valores, (x, i) -> x * i), 0D, (a, x) -> a + x)"
+    last = f"slice(valores, -least(size(valores), {s.MEAN_WINDOW}), {s.MEAN_WINDOW})"
+    sums = linhas.selectExpr("*", f"{n} as _n", f"{total} as _y", f"{product} as _ty")
+    slope = sums.selectExpr("*", "(_ty - (_n - 1) / 2 * _y) / (_n * (_n * _n - 1) / 12) as _m")
+    model = "named_struct('modelo', '{}', 'falha', cast(null as string), 'valores', {}, 'importancia', " \
+            "cast(null as array<double>))"
+    line = f"transform(sequence(1, {h}), i -> _y / _n + _m * ((_n - 1) / 2 + i))"
+    flat = f"array_repeat(aggregate({last}, 0D, (a, x) -> a + x) / size({last}), {h})"
+    both = f"array({model.format(LINEAR, line)}, {model.format(AVERAGE, flat)})"
+    rest = "modelos" if "modelos" in linhas.columns else f"cast(array() as array<{_MODEL}>)"
+    return slope.selectExpr("serie", "ultimo", "real", f"concat({both}, {rest}) as modelos")
 
 
 def forecast(series: DataFrame, h: int = 7, boosting: bool = False) -> DataFrame:
     """Forecasts of all models, long form ``(serie, modelo, dia, valor)``. Series
     under the minimum and models that fail are left out."""
-    usable = long_enough(series)
-    steps = simple(usable, h).unionByName(
-        fitted(usable, h, boosting).where("passo >= 1").select("serie", "modelo", "passo", "valor"))
-    return steps.join(s.horizon(usable, h), ["serie", "passo"]).select("serie", "modelo", "dia", "valor")
+    rows = gather(series).where(f"size(valores) >= {MIN_POINTS}")
+    return (_with_simple(fitted(rows, h, boosting), h).selectExpr("serie", "ultimo", "inline(modelos)")
+            .where("falha is null").selectExpr("serie", "modelo", "ultimo", "posexplode(valores) as (_i, valor)")
+            .selectExpr("serie", "modelo", "date_add(ultimo, _i + 1) as dia", "valor"))
 
 
 def forecast_simple(series: DataFrame, h: int = 7) -> DataFrame:
@@ -137,43 +162,24 @@ def cashflow(movimentos: DataFrame, h: int = 7) -> DataFrame:
 
 def feature_importance(series: DataFrame) -> DataFrame:
     """Importance of each boosting feature per series; sums to 1."""
-    names = F.array(*[F.lit(n) for n in s.FEATURES])
-    pairs = F.arrays_zip(names.alias("feature"), F.col("importancia").alias("importancia"))
-    return (fitted(long_enough(series), 1, boosting=True).where("passo = 0")
-            .select("serie", F.inline(pairs))
+    names = ", ".join(f"'{n}'" for n in s.FEATURES)
+    rows = gather(series).where(f"size(valores) >= {MIN_POINTS}")
+    return (fitted(rows, 1, boosting=True).selectExpr("serie", "inline(modelos)")
+            .where("importancia is not null")
+            .selectExpr("serie", f"explode(arrays_zip(array({names}), importancia)) as p")
+            .selectExpr("serie", "p['0'] as feature", "p.importancia as importancia")
             .withColumn("nome", label("feature", FEATURE_LABELS)))
 
 
-def _split(series: DataFrame, k: int) -> DataFrame:
-    sizes = (series.groupBy("serie").agg(F.count("*").alias("n"))
-             .where(F.col("n") >= MIN_POINTS + k))
-    return series.join(sizes, "serie").withColumn("passo", (F.col("t") - F.col("n") + k + 1).cast("int"))
-
-
-def _score(predicted: DataFrame, held_out: DataFrame) -> DataFrame:
-    real = held_out.select("serie", "passo", F.col("valor").alias("real"))
-    error = F.sqrt(F.avg(F.pow(F.col("real") - F.col("valor"), 2)))
-    return (predicted.join(real, ["serie", "passo"]).groupBy("serie", "modelo")
-            .agg(error.alias("rmse")))
-
-
 def backtest(series: DataFrame, k: int = 5, boosting: bool = False,
              only_simple: bool = False) -> DataFrame:
     """RMSE of each model on the last ``k`` values, fitted on the rest:
     ``(serie, modelo, rmse, falha)``."""
-    parts = _split(series, k)
-    train = parts.where("passo < 1").select("serie", "t", "dia", "valor")
-    held_out = parts.where("passo >= 1")
-    scores = _score(simple(train, k), held_out).withColumn("falha", F.lit(None).cast("string"))
-    if only_simple:
-        return scores
-    fits = fitted(train, k, boosting)
-    # one fit gives both forecasts and failures, so it is joined and scored once
-    real = held_out.select("serie", "passo", F.col("valor").alias("real"))
-    error = F.sqrt(F.avg(F.pow(F.col("real") - F.col("valor"), 2)))
-    fit_scores = (fits.where("passo >= 1 or falha is not null").join(real, ["serie", "passo"], "left")
-                  .groupBy("serie", "modelo").agg(error.alias("rmse"), F.max("falha").alias("falha")))
-    return scores.unionByName(fit_scores)
+    rows = hold_out(gather(series), k)
+    scored = _with_simple(rows if only_simple else fitted(rows, k, boosting), k)
+    squares = "zip_with(real, valores, (x, y) -> (x - y) * (x - y))"
+    return scored.selectExpr("serie", "real", "inline(modelos)").selectExpr(
+        "serie", "modelo", f"sqrt(aggregate({squares}, 0D, (a, x) -> a + x) / {k}) as rmse", "falha")
 
 
 def model_order() -> Column:

@@ -90,7 +90,13 @@ def _css(w, phi, theta):
     return saa + drift * sac, drift, a + c * drift
 
 
-def arima(y, h):
+def arima(y, h, at_once=64):
+    """Many grid points per series: a few series at a time stay in cache."""
+    parts = [_arima(y[i:i + at_once], h) for i in range(0, len(y), at_once)]
+    return np.vstack([p[0] for p in parts]), [f for p in parts for f in p[1]]
+
+
+def _arima(y, h):
     if y.shape[1] < 4:
         return np.full((len(y), h), np.nan), ["série demasiado curta"] * len(y)
     w = np.diff(y, axis=1)
@@ -123,81 +129,81 @@ def arima(y, h):
 
 # ---- Markov-switching mean, two regimes ------------------------------------
 
-def _em_round(y, mean, var, move, start):
-    """One filter and smoother pass; ``move[s, i, j]`` is P(next = i | now = j)."""
-    s, n = y.shape
-    logd = -0.5 * (np.log(2 * np.pi * var)[:, None, :]
-                   + (y[:, :, None] - mean[:, None, :]) ** 2 / var[:, None, :])
-    top = logd.max(axis=2, keepdims=True)
-    dens = np.exp(logd - top)
-    filt, pred = np.empty((s, n, 2)), np.empty((s, n, 2))
-    loglik = top.sum(axis=(1, 2))
+def _em_round(z, mean, var, to_high, start):
+    """One filter and smoother pass over ``z`` (time by series). With two regimes one
+    probability, that of the high one, says all. ``to_high`` is the chance of being
+    in the high regime next, from the low and from the high one."""
+    n = len(z)
+    low, high = (-0.5 * (np.log(2 * np.pi * var[k]) + (z - mean[k]) ** 2 / var[k]) for k in (0, 1))
+    top = np.maximum(low, high)
+    low, high = np.exp(low - top), np.exp(high - top)
+    stay, gain = to_high[0], to_high[1] - to_high[0]
+    filt, pred, scale = np.empty_like(z), np.empty_like(z), np.empty_like(z)
     p = start
     for t in range(n):
-        pred[:, t] = p
-        joint = p * dens[:, t]
-        scale = np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
-        filt[:, t] = joint / scale
-        loglik += np.log(scale[:, 0])
-        p = np.einsum("sij,sj->si", move, filt[:, t])
-    smooth = np.empty_like(filt)
-    smooth[:, -1] = filt[:, -1]
-    flow = np.zeros((s, 2, 2))
+        pred[t] = p
+        h = p * high[t]
+        scale[t] = h + (1.0 - p) * low[t]
+        filt[t] = h / scale[t]
+        p = stay + gain * filt[t]
+    smooth, up, down = np.empty_like(z), np.empty_like(z), np.empty_like(z)
+    smooth[-1] = s = filt[-1]
     for t in range(n - 2, -1, -1):
-        ratio = smooth[:, t + 1] / np.maximum(pred[:, t + 1], 1e-300)
-        joint = move * ratio[:, :, None] * filt[:, t][:, None, :]
-        flow += joint
-        smooth[:, t] = joint.sum(axis=1)
-    return loglik, smooth, flow
+        up[t], down[t] = s / pred[t + 1], (1.0 - s) / (1.0 - pred[t + 1])
+        smooth[t] = s = filt[t] * (to_high[1] * up[t] + (1.0 - to_high[1]) * down[t])
+    rose = (to_high[0] * up[:-1] * (1.0 - filt[:-1])).sum(axis=0)
+    fell = ((1.0 - to_high[1]) * down[:-1] * filt[:-1]).sum(axis=0)
+    return (np.log(scale) + top).sum(axis=0), smooth, rose, fell
 
 
 def markov(y, h, rounds=200, tolerance=1e-6):
-    s, n = y.shape
     spread = y.var(axis=1)
-    failed = np.array([None] * s, dtype=object)
+    failed = np.array([None] * len(y), dtype=object)
     failed[~(spread > 0)] = "variância nula"
     live = np.flatnonzero(spread > 0)
-    out = np.full((s, h), np.nan)
+    out = np.full((len(y), h), np.nan)
     if len(live) == 0:
         return out, list(failed)
-    z = y[live]
-    floor = 1e-8 * spread[live][:, None]
-    high = z > np.median(z, axis=1, keepdims=True)
-    sides = np.stack([~high, high], axis=2).astype(float)
-    empty = sides.sum(axis=1).min(axis=1) == 0
-    sides[empty] = 0.5
-
-    def moments(weight):
-        total = np.maximum(weight.sum(axis=1), 1e-300)
-        mean = (weight * z[:, :, None]).sum(axis=1) / total
-        var = (weight * (z[:, :, None] - mean[:, None, :]) ** 2).sum(axis=1) / total
-        return mean, np.maximum(var, floor)
-
-    mean, var = moments(sides)
-    move = np.tile(np.array([[0.9, 0.1], [0.1, 0.9]]), (len(live), 1, 1))
-    start = np.full((len(live), 2), 0.5)
-    last = np.full(len(live), -np.inf)
-    smooth = sides
+    z = np.ascontiguousarray(y[live].T)
+    floor = 1e-8 * spread[live]
+    # probabilities are kept inside (0, 1), so no division is by zero
+    inside = lambda p: np.clip(p, 1e-12, 1 - 1e-12)
+
+    def moments(high):
+        mean, var = [], []
+        for weight in (1.0 - high, high):
+            total = np.maximum(weight.sum(axis=0), 1e-300)
+            mean.append((weight * z).sum(axis=0) / total)
+            var.append(np.maximum((weight * (z - mean[-1]) ** 2).sum(axis=0) / total, floor))
+        return np.stack(mean), np.stack(var)
+
+    smooth = (z > np.median(z, axis=0)).astype(float)
+    smooth[:, smooth.sum(axis=0) == 0] = 0.5
+    mean, var = moments(smooth)
+    to_high = np.repeat([[0.1], [0.9]], len(live), axis=1)
+    start, last = np.full(len(live), 0.5), np.full(len(live), -np.inf)
     done = np.zeros(len(live), dtype=bool)
     for _ in range(rounds):
-        loglik, new_smooth, flow = _em_round(z, mean, var, move, start)
-        keep = done[:, None]
-        smooth = np.where(keep[:, :, None], smooth, new_smooth)
+        loglik, new, rose, fell = _em_round(z, mean, var, to_high, start)
+        smooth = np.where(done, smooth, new)
         new_mean, new_var = moments(smooth)
-        new_move = flow / np.maximum(flow.sum(axis=1, keepdims=True), 1e-300)
-        mean, var = np.where(keep, mean, new_mean), np.where(keep, var, new_var)
-        move = np.where(keep[:, :, None], move, new_move)
-        start = np.where(keep, start, smooth[:, 0])
-        with np.errstate(invalid="ignore"):
-            done |= np.abs(loglik - last) <= tolerance * np.maximum(1.0, np.abs(loglik))
+        from_high = smooth[:-1].sum(axis=0)
+        from_low = len(z) - 1 - from_high
+        moves = inside(np.stack([rose / np.maximum(from_low, 1e-300),
+                                 1.0 - fell / np.maximum(from_high, 1e-300)]))
+        mean, var = np.where(done, mean, new_mean), np.where(done, var, new_var)
+        to_high = np.where(done, to_high, moves)
+        start = np.where(done, start, inside(smooth[0]))
+        done = done | (np.abs(loglik - last) <= tolerance * np.maximum(1.0, np.abs(loglik)))
         last = loglik
         if done.all():
             break
-    weak = smooth.sum(axis=1).min(axis=1) < 1.0
-    p, rows = smooth[:, -1], np.empty((len(live), h))
+    weight = smooth.sum(axis=0)
+    weak = np.minimum(weight, len(z) - weight) < 1.0
+    p, rows = smooth[-1], np.empty((len(live), h))
     for i in range(h):
-        p = np.einsum("sij,sj->si", move, p)
-        rows[:, i] = (p * mean).sum(axis=1)
+        p = to_high[0] + (to_high[1] - to_high[0]) * p
+        rows[:, i] = (1.0 - p) * mean[0] + p * mean[1]
     rows[weak] = np.nan
     failed[live[weak]] = "um dos regimes ficou sem pontos"
     out[live] = rows
@@ -242,12 +248,18 @@ def _mean_where(residual, weight):
     return (residual * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1)
 
 
-def boosting(first_day, y, h):
+def boosting(first_day, y, h, at_once=64):
     """Forecasts, messages and feature importances."""
     s, n = y.shape
     if n < MIN_BOOSTING_POINTS:
         nothing = np.full((s, h), np.nan)
         return nothing, [f"histórico insuficiente ({n} pontos, mínimo {MIN_BOOSTING_POINTS})"] * s, None
+    parts = [_boosting(first_day[i:i + at_once], y[i:i + at_once], h) for i in range(0, s, at_once)]
+    return np.vstack([p[0] for p in parts]), [None] * s, np.vstack([p[1] for p in parts])
+
+
+def _boosting(first_day, y, h):
+    s, n = y.shape
     days = first_day[:, None] + np.arange(n + h)[None, :]
     when = _day_features(days)
     x = np.stack([np.column_stack([when[:, i], _row(y[:, :i])]) for i in range(LAGS, n)], axis=1)
@@ -298,4 +310,4 @@ def boosting(first_day, y, h):
         out[:, i] = predict(np.column_stack([when[:, n + i], _row(history)]))
         history = np.column_stack([history[:, -MEAN_WINDOW:], out[:, i]])
     share = importance / np.maximum(importance.sum(axis=1, keepdims=True), 1e-300)
-    return out, [None] * s, share
+    return out, share

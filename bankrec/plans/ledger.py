@@ -25,10 +25,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = load(spark, sf_dir, "orders").join(
-        load(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+    # keys are made once per company, not once per order
+    named = load(spark, sf_dir, "customer").selectExpr(
+        "*", "concat(upper(c_name), ',LDA') as nome_lda", "concat(c_name, ' SA') as nome_sa")
+    keyed = named.select("*", company_key("c_name").alias("chave"),
+                         company_key("nome_lda").alias("chave_lda"), company_key("nome_sa").alias("chave_sa"))
+    joined = load(spark, sf_dir, "orders").join(keyed, F.expr("o_custkey = c_custkey"))
     return joined.selectExpr(
-        "o_orderkey as k", "to_date(o_orderdate) as dia", "c_name", "o_orderpriority",
+        "o_orderkey as k", "to_date(o_orderdate) as dia", "c_name", "nome_lda", "nome_sa", "chave",
+        "chave_lda", "chave_sa", "o_orderpriority",
         "cast(case when o_orderstatus = 'F' then -o_totalprice else o_totalprice end as decimal(18,2)) as v")
 
 
@@ -37,23 +42,22 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan by exploding, not from a second read."""
     rows = _orders(spark, sf_dir).where("k % 10 <> 9").selectExpr(
         "*", "explode(if(k % 17 = 0, array(0, 1), array(0))) as c")
-    named = rows.selectExpr("2 * k + c as id", "dia",
-                            "if(c = 0, concat(upper(c_name), ',LDA'), c_name) as empresa",
-                            "o_orderpriority as descricao", "v as valor")
-    return named.select("*", F.expr("concat(date_format(dia, 'dd-MM-yyyy'), '_', empresa, '.xlsx')")
-                        .alias("ficheiro_origem"), company_key("empresa").alias("chave"))
+    empresa = "if(c = 0, nome_lda, c_name)"
+    return rows.selectExpr(
+        "2 * k + c as id", "dia", f"{empresa} as empresa", "o_orderpriority as descricao", "v as valor",
+        f"concat(date_format(dia, 'dd-MM-yyyy'), '_', {empresa}, '.xlsx') as ficheiro_origem",
+        "if(c = 0, chave_lda, chave) as chave")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter A: one planned line per order, some of them twice, some already paid."""
     rows = _orders(spark, sf_dir).where("k % 7 <> 6").selectExpr(
         "*", "explode(if(k % 11 = 0, array(0, 1), array(0))) as c")
-    named = rows.selectExpr(
+    return rows.selectExpr(
         "2 * k + c as id", "dia", "if(v >= 0, 'recebimento', 'pagamento') as tipo",
-        "cast(5 + k % 40 as int) as linha", "if(c = 0, c_name, concat(c_name, ' SA')) as empresa",
+        "cast(5 + k % 40 as int) as linha", "if(c = 0, c_name, nome_sa) as empresa",
         "v as previsto", "case when c = 0 and k % 13 = 0 then v end as pago",
-        "concat('IMP', k % 5) as imputacao")
-    return named.select("*", company_key("empresa").alias("chave"))
+        "concat('IMP', k % 5) as imputacao", "if(c = 0, chave, chave_sa) as chave")
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,6 +302,12 @@ def anomaly_eligible(spark, sf):
     return anomaly.eligible(ledger.flows(spark, sf))
 
 
+def anomaly_models(spark, sf):
+    """Size and range of each company's forest."""
+    return plain(anomaly.fit(ledger.flows(spark, sf)).selectExpr(
+        "empresa", "size(cortes) as n_cortes", "array_min(notas) as menor", "array_max(notas) as maior"), 6)
+
+
 def anomaly_flags(spark, sf):
     return plain(anomaly.flag(ledger.flows(spark, sf)).select("id", "empresa", "valor", "score"), 4)
 
@@ -426,7 +432,7 @@ QUERIES: dict[str, Query] = {q.__name__: q for q in (
     balances_latest, balances_asof, balance_total, balance_top10, balance_series, cashflow_series,
     forecast_linear, forecast_moving_average, forecast_features, forecast_too_short, chart_series,
     backtest_simple, best_simple_model, forecast_balance, forecast_cashflow, feature_importance,
-    backtest_all, anomaly_eligible, anomaly_flags, script_status, overdue, late_scripts,
+    backtest_all, anomaly_eligible, anomaly_models, anomaly_flags, script_status, overdue, late_scripts,
     recent_runs, runs_of_script, record_runs, log_errors, similar_cases, prompts, import_plan,
     workbook_import, plan_import)}
 QUERIES["suggestions"] = suggestions_parsed

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +49,9 @@ def task_count(spark: SparkSession) -> int:
     gathered into one task."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                spark.sparkContext.defaultParallelism)
+
+
+def deal_out(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out to ``task_count`` tasks by a hash of their own, so that an
+    earlier partitioning by ``key`` does not stand in for it."""
+    return rows.repartition(task_count(rows.sparkSession), F.xxhash64(key))

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 BUCKETS = 8192           # rows of the histogram, at most
 MIN_ROWS = 1_000_000     # a bucket below this is never split
-ROWS_PER_PART = 1_000_000
 
 
 def _bucket(keys: Sequence[str]) -> Column:
@@ -61,7 +60,7 @@ def join_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return spread.join(copies, [*keys, "_parte"], how).drop("_parte")
 
 
-def parts_of_heavy_keys(counts: DataFrame, n: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+def parts_of_heavy_keys(counts: DataFrame, n: str, rows_per_part: int) -> DataFrame:
     """Keys of a per-key count that need more than one part. A table of N rows has
     at most N / rows_per_part of them, so the result may be broadcast."""
     return (counts.where(F.col(n) > rows_per_part)

@@ -155,3 +155,11 @@ def test_chart(spark):
     rows = forecast.chart_series(df, forecast.forecast_simple(df, 2)).collect()
     assert {r.tipo_linha for r in rows} == {"Histórico", "Previsão"}
     assert {r.nome for r in rows} == {"Histórico", "Regressão linear", "Média móvel"}
+
+
+def test_row_and_column_forms_of_the_simple_models_agree(spark):
+    rng = np.random.default_rng(4)
+    df = long(spark, {f"s{i}": rng.normal(0, 50, 6 + i).cumsum() for i in range(6)})
+    columns = {(r.serie, r.modelo, r.dia): r.valor for r in forecast.forecast_simple(df, 4).collect()}
+    rows = {(r.serie, r.modelo, r.dia): r.valor for r in forecast.forecast(df, 4).collect()}
+    assert columns == {k: pytest.approx(rows[k]) for k in columns}
