@@ -30,11 +30,11 @@ def ambiguous_cases(classificados: DataFrame) -> DataFrame:
 
 
 def candidates(classificados: DataFrame, linhas: DataFrame) -> DataFrame:
-    """``(grupo, linha_id, n_candidatos)``: the open lines of each ambiguous group."""
+    """``(dia, grupo, linha_id, n_candidatos)``: the open lines of each ambiguous group."""
     groups = (classificados.where("tipo_match = 'ambiguo'").groupBy(*KEYS)
               .agg(F.min("grupo").alias("grupo"), F.min("n_linhas").alias("n_candidatos")))
     return (skew.join_lookup(open_lines(linhas), groups, KEYS, "inner", by="id")
-            .select("grupo", F.col("id").alias("linha_id"), "n_candidatos"))
+            .select("dia", "grupo", F.col("id").alias("linha_id"), "n_candidatos"))
 
 
 def candidate_lists(candidatos: DataFrame) -> DataFrame:
@@ -89,8 +89,8 @@ def apply_decisions(decisoes: DataFrame, casos: DataFrame, candidatos: DataFrame
                          F.col("valor").alias("caso_valor"))
     known = decisoes.join(cases, "caso_id", "left")
     allowed = candidatos.select("grupo", "linha_id", F.lit(True).alias("_candidato"))
-    to_line = (known.where("movimento_id is not null and linha_id is not null")
-               .join(allowed, ["grupo", "linha_id"], "left"))
+    to_line = skew.join_lookup(known.where("movimento_id is not null and linha_id is not null"),
+                               allowed, ["grupo", "linha_id"], "left", by="caso_id")
     valid = (to_line.where("_candidato").drop("_candidato")
              .unionByName(known.where("movimento_id is not null and linha_id is null")))
     rejected = (known.where("movimento_id is null").select("caso_id", "linha_id",

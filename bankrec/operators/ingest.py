@@ -33,7 +33,7 @@ def assign_ids(novas: DataFrame, existentes: DataFrame, origem: str, ordem: list
             .withColumn("id", F.col("_base") + rank).drop("_base"))
 
 
-def import_movements(root: str, celulas: DataFrame, dias: DataFrame | None = None,
+def import_movements(root: str, celulas: DataFrame, dias: list[date] | None = None,
                      lote: int = 0) -> DataFrame:
     """Write the movements of whole days (``dias``, or all days of the files); a day
     with a rejected file waits. Writing a day again replaces it. Returns the rows
@@ -43,23 +43,22 @@ def import_movements(root: str, celulas: DataFrame, dias: DataFrame | None = Non
     bad = (statements.rejected(celulas).select(statements.statement_day("path").alias("dia"))
            .where("dia is not null").distinct())
     rows = rows.join(bad, "dia", "left_anti")
-    if dias is not None:
-        rows = rows.join(dias.select("dia").distinct(), "dia", "left_semi")
-    others = schema.read_table(spark, root, MOVEMENTS).where(F.col("lote") != lote)
-    numbered = assign_ids(rows, others.select("dia", "id"), "path", ["row"])
+    dias = schema.days_of(rows) if dias is None else dias
+    others = schema.read_table(spark, root, MOVEMENTS, dias).where(F.col("lote") != lote)
+    numbered = assign_ids(rows.where(F.col("dia").isin(dias)), others.select("dia", "id"), "path", ["row"])
     written = numbered.withColumn("lote", F.lit(lote).cast("long")).checkpoint()
     schema.write_table(written, root, MOVEMENTS, mode="overwrite")
     return written
 
 
-def import_balances(root: str, celulas: DataFrame, dias: DataFrame | None = None) -> DataFrame:
+def import_balances(root: str, celulas: DataFrame, dias: list[date] | None = None) -> DataFrame:
     """Append balances that are not there yet, by day and entity. Returns what was added."""
     spark = celulas.sparkSession
     found = statements.statement_balances(celulas).where("dia is not null")
-    if dias is not None:
-        found = found.join(dias.select("dia").distinct(), "dia", "left_semi")
-    existing = schema.read_table(spark, root, BALANCES)
-    new = found.join(existing.select("dia", "entidade"), ["dia", "entidade"], "left_anti")
+    dias = schema.days_of(found) if dias is None else dias
+    existing = schema.read_table(spark, root, BALANCES, dias)
+    new = (found.where(F.col("dia").isin(dias))
+           .join(existing.select("dia", "entidade"), ["dia", "entidade"], "left_anti"))
     added = assign_ids(new, existing.select("dia", "id"), "entidade", ["dia"]).checkpoint()
     schema.write_table(added, root, BALANCES)
     return added
@@ -70,19 +69,19 @@ def refresh_balances(root: str, celulas: DataFrame, dia: date) -> DataFrame:
     unless the files were read."""
     spark = celulas.sparkSession
     found = statements.statement_balances(celulas).where(F.col("dia") == F.lit(dia))
-    nothing = schema.read_table(spark, root, BALANCES).where("false").select("dia", "id")
+    nothing = schema.read_table(spark, root, BALANCES, []).select("dia", "id")
     written = assign_ids(found, nothing, "entidade", ["dia"]).checkpoint()
     schema.write_table(written, root, BALANCES, mode="overwrite")
     return written
 
 
-def import_plan(root: str, celulas: DataFrame, dias: DataFrame | None = None) -> DataFrame:
+def import_plan(root: str, celulas: DataFrame, dias: list[date] | None = None) -> DataFrame:
     """Write the plan lines of whole days."""
     spark = celulas.sparkSession
     rows = plan_sheet.plan_lines(celulas)
     if dias is not None:
-        rows = rows.join(dias.select("dia").distinct(), "dia", "left_semi")
-    nothing = schema.read_table(spark, root, PLAN).where("false").select("dia", "id")
+        rows = rows.where(F.col("dia").isin(dias))
+    nothing = schema.read_table(spark, root, PLAN, []).select("dia", "id")
     written = assign_ids(rows, nothing, "path", ["tipo", "linha"]).checkpoint()
     schema.write_table(written, root, PLAN, mode="overwrite")
     return written
@@ -142,9 +141,9 @@ def import_days(spark: SparkSession, root: str, pasta: str, dias: list[date],
         return report, errors
     wanted = spark.createDataFrame([(d,) for d in there], "dia date")
 
-    def absent(table: str) -> DataFrame:
-        stored = schema.read_table(spark, root, table).select("dia").distinct()
-        return wanted.join(stored, "dia", "left_anti")
+    def absent(table: str) -> list[date]:
+        stored = set(schema.days_of(schema.read_table(spark, root, table, there)))
+        return [d for d in there if d not in stored]
 
     def count(rows: DataFrame, table: str) -> DataFrame:
         return rows.groupBy("dia").agg(F.count("*").alias("linhas")).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +26,7 @@ RECONCILIACOES = _struct(movimento_id=_LONG, linha_id=_LONG, tipo_match=_TEXT, t
 CASOS = _struct(id=_LONG, movimento_id=_LONG, dia=_DAY, empresa=_TEXT, valor=MONEY, grupo=_LONG,
                 n_candidatos=_LONG, resolvido_por=_TEXT, resolucao=_TEXT,
                 resolucao_sugerida=_TEXT, justificacao_sugerida=_TEXT)
-CANDIDATOS = _struct(grupo=_LONG, linha_id=_LONG, n_candidatos=_LONG)
+CANDIDATOS = _struct(dia=_DAY, grupo=_LONG, linha_id=_LONG, n_candidatos=_LONG)
 DECISOES = _struct(caso_id=_LONG, linha_id=_LONG, resolvido_por=_TEXT, ts=_TS)
 SALDOS = _struct(id=_LONG, dia=_DAY, entidade=_TEXT, saldo_contabilistico=MONEY,
                  saldo_disponivel=MONEY, chave=_TEXT)
@@ -41,7 +43,7 @@ TABLES = {
     "linhas": (LINHAS, ["dia"]),
     "reconciliacoes": (RECONCILIACOES, ["dia"]),
     "casos": (CASOS, ["dia"]),
-    "candidatos": (CANDIDATOS, []),
+    "candidatos": (CANDIDATOS, ["dia"]),
     "saldos": (SALDOS, ["dia"]),
     "execucoes": (EXECUCOES, []),
 }
@@ -66,6 +68,14 @@ def create_tables(spark: SparkSession, root: str) -> None:
         write_table(spark.createDataFrame([], schema), root, name)
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, root: str, name: str,
+               dias: list[date] | None = None) -> DataFrame:
+    """A table, or the partitions of some days only."""
     schema, _ = TABLES[name]
-    return spark.read.schema(schema).parquet(table_path(root, name))
+    rows = spark.read.schema(schema).parquet(table_path(root, name))
+    return rows if dias is None else rows.where(F.col("dia").isin(dias))
+
+
+def days_of(df: DataFrame) -> list[date]:
+    """The days in a frame; a calendar's worth of values at most."""
+    return [r["dia"] for r in df.where("dia is not null").select("dia").distinct().collect()]

@@ -22,7 +22,8 @@ def import_batch(root: str, ficheiros: DataFrame, batch_id: int) -> None:
     lote = batch_id + 1                          # 0 is the batch import
     cells = workbook.cells(ficheiros).checkpoint()
     rows = statements.statement_movements(cells).where("dia is not null")
-    others = schema.read_table(spark, root, "movimentos").where(F.col("lote") != lote)
+    others = (schema.read_table(spark, root, "movimentos", schema.days_of(rows))
+              .where(F.col("lote") != lote))
     new = rows.join(others.select("dia", "ficheiro_origem").distinct(), ["dia", "ficheiro_origem"],
                     "left_anti")
     numbered = assign_ids(new, others.select("dia", "id"), "path", ["row"])
