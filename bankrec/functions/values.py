@@ -48,6 +48,12 @@ def iso_utc(ts: Column | str) -> Column:
     return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def order_of(number: str, id: str = "id") -> str:
+    """(number, id) as one fixed-width value that sorts the same way, as SQL. Spark
+    keeps it in a hash aggregate, where a struct would need every row sorted."""
+    return f"(cast({number} as decimal(20,0)) * 20000000000000000000BD + cast({id} as decimal(19,0)))"
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     product = F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(product, F.lit(0.0), lambda acc, x: acc + x)

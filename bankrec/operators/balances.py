@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bankrec.functions.text import key_of
+from bankrec.functions.values import order_of
 
 _MONEY = ["saldo_contabilistico", "saldo_disponivel"]
 
@@ -22,8 +23,9 @@ def latest(saldos: DataFrame, ate_dia: date | None = None) -> DataFrame:
     """Last reading of each entity up to a day, inclusive. A null reading counts as
     the last one; several on one day are settled by id."""
     rows = saldos if ate_dia is None else saldos.where(F.col("dia") <= F.lit(ate_dia))
-    last = F.max_by(F.struct("id", "dia", *_MONEY), F.struct("dia", "id"))
-    return rows.groupBy("entidade").agg(last.alias("s")).select("entidade", "s.*")
+    order = order_of("unix_date(dia)")
+    return rows.groupBy("entidade").agg(
+        *[F.expr(f"max_by({c}, {order}) as {c}") for c in ("id", "dia", *_MONEY)])
 
 
 def latest_between(saldos: DataFrame, inicio: date, fim: date) -> DataFrame:
@@ -32,14 +34,13 @@ def latest_between(saldos: DataFrame, inicio: date, fim: date) -> DataFrame:
     Each reading holds until the day before the next one, so it is expanded over
     the days it covers; the rows made are exactly the rows of the answer.
     """
-    last = F.max_by(F.struct("id", *_MONEY), F.col("id"))
     daily = (saldos.where(F.col("dia") <= F.lit(fim)).groupBy("entidade", "dia")
-             .agg(last.alias("s")))
+             .agg(F.expr("max(id) as id"), *[F.expr(f"max_by({c}, id) as {c}") for c in _MONEY]))
     following = F.lead("dia").over(W.partitionBy("entidade").orderBy("dia"))
     until = F.least(F.coalesce(F.date_sub(following, 1), F.lit(fim)), F.lit(fim))
     spans = (daily.withColumn("de", F.greatest("dia", F.lit(inicio))).withColumn("ate", until)
              .where("de <= ate"))
-    return spans.select(F.explode(F.sequence("de", "ate")).alias("em"), "entidade", "dia", "s.*")
+    return spans.select(F.explode(F.sequence("de", "ate")).alias("em"), "entidade", "dia", "id", *_MONEY)
 
 
 def total(ultimos: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bankrec.functions.values import iso_utc
+from bankrec.functions.values import iso_utc, order_of
 
 ZONE = "Europe/Lisbon"
 TOLERANCE_MINUTES = 20
@@ -61,20 +61,28 @@ def overdue(scripts: DataFrame, ultimas: DataFrame, agora: datetime | Column) ->
                     .alias("hora_em_falta")))
 
 
+def last_runs(execucoes: DataFrame) -> DataFrame:
+    """``(nome, status, erro, ts)`` of the last run of each script: its place is found
+    by a hash aggregate, then its row by a join with that small result."""
+    order = order_of("unix_micros(ts)")
+    placed = execucoes.selectExpr("script as nome", "status", "erro", "ts", f"{order} as _o")
+    last = placed.groupBy("nome").agg(F.expr("max(_o) as _o"))
+    return placed.join(last, ["nome", "_o"]).drop("_o")
+
+
 def script_status(execucoes: DataFrame, agora: datetime | Column) -> DataFrame:
     """Configured and observed scripts with their last run and whether one is missing."""
     known = configured(execucoes.sparkSession)
-    last = (execucoes.groupBy(F.col("script").alias("nome"))
-            .agg(F.max_by(F.struct("status", "erro", "ts"), F.struct("ts", "id")).alias("r")))
+    last = last_runs(execucoes)
     names = known.select("nome").union(last.select("nome")).distinct()
     scripts = (names.join(known, "nome", "left")
                .withColumn("descricao", F.coalesce("descricao", F.concat(F.lit("Script "), "nome")))
                .withColumn("hora_execucao", F.coalesce("hora_execucao", F.lit(DEFAULT_SCHEDULE))))
-    late = overdue(scripts, last.select("nome", F.date_trunc("second", "r.ts").alias("ts")), agora)
+    late = overdue(scripts, last.select("nome", F.date_trunc("second", "ts").alias("ts")), agora)
     return (scripts.join(last, "nome", "left").join(late, "nome")
             .select("nome", "descricao", "hora_execucao",
-                    F.coalesce("r.status", F.lit("ok")).alias("status"),
-                    iso_utc("r.ts").alias("ultima_execucao"), F.col("r.erro").alias("ultima_erro"),
+                    F.coalesce("status", F.lit("ok")).alias("status"),
+                    iso_utc("ts").alias("ultima_execucao"), F.col("erro").alias("ultima_erro"),
                     "atrasado", "hora_em_falta").orderBy("nome"))
 
 

@@ -117,9 +117,12 @@ def movement_status(movimentos: DataFrame, reconciliacoes: DataFrame, linhas: Da
     """Each movement with its first reconciliation and that line's imputation. Only
     reconciliations that have a line go through the line join, so the many without
     one never pile up on a null key."""
+    # states as numbers, so that the aggregation is by hash
+    states = "array('exato', 'ambiguo', 'novo')"
     first = (reconciliacoes.groupBy(F.col("movimento_id").alias("id"))
-             .agg(F.min_by(F.struct("tipo_match", "linha_id"), "ts").alias("r"))
-             .select("id", "r.tipo_match", "r.linha_id"))
+             .agg(F.expr(f"min_by(cast(array_position({states}, tipo_match) as int), ts) as s"),
+                  F.expr("min_by(linha_id, ts) as linha_id"))
+             .selectExpr("id", f"{states}[s - 1] as tipo_match", "linha_id"))
     imputed = (first.where("linha_id is not null")
                .join(linhas.select(F.col("id").alias("linha_id"),
                                    F.col("imputacao").alias("linha_imputacao")), "linha_id")
