@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bankrec.functions.text import key_of
 from bankrec.functions.values import FEATURE_LABELS, MODEL_LABELS, label
 from bankrec.operators import models, series as s
 from bankrec.session import deal_out
@@ -152,12 +153,35 @@ def forecast_simple(series: DataFrame, h: int = 7) -> DataFrame:
             .select("serie", "modelo", "dia", "valor"))
 
 
-def balance(saldos: DataFrame, h: int = 7) -> DataFrame:
-    return forecast(s.balance_series(saldos), h)
+def _balance_series(saldos: DataFrame, empresa: str | None) -> DataFrame:
+    rows = saldos if empresa is None else saldos.where(F.col("chave") == key_of(empresa))
+    return s.balance_series(rows)
 
 
-def cashflow(movimentos: DataFrame, h: int = 7) -> DataFrame:
-    return forecast(s.net_series(s.cashflow_series(movimentos)), h, boosting=True)
+def _net_series(movimentos: DataFrame, empresa: str | None) -> DataFrame:
+    """All companies and the portfolio, or one company."""
+    if empresa is None:
+        return s.net_series(s.cashflow_series(movimentos))
+    rows = movimentos.where(F.col("chave") == key_of(empresa))
+    return s.net_series(s.cashflow_series(rows)).where(F.col("serie") != s.PORTFOLIO)
+
+
+def balance(saldos: DataFrame, h: int = 7, empresa: str | None = None) -> DataFrame:
+    """Forecast of the ledger balance, for every company or for one."""
+    return forecast(_balance_series(saldos, empresa), h)
+
+
+def cashflow(movimentos: DataFrame, h: int = 7, empresa: str | None = None) -> DataFrame:
+    """Forecast of the daily net flow, boosting included."""
+    return forecast(_net_series(movimentos, empresa), h, boosting=True)
+
+
+def evaluate_balance(saldos: DataFrame, k: int = 5, empresa: str | None = None) -> DataFrame:
+    return backtest(_balance_series(saldos, empresa), k)
+
+
+def evaluate_cashflow(movimentos: DataFrame, k: int = 5, empresa: str | None = None) -> DataFrame:
+    return backtest(_net_series(movimentos, empresa), k, boosting=True)
 
 
 def feature_importance(series: DataFrame) -> DataFrame:

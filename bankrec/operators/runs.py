@@ -1,4 +1,4 @@
-"""Reconciliation over the stored tables."""
+"""Reconciliation and run reports over the stored tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bankrec import schema
-from bankrec.operators import cases, reconcile
+from bankrec.operators import cases, monitoring, reconcile
+from bankrec.operators.ingest import assign_ids
 from bankrec.session import ensure_checkpoint_dir
 
 
@@ -73,3 +74,17 @@ def decide(spark: SparkSession, root: str, decisoes: DataFrame) -> DataFrame:
     for name, rows in changed.items():
         schema.write_table(rows, root, name, mode="overwrite")
     return rejected
+
+
+def record(spark: SparkSession, root: str, novas: DataFrame) -> DataFrame:
+    """Store run reports ``(script, status, erro, log, duracao_segundos, ts)``; returns
+    them as stored. Ids go by day, script and minute."""
+    ensure_checkpoint_dir(spark)
+    day = F.to_date("ts").alias("dia")
+    rows = monitoring.record_runs(novas).select(
+        "*", day, F.concat_ws("/", "script", F.date_format("ts", "HHmm")).alias("_onde"))
+    stored = schema.read_table(spark, root, "execucoes").select(day, "id")
+    written = assign_ids(rows, stored.where(F.col("dia").isin(schema.days_of(rows))), "_onde",
+                         ["ts", "status", "erro"]).checkpoint()
+    schema.write_table(written, root, "execucoes")
+    return written.drop("dia", "_onde")

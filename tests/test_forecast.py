@@ -119,6 +119,20 @@ def test_zero_fill_and_company_filter(movimentos):
     assert a == {0: 100, 1: 0, 2: 0, 3: 0, 4: 20, 5: 0, 6: 20}
 
 
+def test_one_company(movimentos, saldos):
+    df = movimentos([mov(i, "Ancora Apogeu", 10, i) for i in range(12)] + [mov(50 + i, "B", 999, i) for i in range(12)])
+    out = forecast.cashflow(df, 2, empresa="ANCORA APOGEU,LDA").collect()
+    assert {r.serie for r in out} == {"ANCORAAPOGEU"}
+    assert all(r.valor == pytest.approx(10, abs=1e-6) for r in out)
+    scores = forecast.evaluate_cashflow(df, 5, empresa="Ancora Apogeu").where("rmse is not null").collect()
+    assert scores and all(r.rmse == pytest.approx(0, abs=1e-6) for r in scores)
+    bs = saldos([dict(id=i, dia=D0 + timedelta(days=i), entidade="Ancora Apogeu", saldo_contabilistico=50)
+                 for i in range(6)])
+    assert forecast.balance(bs, 3, "ANCORA APOGEU,LDA").select("dia").distinct().count() == 3
+    assert forecast.balance(bs, 3, "Outra").count() == 0
+    assert forecast.evaluate_balance(bs, 1).where("rmse is not null").count() >= 3
+
+
 def test_boosting_learns_the_week(spark):
     df = long(spark, {"*": week(20), "curta": [50.0] * 6})
     out = forecast.forecast(df, 4, boosting=True).collect()

@@ -205,3 +205,14 @@ def test_stream_reads_each_file_once(spark, ledger, tmp_path):
     again = workbook.files(spark, str(docs)).where("path like '%_C.xlsx'")
     imports.import_batch(root, again, 1)
     assert schema.read_table(spark, root, "movimentos").count() == 3
+
+
+def test_recorded_runs_get_ids(spark, ledger):
+    from datetime import datetime
+    root, _ = ledger
+    rows = [(None, " Preencher ", "ok", None, None, 1.0, datetime(2026, 8, 19, 9, 0, i % 2)) for i in range(4)]
+    df = spark.createDataFrame(rows, schema.EXECUCOES).drop("id")
+    runs.record(spark, root, df)
+    runs.record(spark, root, df)
+    stored = schema.read_table(spark, root, "execucoes").collect()
+    assert len({r.id for r in stored}) == 8 and {r.script for r in stored} == {"preencher"}
