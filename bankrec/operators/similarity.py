@@ -87,6 +87,8 @@ def _compare(k: int):
         vectors = vectors.sort_values("id")
         ids = vectors["id"].to_numpy()
         sims = np.stack(queries["vetor"].to_numpy()) @ np.stack(vectors["vetor"].to_numpy()).T
+        # equal vectors must tie, whatever the order of their sums
+        sims = np.round(sims, 12)
         sims[queries["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
         # ids are ascending, so a stable sort settles ties by id
         best = np.argsort(-sims, axis=1, kind="stable")[:, :k]

@@ -20,8 +20,8 @@ def brute(opened, resolved, k):
                 continue
             a_, b_ = np.asarray(a, "float32").astype(float), np.asarray(b, "float32").astype(float)
             norm = np.linalg.norm(a_) * np.linalg.norm(b_)
-            scored.append((-(a_ @ b_ / norm if norm else 0.0), j))
-        out += [(i, r, round(-s, 6)) for r, (s, _) in enumerate(sorted(scored)[:k], 1)]
+            scored.append((-round(a_ @ b_ / norm if norm else 0.0, 12), j))
+        out += [(i, r, j, round(-s, 6)) for r, (s, j) in enumerate(sorted(scored)[:k], 1)]
     return sorted(out)
 
 
@@ -45,7 +45,7 @@ def test_equals_brute_force(spark, kind, pivots, block):
     resolved = [(i, v) for i, v in enumerate(base)]
     opened = [(i, base[i] + rng.normal(0, 0.01, base.shape[1])) for i in range(0, 40, 3)] + [(7, base[7]), (999, base[5])]
     got = similarity.top_k(frame(spark, opened), frame(spark, resolved), 3, pivots, block).collect()
-    assert sorted((r.caso_id, r.rank, round(r.similaridade, 6)) for r in got) == brute(opened, resolved, 3)
+    assert sorted((r.caso_id, r.rank, r.vizinho_id, round(r.similaridade, 6)) for r in got) == brute(opened, resolved, 3)
 
 
 def test_clusters_are_pruned(spark):
