@@ -80,6 +80,7 @@ def key_of(name: str) -> Column:
     return company_key(quoted(name))
 
 
+# Fixed formats: the texts of a case and of a line.
 def case_text(empresa: Column, descricao: Column, valor: Column) -> Column:
     """``empresa | descricao | valor EUR``; blank description when there is none."""
     return F.format_string("%s | %s | %s EUR", empresa, F.coalesce(descricao, F.lit("")),

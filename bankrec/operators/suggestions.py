@@ -10,6 +10,7 @@ from bankrec import skew
 from bankrec.functions.text import case_text, line_text
 from bankrec.operators.cases import MAX_INLINE, candidate_details
 
+# Texts for "no examples" and for answers that are not JSON.
 NO_EXAMPLES = "(sem casos parecidos resolvidos anteriormente)"
 NOT_JSON = "[resposta do LLM não veio em JSON válido] "
 
