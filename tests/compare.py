@@ -62,5 +62,5 @@ if __name__ == "__main__":
             df = query(spark, sf_dir)
             verdict = (differences(df, con, sqls[name]) or "ok") if name in sqls else f"rows {df.count()}"
         except Exception as error:  # noqa: BLE001
-            verdict = f"FAILED {str(error)[:600]}"
+            verdict = f"FAILED {str(error)[:3000]}"
         print(f"{name:26s} {time.time() - start:6.2f}s {verdict}", flush=True)
