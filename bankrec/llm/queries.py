@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bankrec.llm import substring_dedup
+from bankrec.llm import decontaminate, jaccard_join, line_dedup, line_quality, ring_shards, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,3 +25,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), window=13)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = line_dedup.remove_repeated(docs, size=3)
+    return done.select("doc_id", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_alike(table(spark, sf_dir, "documents"), size=5, percent=75)
+
+
+@_query
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_quality.assess(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       "base_failed", "kept", "n_line_words")
+
+
+@_query
+def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring_shards.assign(table(spark, sf_dir, "documents"), shards=16)
+
+
+@_query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
