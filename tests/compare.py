@@ -51,7 +51,7 @@ if __name__ == "__main__":
     from bankrec.session import build_session
 
     sf_dir, only = sys.argv[1], sys.argv[2:]
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", 8, **{"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls = connect(sf_dir), e.oracle_sql()
     for name, query in e.queries().items():
