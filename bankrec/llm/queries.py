@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bankrec.llm import decontaminate, jaccard_join, line_dedup, line_quality, ring_shards, substring_dedup
+from bankrec.llm import (
+    decontaminate,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    line_quality,
+    piece_codec,
+    quality_classifier,
+    ring_shards,
+    substring_dedup,
+    token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -17,6 +29,12 @@ def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
     return function
 
 
+def model_bytes(name: str = "piece_bpe_32k.model", folder: str | None = None) -> bytes:
+    """A vocabulary file; tasks get its content, so only the driver needs the folder."""
+    with open(os.path.join(folder or os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name), "rb") as file:
+        return file.read()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,6 +57,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_alike(table(spark, sf_dir, "documents"), size=5, percent=75)
 
 
+@_query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), model_bytes(), limit=4096)
+
+
 @_query
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_quality.assess(table(spark, sf_dir, "documents"))
@@ -46,6 +69,31 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "base_failed", "kept", "n_line_words")
 
 
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = language_id.held_out(3, 1)
+    net = language_id.learn(docs.where(~apart))
+    return language_id.predict(docs, net).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = piece_codec.round_trip(table(spark, sf_dir, "documents"), model_bytes())
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"), "same")
+
+
+@_query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = language_id.held_out(4, 2)
+    model = quality_classifier.learn(docs.where(~apart), table(spark, sf_dir, "labels").where(~apart))
+    return quality_classifier.score(docs, model).select(
+        "doc_id", apart.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 @_query
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards.assign(table(spark, sf_dir, "documents"), shards=16)

@@ -7,11 +7,13 @@ are bounded by ``SLICE`` bytes (or one word, if that is longer).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WHITE = b" \t\n\x0b\x0c\r"      # [\x20\x09-\x0D]
 SLICE = 1 << 20
@@ -61,6 +63,17 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return ends, np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
 
 
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``limit`` bytes of text, a row at least; nothing is copied.
+    What is made from a slice stays small whatever the number and length of the rows."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0)).astype(np.int64)
+    part = np.cumsum(sizes) // limit
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 @dataclass
 class Words:
     data: np.ndarray     # the bytes of all texts
