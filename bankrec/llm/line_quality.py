@@ -36,10 +36,13 @@ def base_columns(rows: DataFrame) -> DataFrame:
                    "i -> xxhash64(__words[i], __words[i + 1], __words[i + 2], __words[i + 3], __words[i + 4]))")
     counted = split.select(*rest, F.size("__words").cast("long").alias("n_words"), "word_chars", "n_symbols",
                            "n_dup_lines", grams.alias("__grams"))
-    counted = counted.withColumn("n_repeat_words", F.when(
-        F.size("__grams") == F.size(F.array_distinct("__grams")), F.lit(0)).otherwise(_repeated()).cast("long"))
+    repeated = F.when(F.size("__grams") == F.size(F.array_distinct("__grams")), F.lit(0)).otherwise(_repeated())
+    # a generator's columns are values: a later filter on them is not rewritten in terms of
+    # the text, which would split it again for every window
+    counted = counted.withColumn("n_repeat_words", repeated.cast("long")).select(*rest, F.inline(F.array(F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return counted.drop("__grams").withColumn("base_failed", failed)
+    return counted.withColumn("base_failed", failed)
 
 
 def _repeated() -> Column:
@@ -57,9 +60,9 @@ def _repeated() -> Column:
             acc -> acc.n)""")
 
 
-def line_hash(line: Column) -> Column:
-    """Of a line in lower case, trimmed, with single spaces."""
-    return F.xxhash64(F.regexp_replace(F.trim(F.translate(F.lower(line), "\t\x0b\x0c\r", "    ")), " +", " "))
+def line_words(line: Column) -> Column:
+    """A normalised line: its words in lower case. White space between them does not count."""
+    return F.filter(F.split(F.lower(line), WHITE + "+"), lambda w: w != "")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -71,13 +74,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 def frequent_lines(rows: DataFrame, line_docs: int, line_percent: int) -> DataFrame:
     """``(row, line, n)``: of each distinct row the lines above their host's limit, with the
     number of words at each occurrence. Equal texts count as one document of their host."""
-    lines = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), has_word),
-                        lambda x: F.struct(line_hash(x).alias("line"), F.size(F.filter(
-                            F.split(x, WHITE + "+"), lambda w: w != "")).alias("n")))
+    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), line_words), lambda ws: F.size(ws) > 0),
+                        lambda ws: F.struct(F.xxhash64(ws).alias("line"), F.size(ws).alias("n")))
     exploded = rows.select("row", "host", F.xxhash64("text").alias("document"), F.explode(lines).alias("x")).select(
         "row", "host", "document", "x.line", "x.n")
     documents = exploded.select("host", "document", "line").distinct()
-    sizes = documents.select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    sizes = rows.groupBy("host").agg(F.countDistinct(F.xxhash64(F.coalesce("text", F.lit("")))).alias("docs"))
     counts = documents.groupBy("host", "line").agg(F.count("*").alias("shared")).where(F.col("shared") > line_docs)
     above = (counts.join(sizes, "host").where(100 * F.col("shared") > line_percent * F.col("docs"))
              .select("host", "line"))
@@ -120,7 +122,7 @@ def clean(docs: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE_
     judged = base_columns(judged.select("text", "__row", "__all")).withColumnRenamed("__row", "row")
     kept = _verdict(judged.join(lost, "row", "left"), kept_percent).where("kept")
     text = F.col("__all.text")
-    shorter = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~has_word(x) | ~F.array_contains("__lines", line_hash(x))), "\n")
+    shorter = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__lines", F.xxhash64(line_words(x)))), "\n")
     return kept.select(*(
         F.when(F.col("__lines").isNull(), text).otherwise(shorter).alias(c) if c == "text"
         else F.col("__all")[c].alias(c) for c in docs.columns))
