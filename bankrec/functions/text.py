@@ -18,6 +18,16 @@ NON_ASCII = r"[^\x00-\x7F]"
 MARKS = r"\p{Mn}"
 
 
+# Fixed value: the white space that text is stripped of, all of Unicode's.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+               "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def strip(col: Column | str) -> Column:
+    """Text without white space at its ends."""
+    return F.btrim(F.col(col) if isinstance(col, str) else col, F.lit(WHITE_SPACE))
+
+
 def _plain(char: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bankrec.functions.text import strip
+
 
 def _col(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def _plain_number(col: Column) -> Column:
-    return F.replace(F.replace(F.trim(col), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return F.replace(F.replace(strip(col), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
 
 
 def money_strict(col: Column | str) -> Column:

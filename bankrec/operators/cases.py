@@ -1,9 +1,8 @@
 """The queue of ambiguous movements and the decisions people take on it.
 
 All movements of a group share the same candidate lines, so candidates are stored
-once per group, in ``(grupo, linha_id)`` rows. That table is whole for a group of
-any size; lists inside a report row are built only for groups of up to
-``MAX_INLINE`` lines.
+once per group, in ``(grupo, linha_id)`` rows; reports make one list of them per
+group, whole for a group of any size.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from pyspark.sql import functions as F
 from bankrec import skew
 from bankrec.operators.reconcile import KEYS, open_lines
 
-MAX_INLINE = 1000
-
 
 def ambiguous_cases(classificados: DataFrame) -> DataFrame:
     """One open case per ambiguous movement; the movement id is the case id."""
@@ -38,8 +35,8 @@ def candidates(classificados: DataFrame, linhas: DataFrame) -> DataFrame:
 
 
 def candidate_lists(candidatos: DataFrame) -> DataFrame:
-    """Sorted candidate ids per group, for groups small enough for one row."""
-    return (candidatos.where(F.col("n_candidatos") <= MAX_INLINE).groupBy("grupo")
+    """Sorted candidate ids per group."""
+    return (candidatos.groupBy("grupo")
             .agg(F.array_sort(F.collect_list("linha_id")).alias("candidatos")))
 
 
@@ -58,7 +55,7 @@ def open_cases(casos: DataFrame, candidatos: DataFrame, linhas: DataFrame) -> Da
     """Unresolved cases with the details of their candidates."""
     detail = F.struct(F.col("linha_id").alias("id"), "linha", "tipo", "empresa", "previsto",
                       "imputacao")
-    lists = (candidate_details(candidatos.where(F.col("n_candidatos") <= MAX_INLINE), linhas)
+    lists = (candidate_details(candidatos, linhas)
              .groupBy("grupo").agg(F.array_sort(F.collect_list(detail)).alias("candidatos_detalhe")))
     return skew.join_lookup(casos.where("resolvido_por is null"), lists, ["grupo"], "left", by="id")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bankrec import schema
 from bankrec.session import ensure_checkpoint_dir
 from bankrec.sources import plan_sheet, statements, workbook
-from bankrec.sources.paths import MONTHS, PLANS, STATEMENTS
+from bankrec.sources.paths import MONTHS, PLANS, STATEMENTS, plan_month
 
 RECENT_DAYS = 7
 _IDS_PER_DAY = 1 << 40
@@ -51,10 +51,18 @@ def import_movements(root: str, celulas: DataFrame, dias: list[date] | None = No
     return written
 
 
+def unread_days(celulas: DataFrame) -> DataFrame:
+    """Days with a statement file that cannot be read."""
+    return (workbook.unreadable(celulas).select(statements.statement_day("path").alias("dia"))
+            .where("dia is not null").distinct())
+
+
 def import_balances(root: str, celulas: DataFrame, dias: list[date] | None = None) -> DataFrame:
-    """Append balances that are not there yet, by day and entity. Returns what was added."""
+    """Append balances that are not there yet, by day and entity. A day with a file that
+    cannot be read waits. Returns what was added."""
     spark = celulas.sparkSession
-    found = statements.statement_balances(celulas).where("dia is not null")
+    found = (statements.statement_balances(celulas).where("dia is not null")
+             .join(unread_days(celulas), "dia", "left_anti"))
     dias = schema.days_of(found) if dias is None else dias
     existing = schema.read_table(spark, root, BALANCES, dias)
     new = (found.where(F.col("dia").isin(dias))
@@ -66,9 +74,10 @@ def import_balances(root: str, celulas: DataFrame, dias: list[date] | None = Non
 
 def refresh_balances(root: str, celulas: DataFrame, dia: date) -> DataFrame:
     """Replace one day's balances by what its files say now. Nothing is removed
-    unless the files were read."""
+    unless all files of the day were read."""
     spark = celulas.sparkSession
-    found = statements.statement_balances(celulas).where(F.col("dia") == F.lit(dia))
+    found = (statements.statement_balances(celulas).where(F.col("dia") == F.lit(dia))
+             .join(unread_days(celulas), "dia", "left_anti"))
     nothing = schema.read_table(spark, root, BALANCES, []).select("dia", "id")
     written = assign_ids(found, nothing, "entidade", ["dia"]).checkpoint()
     schema.write_table(written, root, BALANCES, mode="overwrite")
@@ -158,17 +167,30 @@ def import_days(spark: SparkSession, root: str, pasta: str, dias: list[date],
     errors = errors.unionByName(
         statements.rejected(cells).select(statements.statement_day("path").alias("dia"),
                                           F.lit(MOVEMENTS).alias("tabela"), "motivo"))
+    errors = errors.unionByName(
+        workbook.unreadable(cells).select(statements.statement_day("path").alias("dia"),
+                                          F.lit(BALANCES).alias("tabela"), "motivo"))
 
     plans = sorted({plan_file(pasta, d) for d in there if _exists(spark, plan_file(pasta, d))})
     if plans:
         plan_cells = _read_cells(spark, plans)
         report = report.unionByName(count(import_plan(root, plan_cells, absent(PLAN)), PLAN))
-        errors = errors.unionByName(
-            plan_sheet.rejected(plan_cells).join(wanted, "dia", "left_semi")
-            .select("dia", F.lit(PLAN).alias("tabela"), "motivo"))
+        errors = errors.unionByName(plan_errors(plan_cells, wanted))
     return report, errors
 
 
+def plan_errors(celulas: DataFrame, dias: DataFrame) -> DataFrame:
+    """``(dia, tabela, motivo)`` for each of ``dias`` whose plan workbook cannot be read, or
+    whose sheet is missing or has no totals."""
+    months = dias.select("dia", F.trunc("dia", "month").alias("_mes"))
+    unread = (workbook.unreadable(celulas).withColumn("_mes", plan_month("path")).join(months, "_mes")
+              .select("dia", "motivo"))
+    expected = (celulas.where("erro is null").select("path").distinct()
+                .withColumn("_mes", plan_month("path")).join(months, "_mes").select("path", "dia"))
+    rejected = plan_sheet.rejected(celulas, expected).join(dias, "dia", "left_semi").select("dia", "motivo")
+    return unread.unionByName(rejected).select("dia", F.lit(PLAN).alias("tabela"), "motivo")
+
+
 def import_recent(spark: SparkSession, root: str, pasta: str, hoje: date,
                   dias_atras: int = RECENT_DAYS) -> tuple[DataFrame, DataFrame]:
     days = [hoje - timedelta(days=i) for i in range(dias_atras, -1, -1)]

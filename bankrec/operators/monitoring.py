@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bankrec.functions.text import strip
 from bankrec.functions.values import iso_utc, order_of
 
 ZONE = "Europe/Lisbon"
@@ -111,5 +112,5 @@ def runs_of(execucoes: DataFrame, script: str, limit: int = 100) -> DataFrame:
 
 def record_runs(novas: DataFrame) -> DataFrame:
     """Runs as they are stored: name trimmed and in lower case, log never null."""
-    return (novas.withColumn("script", F.lower(F.trim("script")))
+    return (novas.withColumn("script", F.lower(strip("script")))
             .withColumn("log", F.coalesce("log", F.array().cast("array<string>"))))

@@ -120,9 +120,9 @@ def movement_status(movimentos: DataFrame, reconciliacoes: DataFrame, linhas: Da
     # states as numbers, so that the aggregation is by hash
     states = "array('exato', 'ambiguo', 'novo')"
     first = (reconciliacoes.groupBy(F.col("movimento_id").alias("id"))
-             .agg(F.expr(f"min_by(cast(array_position({states}, tipo_match) as int), ts) as s"),
-                  F.expr("min_by(linha_id, ts) as linha_id"))
-             .selectExpr("id", f"{states}[s - 1] as tipo_match", "linha_id"))
+             .agg(F.expr(f"min_by(cast(array_position({states}, tipo_match) as int), struct(ts, linha_id)) as s"),
+                  F.expr("min_by(linha_id, struct(ts, linha_id)) as linha_id"))
+             .selectExpr("id", f"get({states}, s - 1) as tipo_match", "linha_id"))
     imputed = (first.where("linha_id is not null")
                .join(linhas.select(F.col("id").alias("linha_id"),
                                    F.col("imputacao").alias("linha_imputacao")), "linha_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bankrec import skew
 from bankrec.functions.text import case_text, line_text
-from bankrec.operators.cases import MAX_INLINE, candidate_details
+from bankrec.operators.cases import candidate_details
 
 # Texts for "no examples" and for answers that are not JSON.
 NO_EXAMPLES = "(sem casos parecidos resolvidos anteriormente)"
@@ -23,24 +23,20 @@ def case_texts(casos: DataFrame, movimentos: DataFrame) -> DataFrame:
             .select(F.col("id").alias("caso_id"), text.alias("texto")))
 
 
-def candidate_blocks(candidatos: DataFrame, linhas: DataFrame) -> DataFrame:
-    """``(grupo, bloco, texto)``: the candidates of each group as text, at most about
-    ``MAX_INLINE`` lines per row; groups below that have block 0 only."""
+def candidate_texts(candidatos: DataFrame, linhas: DataFrame) -> DataFrame:
+    """``(grupo, texto)``: the candidates of each group as text, a line each."""
     detail = candidate_details(candidatos, linhas)
     text = F.concat(F.lit("- "), line_text(F.col("linha"), F.col("tipo"), F.col("empresa"),
                                            F.col("previsto"), F.col("imputacao")))
-    blocks = F.ceil(F.col("n_candidatos") / MAX_INLINE)
-    return (detail.withColumn("bloco", F.pmod(F.xxhash64("linha_id"), blocks).cast("int"))
-            .groupBy("grupo", "bloco")
+    return (detail.groupBy("grupo")
             .agg(F.array_sort(F.collect_list(F.struct("linha_id", text.alias("t")))).alias("l"))
-            .select("grupo", "bloco", F.array_join("l.t", "\n").alias("texto")))
+            .select("grupo", F.array_join("l.t", "\n").alias("texto")))
 
 
 def prompts(casos: DataFrame, candidatos: DataFrame, linhas: DataFrame, movimentos: DataFrame,
             vizinhos: DataFrame) -> DataFrame:
     """``(caso_id, prompt)`` for each unresolved case. ``vizinhos`` is the answer of
-    ``similarity.top_k``. The candidates of a group of more than ``MAX_INLINE`` lines
-    are in ``candidate_blocks``; the prompt then names the group."""
+    ``similarity.top_k``."""
     texts = case_texts(casos, movimentos)
     solved = (casos.where("resolvido_por is not null")
               .select(F.col("id").alias("vizinho_id"), "resolucao")
@@ -51,17 +47,15 @@ def prompts(casos: DataFrame, candidatos: DataFrame, linhas: DataFrame, moviment
                 .groupBy("caso_id")
                 .agg(F.array_sort(F.collect_list(F.struct("rank", example.alias("t")))).alias("e"))
                 .select(F.col("caso_id").alias("id"), F.array_join("e.t", "\n").alias("_exemplos")))
-    short = candidate_blocks(candidatos.where(F.col("n_candidatos") <= MAX_INLINE), linhas)
-    lines = short.select("grupo", F.col("texto").alias("_linhas"))
+    lines = candidate_texts(candidatos, linhas).select("grupo", F.col("texto").alias("_linhas"))
     rows = (skew.join_lookup(casos.where("resolvido_por is null"), lines, ["grupo"], "left", by="id")
             .join(examples, "id", "left"))
-    elsewhere = F.format_string("(%d linhas, grupo %d)", F.col("n_candidatos"), F.col("grupo"))
     prompt = F.concat_ws(
         "\n",
         F.lit("Este movimento bancário corresponde a várias linhas do mapa com a mesma empresa "
               "e o mesmo valor. Escolhe a linha certa, ou nenhuma se for um movimento novo."),
         F.format_string("Movimento: %s | valor %s EUR", F.col("empresa"), F.col("valor").cast("string")),
-        F.lit("Linhas candidatas:"), F.coalesce("_linhas", elsewhere),
+        F.lit("Linhas candidatas:"), F.coalesce("_linhas", F.lit("")),
         F.lit("Casos parecidos já resolvidos:"), F.coalesce("_exemplos", F.lit(NO_EXAMPLES)),
         F.lit('Responde só com JSON: {"linha_id": <id ou null>, "justificacao": "<texto curto>"}'))
     return rows.select(F.col("id").alias("caso_id"), prompt.alias("prompt"))
@@ -69,14 +63,15 @@ def prompts(casos: DataFrame, candidatos: DataFrame, linhas: DataFrame, moviment
 
 def parse_answers(respostas: DataFrame) -> DataFrame:
     """``(caso_id, resolucao_sugerida, justificacao_sugerida)`` from answers
-    ``(caso_id, texto)``: the JSON object inside the text, or no suggestion and the
+    ``(caso_id, texto)``, the latest of a case by ``ts`` if there is that column: the JSON object inside the text, or no suggestion and the
     text itself with a marker."""
     found = F.regexp_extract("texto", r"(?s)\{.*\}", 0)
     # read as a list of one, so that anything after the object makes it invalid
     parsed = F.from_json(F.concat(F.lit("["), found, F.lit("]")),
                          "array<struct<linha_id:string,justificacao:string>>",
                          {"allowSingleQuotes": "false"})
-    answers = (respostas.groupBy("caso_id").agg(F.coalesce(F.max("texto"), F.lit("")).alias("texto"))
+    latest = F.max_by("texto", F.struct("ts", "texto")) if "ts" in respostas.columns else F.max("texto")
+    answers = (respostas.groupBy("caso_id").agg(F.coalesce(latest, F.lit("")).alias("texto"))
                .withColumn("j", parsed)
                .withColumn("ok", F.col("j").isNotNull() & (F.size("j") == 1) & (found != "")))
     line = F.col("j")[0]["linha_id"]

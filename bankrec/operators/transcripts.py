@@ -3,34 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TURNS_PER_PART = 10_000
+from bankrec.functions.text import strip
 
 
-def fold(transcricoes: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
-    """``(conv_id, parte, resposta, ferramentas)``: text pieces joined in order and
-    names of the tool rows in order. A conversation is folded in parts of a fixed
-    number of turns, so no task holds a long one whole; nearly all have part 0 only.
-    """
+def fold(transcricoes: DataFrame) -> DataFrame:
+    """``(conv_id, resposta, ferramentas)``, one row per conversation: text pieces joined
+    in order and stripped at the ends, and names of the tool rows in order."""
     is_tool = F.col("role") == "tool"
     piece = F.struct("turn", F.when(~is_tool, F.coalesce("text", F.lit(""))).alias("t"),
                      F.when(is_tool, F.col("name")).alias("n"))
-    parts = (transcricoes
-             .groupBy("conv_id", F.floor(F.col("turn") / turns_per_part).alias("parte"))
-             .agg(F.array_sort(F.collect_list(piece)).alias("p")))
+    whole = transcricoes.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
 
     def joined(field: str) -> Column:
         kept = F.filter("p", lambda x: x[field].isNotNull() & (x[field] != ""))
         return F.transform(kept, lambda x: x[field])
 
-    text = F.array_join(joined("t"), "")
-    whole = W.partitionBy("conv_id")
-    first = F.col("parte") == F.min("parte").over(whole)
-    last = F.col("parte") == F.max("parte").over(whole)
-    return (parts.withColumn("r", text)
-            .withColumn("r", F.when(first, F.regexp_replace("r", r"^\s+", "")).otherwise(F.col("r")))
-            .withColumn("r", F.when(last, F.regexp_replace("r", r"\s+$", "")).otherwise(F.col("r")))
-            .select("conv_id", "parte", F.col("r").alias("resposta"),
-                    joined("n").alias("ferramentas")))
+    return whole.select("conv_id", strip(F.array_join(joined("t"), "")).alias("resposta"),
+                        joined("n").alias("ferramentas"))

@@ -46,6 +46,7 @@ TABLES = {
     "candidatos": (CANDIDATOS, ["dia"]),
     "saldos": (SALDOS, ["dia"]),
     "execucoes": (EXECUCOES, []),
+    "rejeitados": (T.StructType(REJEITADOS.fields + [T.StructField("lote", _LONG, True)]), ["lote"]),
 }
 
 
@@ -57,7 +58,10 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> No
     """Write rows in the table's column order. ``overwrite`` replaces only the
     partitions that ``df`` holds."""
     schema, parts = TABLES[name]
-    writer = df.select([F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode(mode)
+    rows = df.select([F.col(f.name).cast(f.dataType) for f in schema.fields])
+    if parts:      # else every task would write a file into every partition
+        rows = rows.hint("rebalance", *parts)
+    writer = rows.write.mode(mode)
     if parts:
         writer = writer.partitionBy(*parts).option("partitionOverwriteMode", "dynamic")
     writer.parquet(table_path(root, name))

@@ -37,10 +37,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; pick one only where none is named."""
+    """Keep the cluster's shared checkpoint folder. One on this machine is picked only where
+    none is named and all tasks run in this process; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        alone = context.master == "local" or context.master.startswith("local[")
+        if not named and not alone:
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
 
 

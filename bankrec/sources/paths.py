@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bankrec.functions.text import strip
+
 # Month names in folder and file names.
 MONTHS = ("Janeiro", "Fevereiro", "Março", "Abril", "Maio", "Junho", "Julho", "Agosto",
           "Setembro", "Outubro", "Novembro", "Dezembro")
@@ -23,7 +25,7 @@ def file_name(path: Column | str) -> Column:
 def entity(path: Column | str) -> Column:
     """File name without extension and leading date."""
     stem = F.regexp_replace(file_name(path), r"\.[^.]*$", "")
-    return F.trim(F.regexp_replace(stem, r"^\d{2}-\d{2}-\d{4}_", ""))
+    return strip(F.regexp_replace(stem, r"^\d{2}-\d{2}-\d{4}_", ""))
 
 
 def statement_day(path: Column | str) -> Column:

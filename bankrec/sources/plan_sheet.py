@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bankrec.functions.text import company_key
+from bankrec.functions.text import company_key, strip
 from bankrec.sources.paths import plan_month
 from bankrec.sources.statements import shown
 
@@ -53,9 +53,9 @@ def plan_lines(celulas: DataFrame) -> DataFrame:
         at("r", number).alias("pago"), at("i", text).alias("imputacao"))
     signed = lambda c: (F.col(c) * F.col("sinal")).cast(_MONEY).alias(c)
     return (rows.where("empresa is not null and empresa <> ''")
-            .select("path", "dia", "tipo", F.col("row").alias("linha"), F.trim("empresa").alias("empresa"),
+            .select("path", "dia", "tipo", F.col("row").alias("linha"), strip("empresa").alias("empresa"),
                     signed("previsto"), signed("pago"),
-                    F.when(F.col("imputacao") != "", F.trim("imputacao")).alias("imputacao"))
+                    F.when(F.col("imputacao") != "", strip("imputacao")).alias("imputacao"))
             .withColumn("chave", company_key("empresa")))
 
 

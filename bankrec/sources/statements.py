@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bankrec.functions.text import company_key
+from bankrec.functions.text import company_key, strip
 from bankrec.functions.values import money_lenient
 from bankrec.sources.paths import entity, file_name, statement_day
 
@@ -29,7 +29,7 @@ def shown() -> Column:
 
 def _money(strict: bool) -> Column:
     """Text is parsed; a numeric cell is taken as it is."""
-    text = F.trim(F.replace(F.replace(F.col("text"), F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+    text = strip(F.replace(F.replace(F.col("text"), F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
     parsed = text.try_cast(_MONEY) if strict else money_lenient("text")
     return F.when(F.col("kind") == "number", F.col("number").cast(_MONEY)).otherwise(parsed)
 
@@ -46,7 +46,7 @@ def raw_movements(celulas: DataFrame) -> DataFrame:
             .groupBy("path", "row")
             .agg(at("A", shown()).alias("a"), at("C", shown()).alias("c"),
                  at("D", shown()).alias("montante"), at("D", _money(True)).alias("valor")))
-    is_header = (F.col("row") <= HEADER_ROWS) & F.trim("a").startswith("Data mov")
+    is_header = (F.col("row") <= HEADER_ROWS) & strip("a").startswith("Data mov")
     header = rows.where(is_header).groupBy("path").agg(F.min("row").alias("_cabecalho"))
     below = rows.join(header, "path").where(F.col("row") > F.col("_cabecalho"))
     # the first row that is empty, or missing after a row that is there
@@ -57,7 +57,7 @@ def raw_movements(celulas: DataFrame) -> DataFrame:
     end = F.min("_quebra").over(by_row.rowsBetween(W.unboundedPreceding, 0))
     return (below.withColumn("_quebra", broken).withColumn("_fim", end)
             .where("_fim is null and montante is not null")
-            .select("path", "row", F.coalesce(F.trim("c"), F.lit("")).alias("descricao"),
+            .select("path", "row", F.coalesce(strip("c"), F.lit("")).alias("descricao"),
                     "valor", "montante"))
 
 

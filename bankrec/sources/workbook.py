@@ -107,13 +107,12 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             try:
-                for row in _read(path, content):
-                    rows.append(row)
-                    if len(rows) >= _ROWS_PER_BATCH:
-                        yield _frame(rows)
-                        rows = []
+                rows.extend(list(_read(path, content)))    # a file counts whole or not at all
             except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError) as error:
                 rows.append((path, *[None] * (len(_COLUMNS) - 2), f"{type(error).__name__}: {error}"))
+            while len(rows) >= _ROWS_PER_BATCH:
+                yield _frame(rows[:_ROWS_PER_BATCH])
+                rows = rows[_ROWS_PER_BATCH:]
     if rows:
         yield _frame(rows)
 

@@ -16,7 +16,8 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 
 def import_batch(root: str, ficheiros: DataFrame, batch_id: int) -> None:
     """Store one batch of statement files under its own ``lote``. Running a batch
-    again replaces its rows; files another batch stored are skipped."""
+    again replaces its rows; files another batch stored are skipped. Files that are not
+    stored are listed in ``rejeitados`` with the reason."""
     spark = ficheiros.sparkSession
     ensure_checkpoint_dir(spark)
     lote = batch_id + 1                          # 0 is the batch import
@@ -29,6 +30,8 @@ def import_batch(root: str, ficheiros: DataFrame, batch_id: int) -> None:
     numbered = assign_ids(new, others.select("dia", "id"), "path", ["row"])
     schema.write_table(numbered.withColumn("lote", F.lit(lote)).checkpoint(), root, "movimentos",
                        mode="overwrite")
+    schema.write_table(statements.rejected(cells).withColumn("lote", F.lit(lote)), root, "rejeitados",
+                       mode="overwrite")
 
 
 def stream_movements(spark: SparkSession, pasta: str, root: str, checkpoint: str,

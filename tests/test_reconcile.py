@@ -172,11 +172,13 @@ def test_decisions(spark, movimentos, linhas):
     assert cases.queue_size(found).first().por_resolver == 2
 
 
-def test_large_groups_keep_their_candidates_in_the_table(movimentos, linhas, monkeypatch):
-    monkeypatch.setattr(cases, "MAX_INLINE", 1)
-    _, l, found, options, _ = _ambiguous(movimentos, linhas)
-    assert cases.with_candidates(found, options).where("candidatos is not null").count() == 0
-    assert options.count() == 2 and found.first().n_candidatos == 2
+def test_a_group_of_any_size_has_all_its_candidates(movimentos, linhas):
+    m = movimentos([mov(1, "A", -100), mov(2, "A", -100)])
+    l = linhas([line(i, "A", -100) for i in range(1, 1002)])
+    found = reconcile.classify(m, l)
+    options, found = cases.candidates(found, l), cases.ambiguous_cases(found)
+    assert [len(r.candidatos) for r in cases.with_candidates(found, options).collect()] == [1001, 1001]
+    assert [len(r.candidatos_detalhe) for r in cases.open_cases(found, options, l).collect()] == [1001, 1001]
 
 
 def test_listings(movimentos):

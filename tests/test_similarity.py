@@ -81,10 +81,10 @@ def test_texts_and_prompts(spark, movimentos, linhas):
     assert "resolvido como: novo (similaridade 0.99)" in prompt
 
 
-def test_long_candidate_lists_are_split_whole(movimentos, linhas, monkeypatch):
+def test_candidates_of_a_group_are_one_text(movimentos, linhas):
     _, l, _, options, _ = _ambiguous(movimentos, linhas)
-    monkeypatch.setattr(suggestions, "MAX_INLINE", 1)
-    rows = suggestions.candidate_blocks(options, l).collect()
+    rows = suggestions.candidate_texts(options, l).collect()
+    assert len(rows) == 1
     assert sum(r.texto.count("- linha") for r in rows) == 2
 
 
@@ -111,5 +111,6 @@ def test_transcripts(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, name string")
     got = {r.conv_id: (r.resposta, r.ferramentas) for r in transcripts.fold(df).collect()}
     assert got == {1: ("Olá mundo", []), 2: ("ab", ["t1", "t2"]), 3: ("", [])}
-    parts = transcripts.fold(df, 2).orderBy("conv_id", "parte").collect()
-    assert [(r.conv_id, r.parte, r.resposta) for r in parts if r.conv_id == 2] == [(2, 0, "a"), (2, 1, "b")]
+    long = spark.range(10_001).selectExpr("1L conv_id", "id turn", "if(id < 3, 'tool', 'assistant') role",
+                                          "if(id = 3, '  oi', 'x') text", "cast(null as string) name")
+    assert [len(r.resposta) for r in transcripts.fold(long).collect()] == [2 + 10_001 - 4]
