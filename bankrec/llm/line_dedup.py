@@ -11,18 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bankrec.llm.native import has_word, row_key
+from bankrec.llm.native import row_key
 
-_STRIP = r"^[ \t-\r]+|[ \t-\r]+$"
+_WHITE = " \t\n\x0b\x0c\r"
 
 
 def _windows(docs: DataFrame, size: int) -> DataFrame:
     """``(row, id, at, lines, a, b)`` for each window of each row."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
-                     lambda y: has_word(y["x"]))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(_WHITE)).alias("x"))),
+                     lambda y: y["x"] != "")
     hashed = F.transform(lines, lambda y: F.struct(
-        y["i"].alias("i"), F.xxhash64(F.regexp_replace(y["x"], _STRIP, "")).alias("a"),
-        F.xxhash64(F.lit(1), F.regexp_replace(y["x"], _STRIP, "")).alias("b")))
+        y["i"].alias("i"), F.xxhash64(y["x"]).alias("a"),
+        F.xxhash64(F.lit(1), y["x"]).alias("b")))
     rows = docs.where("text is not null").select(
         row_key().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), hashed.alias("ls"))
     parts = {k: ", ".join(f"ls[k + {j}].{k}" for j in range(size)) for k in "iab"}
