@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -10,13 +11,7 @@ from pyspark.sql import functions as F
 # Fixed value: words left out of a company key.
 STOP_WORDS = ("LDA", "SA", "DE", "DA", "DO", "E")
 
-# Code points with compatibility forms of Latin letters, digits and spaces.
-_RANGES = ((0xA0, 0x24F), (0x1E00, 0x1EFF), (0x2000, 0x200A), (0x2070, 0x209F),
-           (0x2100, 0x218F), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFF01, 0xFF5E))
-
 NON_ASCII = r"[^\x00-\x7F]"
-MARKS = r"\p{Mn}"
-
 
 # Fixed value: the white space that text is stripped of, all of Unicode's.
 WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
@@ -32,14 +27,25 @@ def _plain(char: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
 
 
-_MAP = {chr(cp): _plain(chr(cp)) for lo, hi in _RANGES for cp in range(lo, hi + 1)
-        if _plain(chr(cp)) != chr(cp)}
-_SINGLE = {c: p for c, p in _MAP.items() if len(p) == 1}
-_MULTI = {c: p for c, p in _MAP.items() if len(p) != 1}
-# Spacing accents decompose to a blank; they never separate words.
-_SPACING = "".join(c for c, p in _MAP.items() if p[:1] == " " and not c.isspace())
-# one literal that Spark folds into a map, rather than an expression per entry
-_MULTI_TEXT = ";".join(f"{c}={p}" for c, p in _MULTI.items())
+def _decomposed() -> dict[str, str]:
+    """Each code point that decomposition or the loss of marks changes. Marks become
+    nothing, so their order never matters and a text folds one character at a time.
+    Syllables of Hangul are left out; they are computed."""
+    points = (chr(cp) for lo, hi in ((0x80, 0xD7FF), (0xE000, sys.maxunicode)) for cp in range(lo, hi + 1))
+    return {c: _plain(c) for c in points
+            if not _SYLLABLES[0] <= c <= _SYLLABLES[1]
+            and (unicodedata.combining(c) or not unicodedata.is_normalized("NFKD", c))}
+
+
+def _separating(char: str, plain: str) -> str:
+    """For keys, white space separates words, but an accent, sign or ligature that
+    decomposes to a blank or comma never does."""
+    return " " if char.isspace() else plain.replace(" ", "").replace(",", "")
+
+
+_SYLLABLES = ("가", "힣")
+_MAP = _decomposed()
+_KEY_MAP = {c: _separating(c, p) for c, p in _MAP.items()} | {c: " " for c in WHITE_SPACE if ord(c) > 0x7F}
 
 
 def quoted(text: str) -> str:
@@ -47,41 +53,76 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _fold(col: str, drop: str = "") -> str:
-    """Plain ASCII text, the common case, passes through untouched."""
-    kept = [c for c in _SINGLE if c not in drop]
-    # characters without a counterpart at the end are removed
-    single = (f"translate({col}, {quoted(''.join(kept) + drop)}, "
-              f"{quoted(''.join(_SINGLE[c] for c in kept))})")
-    table = f"str_to_map({quoted(_MULTI_TEXT)}, ';', '=')"
-    letters = f"transform(split({single}, ''), c -> coalesce(try_element_at({table}, c), c))"
-    folded = (f"case when {single} rlike {quoted('[' + ''.join(_MULTI) + ']')} "
-              f"then array_join({letters}, '') else {single} end")
-    return (f"case when {col} rlike {quoted(NON_ASCII)} "
-            f"then regexp_replace({folded}, {quoted(MARKS)}, '') else {col} end")
+def _syllable(c: str) -> str:
+    """The letters of a Hangul syllable, by its place in the block."""
+    def pick(first: int, n: int, at: str) -> str:
+        return f"substring({quoted(''.join(chr(first + i) for i in range(n)))}, cast({at} as int), 1)"
+    place = f"(ascii({c}) - {ord(_SYLLABLES[0])})"
+    return (f"concat({pick(0x1100, 19, f'{place} div 588 + 1')}, {pick(0x1161, 21, f'({place} % 588) div 28 + 1')}, "
+            f"if({place} % 28 = 0, '', {pick(0x11A8, 27, f'{place} % 28')}))")
+
+
+def _char_class(chars: list[str]) -> str:
+    """A pattern for these characters, neighbours joined to ranges."""
+    runs: list[list[int]] = []
+    for point in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == point - 1:
+            runs[-1][1] = point
+        else:
+            runs.append([point, point])
+    return "[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in runs) + "]"
+
+
+class _Folding:
+    """SQL that replaces characters by a table."""
+
+    def __init__(self, table: dict[str, str]) -> None:
+        one = {c: p for c, p in table.items() if len(p) == 1}
+        many = {c: p for c, p in table.items() if len(p) > 1}
+        # characters without a counterpart at the end are removed
+        self.find = quoted("".join(one) + "".join(c for c, p in table.items() if not p))
+        self.put = quoted("".join(one.values()))
+        self.long = quoted(_char_class([*many, *map(chr, range(ord(_SYLLABLES[0]), ord(_SYLLABLES[1]) + 1))]))
+        # one literal that Spark folds into a map, rather than an expression per entry;
+        # between entries, characters for private use, which the table cannot hold
+        entries = "\ue000".join(f"{c}\ue001{p}" for c, p in many.items())
+        self.map = f"str_to_map({quoted(entries)}, '\ue000', '\ue001')"
+
+    def sql(self, col: str) -> str:
+        """Plain ASCII text, the common case, passes through untouched."""
+        single = f"translate({col}, {self.find}, {self.put})"
+        letters = (f"transform(split({single}, ''), c -> case when c < '\x80' then c "
+                   f"when c between '{_SYLLABLES[0]}' and '{_SYLLABLES[1]}' then {_syllable('c')} "
+                   f"else coalesce(try_element_at({self.map}, c), c) end)")
+        return (f"case when not {col} rlike {quoted(NON_ASCII)} then {col} "
+                f"when {single} rlike {self.long} then array_join({letters}, '') else {single} end")
+
+
+_TEXT, _KEY = _Folding(_MAP), _Folding(_KEY_MAP)
 
 
 def strip_accents(col: str) -> Column:
     """Compatibility decomposition without combining marks; ``col`` is a column name
     or a SQL expression."""
-    return F.expr(_fold(col))
+    return F.expr(_TEXT.sql(col))
 
 
 def normalize(col: str) -> Column:
     """Accent-free upper case, letters A-Z and digits only."""
-    return F.expr(f"regexp_replace(upper({_fold(col)}), '[^A-Z0-9]', '')")
+    return F.expr(f"regexp_replace(upper({_TEXT.sql(col)}), '[^A-Z0-9]', '')")
 
 
 def _stop_word_pattern() -> str:
     # a stop word may carry punctuation between its letters, as in "S.A."
-    junk = r"[^A-Z0-9\s,]*"
+    apart = r"\s\x1c-\x1f,"
+    junk = f"[^A-Z0-9{apart}]*"
     words = "|".join(junk + junk.join(word) + junk for word in STOP_WORDS)
-    return rf"(?<![^\s,])(?:{words})(?![^\s,])"
+    return f"(?<![^{apart}])(?:{words})(?![^{apart}])"
 
 
 def company_key(col: str) -> Column:
     """Company name without legal-form words, for equality across spellings."""
-    without = f"regexp_replace(upper({_fold(col, drop=_SPACING)}), {quoted(_stop_word_pattern())}, '')"
+    without = f"regexp_replace(upper({_KEY.sql(col)}), {quoted(_stop_word_pattern())}, '')"
     return F.expr(f"regexp_replace({without}, '[^A-Z0-9]', '')")
 
 

@@ -1,4 +1,5 @@
 import re
+import sys
 import unicodedata
 
 import pytest
@@ -36,6 +37,15 @@ def test_keys_follow_their_definition(spark, texts):
         assert r.k == key(r.t), repr(r.t)
 
 
+def test_every_character_that_decomposes(spark):
+    points = (chr(cp) for lo, hi in ((0x80, 0xD7FF), (0xE000, sys.maxunicode)) for cp in range(lo, hi + 1))
+    texts = [f"a{c} DE{c}S" for c in points if plain(c) != c or c.isspace()]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", strip_accents("t").alias("a"), normalize("t").alias("n"), company_key("t").alias("k")).collect()
+    assert len(rows) > 15_000
+    assert [r.t for r in rows if (r.a, r.n, r.k) != (plain(r.t), norm(r.t), key(r.t))] == []
+
+
 def test_key_examples(spark):
     names = ["ANCORA APOGEU,LDA", "Ancora Apogeu", "Âncora  Apogeu, S.A.", "O'Neil \\ Filhos"]
     got = spark.range(1).select(*[key_of(n).alias(f"k{i}") for i, n in enumerate(names)]).first()
