@@ -242,13 +242,15 @@ ORACLE: dict[str, str] = {
         "select cast(em as varchar) em, entidade, cast(max(s.dia) as varchar) dia, "
         "cast(arg_max(saldo_contabilistico, s.dia) as double) saldo_contabilistico, "
         "cast(arg_max(saldo_disponivel, s.dia) as double) saldo_disponivel from ("
-        "select cast(unnest(generate_series(date '2024-01-01', date '2024-01-30', interval 1 day)) as date) em) "
+        "select cast(unnest(generate_series(inicio, fim, interval 1 day)) as date) em "
+        "from (select min(dia) inicio, max(dia) fim from saldos)) "
         "join saldos s on s.dia <= em group by em, entidade", _FLOWS),
     "balance_total": _sql(
         "select cast(em as varchar) em, count(*) entidades, cast(sum(c) as double) saldo_contabilistico_total, "
         "cast(sum(d) as double) saldo_disponivel_total from ("
         "select em, entidade, arg_max(saldo_contabilistico, s.dia) c, arg_max(saldo_disponivel, s.dia) d from ("
-        "select cast(unnest(generate_series(date '2024-01-01', date '2024-01-30', interval 1 day)) as date) em) "
+        "select cast(unnest(generate_series(inicio, fim, interval 1 day)) as date) em "
+        "from (select min(dia) inicio, max(dia) fim from saldos)) "
         "join saldos s on s.dia <= em group by em, entidade) group by em", _FLOWS),
     "balance_top10": _sql(
         f"select entidade, {_DAY}, cast(saldo_contabilistico as double) saldo_contabilistico, "
@@ -343,10 +345,12 @@ ORACLE: dict[str, str] = {
         select cast(d as varchar) dia, tabela, case
           when tabela = 'linhas' and d not in (select dia from linhas) then 'sem ficheiro'
           when tabela <> 'linhas' and d not in (select dia from movimentos) then 'sem ficheiro'
-          when day(d) % 2 <> 0 and d <> date '2001-07-31' then 'importar'
-          when tabela = 'saldos' and d = date '2001-07-31' then 'atualizar' else 'presente' end acao
-        from (select cast(unnest(generate_series(date '2001-08-01' - 2410, date '2001-08-01',
-          interval 1 day)) as date) d), (select unnest(['movimentos', 'saldos', 'linhas']) tabela)""", _LEDGER),
+          when day(d) % 2 <> 0 and d <> fim then 'importar'
+          when tabela = 'saldos' and d = fim then 'atualizar' else 'presente' end acao
+        from (select cast(unnest(generate_series(inicio, fim + 1, interval 1 day)) as date) d, fim
+          from (select min(dia) inicio, max(dia) fim
+            from (select dia from movimentos union all select dia from linhas))),
+          (select unnest(['movimentos', 'saldos', 'linhas']) tabela)""", _LEDGER),
     "workbook_import": _sql(
         "select cast(s.dia as varchar) dia, s.entidade empresa, n, cast(total as double) total, "
         "cast(saldo_contabilistico as double) saldo_contabilistico, "

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +21,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(2024, 1, 30, 13, 15)              # 13:15 in Lisbon and in UTC
 COMPANY = "Customer#000000007"
 ACCOUNT = "CONTA 7"
-LAST_DAY = date(2001, 8, 1)
-ALL_DAYS = 2410                                  # covers every day of the orders
-BALANCE_DAYS = (date(2024, 1, 1), date(2024, 1, 30))
 
 
 def plain(df: DataFrame, digits: int | None = None) -> DataFrame:
@@ -42,6 +39,11 @@ def plain(df: DataFrame, digits: int | None = None) -> DataFrame:
     return df.select([cast(f) for f in df.schema.fields])
 
 
+def _span(rows: DataFrame) -> tuple[date, date]:
+    """First and last day of a table."""
+    return tuple(rows.agg(F.min("dia"), F.max("dia")).first())
+
+
 def _joined(col: str) -> Column:
     return F.array_join(F.col(col).cast("array<string>"), ",").alias(col)
 
@@ -216,11 +218,13 @@ def balances_latest(spark, sf):
 
 
 def balances_asof(spark, sf):
-    return plain(balances.latest_between(ledger.balances(spark, sf), *BALANCE_DAYS).drop("id"))
+    days = _span(ledger.flows(spark, sf))
+    return plain(balances.latest_between(ledger.balances(spark, sf), *days).drop("id"))
 
 
 def balance_total(spark, sf):
-    daily = balances.latest_between(ledger.balances(spark, sf), *BALANCE_DAYS)
+    days = _span(ledger.flows(spark, sf))
+    daily = balances.latest_between(ledger.balances(spark, sf), *days)
     return plain(balances.total(daily, ["em"]))
 
 
@@ -392,15 +396,17 @@ def folded_transcripts(spark, sf):
 # ---- imports ---------------------------------------------------------------
 
 def import_plan(spark, sf):
-    """Actions for every day of the ledger, with the even days stored already."""
+    """Actions for every day of the ledger and the day after, with the even days and the
+    last one stored already."""
     m, lines = _ledger(spark, sf)
+    first, last = _span(m.select("dia").union(lines.select("dia")))
     days = m.select("dia").distinct()
     tables = lambda df, names: df.select(
         "dia", F.explode(F.array(*[F.lit(n) for n in names])).alias("tabela"))
     files = tables(days, [ingest.MOVEMENTS, ingest.BALANCES]).unionByName(
         tables(lines.select("dia").distinct(), [ingest.PLAN]))
-    stored = files.where("dayofmonth(dia) % 2 = 0 or dia = date'2001-07-31'")
-    return plain(ingest.plan_days(LAST_DAY, ALL_DAYS, files, stored))
+    stored = files.where((F.dayofmonth("dia") % 2 == 0) | (F.col("dia") == F.lit(last)))
+    return plain(ingest.plan_days(last + timedelta(days=1), (last - first).days + 1, files, stored))
 
 
 def workbook_import(spark, sf):
