@@ -1,8 +1,8 @@
 """Unusual amounts per company, by a one-dimensional isolation forest.
 
-With a single feature a forest is a step function of the amount. It is fitted on
-a bounded sample of each company; scoring is a lookup, done once per distinct
-amount. Parts of a large company's amounts are scored by different tasks.
+With a single feature a forest is a step function of the amount. Each tree is fitted on
+a few rows drawn from a company's whole history; scoring is a lookup, done once per
+distinct amount. Parts of a large company's amounts are scored by different tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from bankrec.session import deal_out, ensure_checkpoint_dir
 MIN_HISTORY = 10
 TREES = 100
 TREE_ROWS = 256
-SAMPLE_ROWS = 1000       # rows a company's trees draw from
 AMOUNTS_PER_PART = 100_000
 SEED = 42
 _MODEL_SCHEMA = "empresa string, cortes array<double>, notas array<double>"
@@ -52,17 +51,32 @@ def _segment_search(x, start, end, cut):
 
 
 def fit_forest(values: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cut points and the score of each interval between them. All trees grow one
-    level at a time; a node is a run of its tree's sorted sample."""
+    """A forest over the values at hand; each tree draws its rows from all of them."""
     rng = np.random.default_rng([SEED, seed])
     size = min(TREE_ROWS, len(values))
     picks = rng.random((TREES, len(values))).argpartition(size - 1, axis=1)[:, :size]
-    x = np.sort(values[picks], axis=1).ravel()
-    tree = np.arange(TREES)
-    start, end, low = tree * size, tree * size + size, np.full(TREES, -np.inf)
+    return _grow(list(values[picks]), rng)
+
+
+def _forest(trees, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The forest of one company from ``samples``."""
+    drawn = [np.asarray(t, dtype=float) for t in trees]
+    if len(drawn) == 1:
+        return fit_forest(drawn[0], seed)
+    return _grow(drawn, np.random.default_rng([SEED, seed]))
+
+
+def _grow(drawn: list[np.ndarray], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Cut points and the score of each interval between them. All trees grow one
+    level at a time; a node is a run of its tree's sorted sample."""
+    sizes = np.array([len(d) for d in drawn])
+    deepest = int(np.ceil(np.log2(max(sizes.max(), 2))))
+    x = np.concatenate([np.sort(d) for d in drawn])
+    end = np.cumsum(sizes)
+    tree, start, low = np.arange(len(drawn)), end - sizes, np.full(len(drawn), -np.inf)
     leaves = []
-    for depth in range(int(np.ceil(np.log2(max(size, 2)))) + 1):
-        last = depth == int(np.ceil(np.log2(max(size, 2))))
+    for depth in range(deepest + 1):
+        last = depth == deepest
         split = np.zeros(len(start), dtype=bool) if last else x[start] < x[end - 1]
         stop = ~split
         leaves.append((tree[stop], low[stop], depth + _path_length((end - start)[stop])))
@@ -84,26 +98,37 @@ def fit_forest(values: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     cuts = low[~first]
     by_cut = np.argsort(cuts, kind="stable")
     sums = height[first].sum() + np.concatenate([[0.0], np.cumsum(rise[by_cut])])
-    scale = max(float(_path_length(size)), 1e-9)
-    return cuts[by_cut], -np.exp2(-(sums / TREES) / scale)
-
-
-def samples(movimentos: DataFrame) -> DataFrame:
-    """``(empresa, amostra, semente)`` of eligible companies: at most ``SAMPLE_ROWS``
-    amounts each, picked by hash. The rank limit is applied before the shuffle, so a
-    large company sends few rows."""
-    place = F.row_number().over(W.partitionBy("empresa").orderBy(F.xxhash64("id", F.lit(SEED)), "id"))
-    picked = (movimentos.select("id", "empresa", F.col("valor").cast("double").alias("valor"))
-              .withColumn("_r", place).where(F.col("_r") <= SAMPLE_ROWS))
-    return (picked.groupBy("empresa").agg(F.array_sort(F.collect_list("valor")).alias("amostra"))
-            .where(F.size("amostra") >= MIN_HISTORY)
+    scale = max(float(_path_length(sizes.mean())), 1e-9)
+    return cuts[by_cut], -np.exp2(-(sums / len(drawn)) / scale)
+
+
+def samples(movimentos: DataFrame, min_rows: int = skew.MIN_ROWS) -> DataFrame:
+    """``(empresa, amostras, semente)`` of eligible companies: one list with the whole
+    history where a tree can hold it, else a list for each tree.
+
+    A row is ranked for every tree by a hash of its id and the tree, and a tree takes its
+    ``TREE_ROWS`` first rows of the whole history. Rows whose hash is far from the first
+    ones are left out before the shuffle, so a company sends about as many as it needs.
+    """
+    rows = movimentos.where("valor is not null").select("id", "empresa", F.col("valor").cast("double").alias("valor"))
+    counted = skew.join_lookup(rows, eligible(rows), ["empresa"], "inner", by="id", min_rows=min_rows)
+    # ten standard deviations above the number wanted
+    near = TREE_ROWS + 10 * TREE_ROWS ** 0.5
+    trees = (f"if(n <= {TREE_ROWS}, array(0), filter(sequence(0, {TREES - 1}), "
+             f"t -> xxhash64(id, t, {SEED}) / 18446744073709551616d + 0.5d < {near}d / n))")
+    place = F.row_number().over(W.partitionBy("empresa", "arvore").orderBy(F.xxhash64("id", "arvore", F.lit(SEED)), "id"))
+    drawn = (counted.select("id", "empresa", "valor", F.explode(F.expr(trees)).alias("arvore"))
+             .withColumn("_r", place).where(F.col("_r") <= TREE_ROWS)
+             .groupBy("empresa", "arvore").agg(F.array_sort(F.collect_list("valor")).alias("amostra")))
+    by_tree = F.array_sort(F.collect_list(F.struct("arvore", "amostra")))
+    return (drawn.groupBy("empresa").agg(by_tree["amostra"].alias("amostras"))
             .withColumn("semente", F.abs(F.xxhash64("empresa") % (1 << 31))))
 
 
 def _fit_batches(batches):
     for batch in batches:
-        rows = [(name, *fit_forest(np.asarray(sample, dtype=float), seed))
-                for name, sample, seed in zip(batch["empresa"], batch["amostra"], batch["semente"])]
+        rows = [(name, *_forest(trees, seed))
+                for name, trees, seed in zip(batch["empresa"], batch["amostras"], batch["semente"])]
         yield pd.DataFrame(rows, columns=["empresa", "cortes", "notas"])
 
 
@@ -117,7 +142,7 @@ def _score_batches(batches):
         forests, parts = {}, []
         for row in batch.itertuples(index=False):
             if row.empresa not in forests:
-                forests[row.empresa] = fit_forest(np.asarray(row.amostra, dtype=float), row.semente)
+                forests[row.empresa] = _forest(row.amostras, row.semente)
             cuts, scores = forests[row.empresa]
             parts.append(scores[np.searchsorted(cuts, row.centimos / 100.0, side="left")])
         if parts:
@@ -140,13 +165,13 @@ def score_amounts(movimentos: DataFrame, rows_per_part: int = AMOUNTS_PER_PART)
                .agg(F.count("*").alias("n")))
     heavy = skew.parts_of_heavy_keys(amounts.groupBy("empresa").agg(F.count("*").alias("_n")),
                                      "_n", rows_per_part)
-    parts = (amounts.join(F.broadcast(heavy), "empresa", "left")
+    parts = (amounts.join(heavy, "empresa", "left")
              .groupBy("empresa", F.expr("pmod(xxhash64(centimos), coalesce(_partes, 1)) as _parte"))
              .agg(F.collect_list(F.struct("centimos", "n")).alias("a")))
-    copies = (samples(movimentos).join(F.broadcast(heavy), "empresa", "left").selectExpr(
-        "empresa", "amostra", "semente", "explode(sequence(0L, coalesce(_partes, 1) - 1L)) as _parte"))
+    copies = (samples(movimentos).join(heavy, "empresa", "left").selectExpr(
+        "empresa", "amostras", "semente", "explode(sequence(0L, coalesce(_partes, 1) - 1L)) as _parte"))
     rows = parts.join(copies, ["empresa", "_parte"]).selectExpr(
-        "empresa", "amostra", "semente", "a.centimos as centimos", "a.n as n",
+        "empresa", "amostras", "semente", "a.centimos as centimos", "a.n as n",
         "concat(empresa, '/', _parte) as _onde")
     return deal_out(rows, "_onde").drop("_onde").mapInPandas(_score_batches, _SCORE_SCHEMA)
 

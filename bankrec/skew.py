@@ -61,7 +61,7 @@ def join_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def parts_of_heavy_keys(counts: DataFrame, n: str, rows_per_part: int) -> DataFrame:
-    """Keys of a per-key count that need more than one part. A table of N rows has
-    at most N / rows_per_part of them, so the result may be broadcast."""
+    """Keys of a per-key count that need more than one part: of N rows at most
+    N / rows_per_part. That grows with the table, so Spark decides how to join it."""
     return (counts.where(F.col(n) > rows_per_part)
             .withColumn("_partes", F.ceil(F.col(n) / rows_per_part).cast("int")).drop(n))
