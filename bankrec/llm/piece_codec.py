@@ -32,24 +32,28 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encode words, sharing the forward pass over common prefixes."""
+        ends, known, fits = self.pieces.ends, self.pieces.known, self.pieces.fits
         before, forward = "", [(0, NONE)]       # for each place: length of the last step, piece
         for word in sorted(w.replace(" ", MARK) for w in words):
             shared = _common(before, word)
             del forward[shared + 1:]
             for place in range(shared + 1, len(word) + 1):
-                forward.append(self._best(word, place, forward))
+                # the piece that ends here after a path it fits; none for a character without a piece
+                step = 1, NONE
+                for start in range(place - 1, -1, -1):
+                    piece = ends.get(word[start:place])
+                    if piece is None:
+                        break
+                    if piece != NONE:
+                        pair = forward[start][1], piece
+                        fit = known.get(pair)
+                        if fits(*pair) if fit is None else fit:
+                            step = place - start, piece
+                            break
+                forward.append(step)
             self.words[word] = self._path(word, forward)
             before = word
 
-    def _best(self, word: str, place: int, forward: list[tuple[int, int]]) -> tuple[int, int]:
-        """The piece that ends here after a path it fits; none for a character without a piece."""
-        ids, fits = self.pieces.ids, self.pieces.fits
-        for length in range(1, min(place, self.pieces.longest) + 1):
-            piece = ids.get(word[place - length:place])
-            if piece is not None and fits(forward[place - length][1], piece):
-                return length, piece
-        return 1, NONE
-
     def _path(self, word: str, forward: list[tuple[int, int]]) -> bytes:
         ids, place = [], len(word)
         while place:

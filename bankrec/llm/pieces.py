@@ -36,13 +36,19 @@ class Pieces:
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
         self.longest = max(map(len, self.ids))
         self.breaks_lines = not any("\n" in p for p in self.ids)
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.known: dict[tuple[int, int], bool] = {}
 
     @cached_property
     def prefixes(self) -> set[str]:
         """Proper prefixes of pieces, the empty one too."""
         return {p[:n] for p in self.ids for n in range(len(p))}
 
+    @cached_property
+    def ends(self) -> dict[str, int]:
+        """What pieces end with: the piece itself where it is one, else none. A text that is
+        not here ends no piece, and nothing longer before the same place does."""
+        return {p[n:]: NONE for p in self.ids for n in range(1, len(p))} | self.ids
+
     @cached_property
     def surfaces(self) -> list[bytes]:
         """What each piece stands for in decoded text."""
@@ -68,10 +74,10 @@ class Pieces:
     def fits(self, before: int, piece: int) -> bool:
         """Whether ``piece`` may follow: the two are how their text is encoded."""
         key = (before, piece)
-        known = self._fits.get(key)
+        known = self.known.get(key)
         if known is None:
             names = [self.names[piece]] if before == NONE else [self.names[before], self.names[piece]]
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            known = self._fits[key] = self.merged("".join(names)) == names
+            if len(self.known) > 2_000_000:
+                self.known.clear()
+            known = self.known[key] = self.merged("".join(names)) == names
         return known
