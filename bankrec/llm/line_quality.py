@@ -17,6 +17,8 @@ MIN_WORDS = 10
 MAX_REPEATED = 20        # percent of the words in repeated five-word windows
 LINE_DOCS = 100          # documents of a host that may share a line, at least
 LINE_PERCENT = 2         # and percent of the host's distinct documents
+SHARE_DOCS = 4           # the floor where the host's own share is to decide: a line on a few documents is no boilerplate
+ENOUGH_DOCS = 1000       # documents that suffice alone, whatever the host's size
 KEPT_PERCENT = 30        # of its words a document has to keep
 _SYMBOLS = "#*$%&|<>"
 
@@ -71,9 +73,10 @@ def _rows(docs: DataFrame) -> DataFrame:
         "row", row_key())
 
 
-def frequent_lines(rows: DataFrame, line_docs: int, line_percent: int) -> DataFrame:
+def frequent_lines(rows: DataFrame, line_docs: int, line_percent: int, enough_docs: int | None = None) -> DataFrame:
     """``(row, line, n)``: of each distinct row the lines above their host's limit, with the
-    number of words at each occurrence. Equal texts count as one document of their host."""
+    number of words at each occurrence. Equal texts count as one document of their host.
+    A line on more than ``enough_docs`` documents is above it, whatever their share."""
     lines = F.transform(F.filter(F.transform(F.split("text", "\n"), line_words), lambda ws: F.size(ws) > 0),
                         lambda ws: F.struct(F.xxhash64(ws).alias("line"), F.size(ws).alias("n")))
     exploded = rows.select("row", "host", F.xxhash64("text").alias("document"), F.explode(lines).alias("x")).select(
@@ -81,13 +84,15 @@ def frequent_lines(rows: DataFrame, line_docs: int, line_percent: int) -> DataFr
     documents = exploded.select("host", "document", "line").distinct()
     sizes = rows.groupBy("host").agg(F.countDistinct(F.xxhash64(F.coalesce("text", F.lit("")))).alias("docs"))
     counts = documents.groupBy("host", "line").agg(F.count("*").alias("shared")).where(F.col("shared") > line_docs)
-    above = (counts.join(sizes, "host").where(100 * F.col("shared") > line_percent * F.col("docs"))
-             .select("host", "line"))
+    limit = 100 * F.col("shared") > line_percent * F.col("docs")
+    if enough_docs is not None:
+        limit |= F.col("shared") > enough_docs
+    above = counts.join(sizes, "host").where(limit).select("host", "line")
     return exploded.join(above, ["host", "line"]).select("row", "line", "n")
 
 
 def assess(docs: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT,
-           kept_percent: int = KEPT_PERCENT) -> DataFrame:
+           kept_percent: int = KEPT_PERCENT, enough_docs: int | None = None) -> DataFrame:
     """One row per document row: ``doc_id``, the base columns, ``n_line_words`` (words in
     frequent lines) and ``kept``.
 
@@ -95,9 +100,14 @@ def assess(docs: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE
     read. A null text counts as empty: no words, so it fails the base rules. Rows with a
     null host are one host. Repeated rows come back as often as they came; equal texts
     count once for a line. An empty table gives no rows.
+
+    A line is frequent on more than ``line_docs`` documents of its host that are also more
+    than ``line_percent`` of them, or on more than ``enough_docs``. With the default floor
+    no line of a host of LINE_DOCS documents or fewer is; with SHARE_DOCS and ENOUGH_DOCS,
+    as in the pipeline, the host's own share decides at every size.
     """
     rows = _rows(docs)
-    lost = _lost(frequent_lines(rows, line_docs, line_percent)).select("row", "n_line_words")
+    lost = _lost(frequent_lines(rows, line_docs, line_percent, enough_docs)).select("row", "n_line_words")
     return _verdict(base_columns(rows).join(lost, "row", "left"), kept_percent).drop("row", "host")
 
 
@@ -113,11 +123,11 @@ def _verdict(rows: DataFrame, kept_percent: int) -> DataFrame:
 
 
 def clean(docs: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT,
-          kept_percent: int = KEPT_PERCENT) -> DataFrame:
+          kept_percent: int = KEPT_PERCENT, enough_docs: int | None = None) -> DataFrame:
     """The documents that ``assess`` keeps, all columns, without their frequent lines; blank
     lines stay where they are."""
     rows = _rows(docs)
-    lost = _lost(frequent_lines(rows, line_docs, line_percent)).withColumnRenamed("lines", "__lines")
+    lost = _lost(frequent_lines(rows, line_docs, line_percent, enough_docs)).withColumnRenamed("lines", "__lines")
     judged = docs.withColumn("__row", row_key()).withColumn("__all", F.struct(*docs.columns))
     judged = base_columns(judged.select("text", "__row", "__all")).withColumnRenamed("__row", "row")
     kept = _verdict(judged.join(lost, "row", "left"), kept_percent).where("kept")
