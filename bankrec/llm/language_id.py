@@ -21,7 +21,7 @@ from bankrec.llm.tokens import text_buffer
 from bankrec.llm.tokens import pieces as slices
 
 SAMPLE_TEXTS = 1500      # for each language, at most
-MAX_LANGUAGES = 200      # the most frequent ones are learned
+TOTAL_TEXTS = 300_000    # of all languages; with many, each has fewer texts, but one at least
 WINDOW = 256             # bytes
 WIDTHS, FILTERS, EMBEDDED = (2, 3, 4), 16, 8
 EPOCHS, BATCH, RATE = 6, 64, 0.01
@@ -162,22 +162,22 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
 
 
-def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, seed: int = 7) -> Network | None:
+def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, seed: int = 7, total_texts: int = TOTAL_TEXTS) -> Network | None:
     """Train on ``docs`` with ``text`` and ``lang``; null where there is nothing to learn.
 
-    The sample is bounded: ``sample_texts`` texts of each language (of the MAX_LANGUAGES
-    most frequent ones), those with the smallest hash, and of each text one window at a
-    hashed place."""
+    Every language is learned. The sample is bounded: ``sample_texts`` texts of each
+    language, or an equal part of ``total_texts`` where that is less (one text at least),
+    those with the smallest hash, and of each text one window at a hashed place."""
     rows = docs.where("lang is not null and text rlike '\\\\p{L}'").select("lang", "text")
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not common:
+    labels = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not labels:
         return None
+    each = max(1, min(sample_texts, total_texts // len(labels)))
     start = F.expr(f"1 + pmod(xxhash64(text, 3), greatest(1, char_length(text) - {WINDOW // 2}))").cast("int")
     order = W.partitionBy("lang").orderBy("place", "part")
     taken = (rows.select("lang", F.substring(F.col("text"), start, F.lit(WINDOW)).alias("part"), F.xxhash64("text").alias("place"))
-             .withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts))
-    sample = sorted((r["lang"], r["place"], r["part"]) for r in taken.where(F.col("lang").isin(common)).collect())
-    labels = sorted(common)
+             .withColumn("n", F.row_number().over(order)).where(F.col("n") <= each))
+    sample = sorted((r["lang"], r["place"], r["part"]) for r in taken.collect())
     number = {label: k for k, label in enumerate(labels)}
     windows = np.stack([_to_windows(np.frombuffer(part.encode()[:WINDOW], np.uint8))[0] for _, _, part in sample])
     return train(windows, np.array([number[lang] for lang, _, _ in sample]), labels, seed)
