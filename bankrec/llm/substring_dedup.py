@@ -9,22 +9,24 @@ stand in their texts, then share an anchor at the same offset, so
 2. around these, and nowhere else, anchors are extended to whole windows; and
 3. of each such window the smallest document is found; later ones lose the words.
 
-Documents are dealt into chunks of about ``chunk_bytes`` by a hash of their id. A chunk
-sends its distinct hashes, sorted and packed, to hash buckets and gets one bit for each
+Documents are dealt into chunks of about ``chunk_bytes`` by a hash of their id; rows without
+id are in no group. A chunk sends its distinct hashes, sorted and packed, to hash buckets and gets one bit for each
 back: an anchor or passage that every document shares costs one entry per chunk, and
-answers cost a bit. Chunks and buckets are the only groups; both have a bounded size.
+answers cost a bit. Chunks and buckets are the only groups; both have a bounded size, but for
+a chunk in which one id has many rows: these are one document, and stay together.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bankrec.llm.tokens import WHITE, Words, whole_windows, windows, words_of
+from bankrec.llm.tokens import WHITE, Words, pieces, whole_windows, windows, words_of
 
 MODULUS = 7
 COVER = (0, 1, 3)          # every difference modulo 7 occurs: a perfect difference set
@@ -54,6 +56,7 @@ def remove_repeated(docs: DataFrame, window: int = 13, chunk_bytes: int = CHUNK_
     if window < MODULUS + 1:
         raise ValueError(f"windows of {MODULUS + 1} words at least")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, unnamed = rows.where("doc_id is not null"), rows.where("doc_id is null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(total / chunk_bytes))
     buckets = 1 << max(0, math.ceil(math.log2(max(1.0, total / 12 / bucket_entries))))
@@ -66,12 +69,13 @@ def remove_repeated(docs: DataFrame, window: int = 13, chunk_bytes: int = CHUNK_
     earlier = (groups.cogroup(shared.groupBy("chunk"))
                .applyInArrow(lambda part, answers: plan.candidates(part, answers), _PACKED)
                .groupBy("bucket").applyInArrow(_earlier_bits, _BITS))
-    return (groups.cogroup(shared.unionByName(earlier).groupBy("chunk"))
+    done = (groups.cogroup(shared.unionByName(earlier).groupBy("chunk"))
             .applyInArrow(lambda part, answers: plan.result(part, answers), _RESULT))
+    return done.unionByName(unnamed.mapInArrow(_whole, _RESULT))
 
 
 def _chunk(chunks: int) -> Column:
-    return F.expr(f"pmod(xxhash64(coalesce(doc_id, xxhash64(text))), {chunks}L)")
+    return F.expr(f"pmod(xxhash64(doc_id), {chunks}L)")
 
 
 class _Chunk:
@@ -80,15 +84,13 @@ class _Chunk:
     def __init__(self, rows: pa.Table, window: int) -> None:
         self.number = rows["chunk"][0].as_py()
         ids = rows["doc_id"].combine_chunks()
-        self.known = np.asarray(ids.is_valid())
-        self.ids = np.asarray(ids.fill_null(0)).astype(np.int64)
+        self.ids = np.asarray(ids).astype(np.int64)
         self.words: Words = words_of(rows["text"])
         self.window = window
         short = window - MODULUS + 1
         cover = np.isin(np.arange(MODULUS), COVER)
         n = max(0, len(self.words.doc) - short + 1)
         fit = whole_windows(self.words, short) & cover[self.words.position()[:n] % MODULUS]
-        fit &= self.known[self.words.doc[:n]]
         self.at = np.flatnonzero(fit)
         keys = windows(self.words.hashes, short)[self.at] >> np.uint64(64 - 8 * _ANCHOR_BYTES)
         self.distinct, self.which = np.unique(keys, return_inverse=True)
@@ -258,6 +260,14 @@ def _empty(schema: pa.Schema) -> pa.Table:
     return schema.empty_table()
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Result rows that keep all their words."""
+    for batch in batches:
+        for part in pieces(batch):
+            words = words_of(part["text"])
+            yield from _kept(pa.Table.from_batches([part]), words, np.zeros(len(words.doc), bool)).to_batches()
+
+
 def _kept(rows: pa.Table, words: Words, removed: np.ndarray) -> pa.Table:
     """Result rows: counts, spans and the words that stay, joined by one space."""
     n = rows.num_rows
