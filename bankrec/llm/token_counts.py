@@ -5,11 +5,11 @@ end of the text read so far that begins a piece, and for each place in it where
 begin, the piece before that place and the count there. A transition reads a character and
 emits the change of the count. Both are compiled when first needed and kept.
 
-A text is cut into chunks. A chunk is a map from entry states to exit states and counts.
-Where a run of spaces begins, and after a line break, no piece can reach across, so
-chunks there have one entry state, and their maps compose by addition: the counts of
-all texts of a batch come from one prefix scan over all their chunks. A run without such a place is cut
-at a fixed length, and its maps are composed state by state.
+A text is cut into chunks. Where a run of spaces begins, and after a line break, no piece
+can reach across, so chunks there have one entry state and only their counts matter: the
+counts of all texts of a batch come from one prefix sum over all their chunks. A run without
+such a place is cut at a fixed length; the chunks of its text then go in sequence, each from
+the state the one before left.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ class Transducer:
         return sums[ends[1:]] - sums[ends[:-1]]
 
     def _carried(self, chunks: list[str]) -> int:
-        """Maps composed from left to right, where a chunk may begin in any state."""
+        """Chunks in sequence, where each begins in the state the one before left."""
         state, total = START, 0
         for chunk in chunks:
             state, count = self.run(chunk, state)
