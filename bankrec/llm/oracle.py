@@ -144,6 +144,18 @@ w{k + 1} as materialized (
     return ",".join(parts)
 
 
+_CRC = """crc as (
+    select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
+               case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as t)"""
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a text, where the table ``t`` of ``crc`` is joined."""
+    return f"""xor(4294967295, list_reduce(
+               list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: cast('0x' || x as bigint)),
+               lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295))"""
+
+
 def _ring_sql(shards: int, virtual: int) -> str:
     placed = " union all ".join(f"select origin, start, taken as n, shard from a{k} where taken > 0" for k in range(shards))
     return rf"""
@@ -153,15 +165,11 @@ with ring as materialized (
           from range({shards}) a(s), range({virtual}) b(v))),
 size as (select {shards * virtual} as p),
 places as (select list(spot order by spot) as ps from ring),
-crc as (
-    select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
-               case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as t),
+{_CRC},
 d as (
     select doc_id, strlen(coalesce(text, '')) + 1 as size,
            cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 15) as bigint) as place,
-           xor(4294967295, list_reduce(
-               list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: cast('0x' || x as bigint)),
-               lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295)) as text_crc32
+           {_crc32("coalesce(text, '')")} as text_crc32
     from documents, crc),
 r as (
     select *, row_number() over (partition by origin order by place, doc_id) - 1 as rank
@@ -180,3 +188,84 @@ from r join q on r.origin = q.origin and rank >= start and rank < start + n
 
 
 ORACLE["op9_ring_shards"] = _ring_sql(16, 64)
+
+# the search is nearly exact: a row that differs would be a neighbour it missed
+ORACLE["op11_collision_search"] = """
+with v as (
+    select vec_id, max(cast(embedding as double[])) as x from embeddings
+    where vec_id is not null and len(embedding) = len(list_filter(embedding, lambda e: isfinite(e)))
+      and len(list_filter(embedding, lambda e: e <> 0)) > 0
+    group by vec_id),
+s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.x, c.x) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from s qualify rank <= 20
+"""
+
+ORACLE["op12_periodic_runs"] = rf"""
+with {_CRC},
+d as (
+    select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+           {_crc32("cast(doc_id as varchar)")} as h
+    from documents, crc),
+e as (select r, doc_id, ws, len(ws) as n, h // 10 as g, case when h % 10 = 0 and len(ws) > 0 then (h // 10) % len(ws) end as a from d),
+f as (select *, 1 + (n - a) // (3 + g % 8) as p from e),
+t as materialized (
+    select r, doc_id, n,
+           case when a is null then ws else ws[1:a] || list_transform(range(a, n), lambda i: ws[1 + a + (i - a) % p]) end as ws
+    from f),
+w as materialized (select r, n, unnest(range(n)) as i, unnest(ws) as w from t),
+m as (
+    select x.r, x.i, y.i - x.i as q
+    from w x join w y on x.r = y.r and x.w = y.w and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+s as (select r, q, i, i - row_number() over (partition by r, q order by i) as island from m),
+o as (select r, q, min(i) as start, count(*) + q as length from s group by r, q, island having count(*) + q >= greatest(6, 4 * q)),
+runs as materialized (select r, start, length, min(q) as period from o group by r, start, length),
+best as (
+    select * from runs a where not exists (
+        select 1 from runs b where a.r = b.r and (b.length * a.period > a.length * b.period
+            or (b.length * a.period = a.length * b.period and (b.start, b.period) < (a.start, a.period))))),
+told as (
+    select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines
+    from runs group by r),
+gone as (select distinct r, unnest(range(start + period, start + length)) as i from runs),
+kept as (select r, string_agg(w, ' ' order by i) as words from w anti join gone using (r, i) group by r)
+select doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, cast(start as bigint) as start, cast(length as bigint) as length,
+       cast(period as bigint) as period, cast(1000 * length // period as bigint) as exponent_milli,
+       sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+from t left join best using (r) left join told using (r) left join kept using (r)
+"""
+
+ORACLE["op13_prefix_trie"] = rf"""
+with {_CRC},
+c as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+           row_number() over (partition by conv_id order by turn nulls first,
+                              sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as j
+    from conversations where conv_id is not null),
+ids as (select conv_id, {_crc32("cast(conv_id as varchar)")} % 4 as h from (select distinct conv_id from c), crc),
+rebuilt as (
+    select i.conv_id, j, role, text from ids i join c on c.conv_id = i.conv_id - i.conv_id % 20 where j < h
+    union all
+    select i.conv_id, j, role, text from ids i join c using (conv_id) where j >= h),
+member as materialized (
+    select conv_id, row_number() over (partition by conv_id order by j) as d,
+           string_agg(md5(strlen(role) || ':' || role || text), '') over (partition by conv_id order by j) as prefix,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words
+    from rebuilt
+    union all select conv_id, 0, '', 0 from ids),
+size as (select conv_id, max(d) as size from member group by conv_id),
+node as materialized (
+    select d, prefix, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words,
+           coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where d = size), '') as ends
+    from member join size using (conv_id) group by d, prefix),
+child as (select d - 1 as d, prefix[1:32 * (d - 1)] as prefix, count(*) as n_children from node where d > 0 group by all),
+up as (
+    select n.prefix, unnest(range(n.d + 1)) as above, words * (n_convs - 1) as saved, cast(n_children is null as int) as leaf
+    from node n left join child using (d, prefix)),
+below as (select above as d, prefix[1:32 * above] as prefix, sum(leaf) as n_leaves, sum(saved) as saved_tokens from up group by all)
+select n.conv_id, cast(n.d as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs,
+       coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves,
+       cast(saved_tokens as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from node n left join child using (d, prefix) join below using (d, prefix)
+     left join node p on p.d = n.d - 1 and p.prefix = n.prefix[1:32 * (n.d - 1)]
+"""
