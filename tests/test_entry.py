@@ -13,7 +13,8 @@ def _copied(tmp_path, *left_out):
     for name in ("__spark_entry__.py", "corpus_pipeline.py"):
         if name not in left_out and (ROOT / name).exists():
             shutil.copy(ROOT / name, tmp_path / name)
-    code = "import __spark_entry__ as e; print(sorted(q for q in e.queries() if q[:2] == 'op' and '_' in q[2:5] or q == 'pipeline')[:1], len(e.oracle_sql()) > 40)"
+    code = ("import __spark_entry__ as e, re; "
+            "print([q for q in e.queries() if re.match('op[0-9]|pipeline', q)], len(e.oracle_sql()) > 40)")
     return subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
 
 
