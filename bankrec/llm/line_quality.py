@@ -12,15 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bankrec.llm.native import WHITE, has_word, let, row_key, words
+from bankrec.llm.shared import stored
 
 MIN_WORDS = 10
 MAX_REPEATED = 20        # percent of the words in repeated five-word windows
-LINE_DOCS = 100          # documents of a host that may share a line, at least
-LINE_PERCENT = 2         # and percent of the host's distinct documents
-SHARE_DOCS = 4           # the floor where the host's own share is to decide: a line on a few documents is no boilerplate
-ENOUGH_DOCS = 1000       # documents that suffice alone, whatever the host's size
+LINE_DOCS = 4            # documents of a host that may share a line; on a few of them it is no boilerplate
+LINE_PERCENT = 2         # nor up to this percent of the host's distinct documents,
+ENOUGH_DOCS = 1000       # but on more documents than this it is, whatever the host's size
+SHARE_DOCS = LINE_DOCS
 KEPT_PERCENT = 30        # of its words a document has to keep
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 
 
 def base_columns(rows: DataFrame) -> DataFrame:
@@ -31,12 +32,12 @@ def base_columns(rows: DataFrame) -> DataFrame:
     lines = F.filter(F.split(bare, "\n"), has_word)
     split = rows.select(
         *rest, words().alias("__words"),
-        F.length(F.translate(bare, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(bare) - F.length(F.translate(bare, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(bare, F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"))
     grams = F.expr("transform(if(size(__words) < 5, array(), sequence(0, size(__words) - 5)), "
                    "i -> xxhash64(__words[i], __words[i + 1], __words[i + 2], __words[i + 3], __words[i + 4]))")
-    counted = split.select(*rest, F.size("__words").cast("long").alias("n_words"), "word_chars", "n_symbols",
+    chars = F.aggregate("__words", F.lit(0).cast("long"), lambda n, w: n + F.length(w))
+    counted = split.select(*rest, F.size("__words").cast("long").alias("n_words"), chars.alias("word_chars"), "n_symbols",
                            "n_dup_lines", grams.alias("__grams"))
     repeated = F.when(F.size("__grams") == F.size(F.array_distinct("__grams")), F.lit(0)).otherwise(_repeated())
     # a generator's columns are values: a later filter on them is not rewritten in terms of
@@ -67,32 +68,46 @@ def line_words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), WHITE + "+"), lambda w: w != "")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.xxhash64(F.col("source").isNull(), F.col("source").cast("string")).alias("host")).withColumn(
-        "row", row_key())
+def measured(docs: DataFrame) -> DataFrame:
+    """A row per document row, from one scan of the texts: ``doc_id``, ``place`` (of this row
+    alone), ``row`` (equal for equal rows), ``host``, ``document`` (equal for equal texts), ``lines`` (hashes and words of the
+    normalised lines) and the base columns. Stored, as it is read several times."""
+    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), line_words), lambda ws: F.size(ws) > 0),
+                        lambda ws: F.struct(F.xxhash64(ws).alias("line"), F.size(ws).alias("n")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.xxhash64(F.col("source").isNull(), F.col("source").cast("string")).alias("host"))
+    return stored(base_columns(rows.withColumns({
+        "place": F.monotonically_increasing_id(), "row": row_key(), "document": F.xxhash64(F.coalesce("text", F.lit(""))), "lines": lines})))
 
 
-def frequent_lines(rows: DataFrame, line_docs: int, line_percent: int, enough_docs: int | None = None) -> DataFrame:
-    """``(row, line, n)``: of each distinct row the lines above their host's limit, with the
-    number of words at each occurrence. Equal texts count as one document of their host.
+def frequent_lines(rows: DataFrame, line_docs: int, line_percent: int, enough_docs: int) -> DataFrame:
+    """``(place, line, n)``: of each of the ``measured`` rows the lines above their host's limit,
+    with the number of words at each occurrence. Equal texts count as one document of their host.
     A line on more than ``enough_docs`` documents is above it, whatever their share."""
-    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), line_words), lambda ws: F.size(ws) > 0),
-                        lambda ws: F.struct(F.xxhash64(ws).alias("line"), F.size(ws).alias("n")))
-    exploded = rows.select("row", "host", F.xxhash64("text").alias("document"), F.explode(lines).alias("x")).select(
-        "row", "host", "document", "x.line", "x.n")
+    exploded = rows.select("place", "host", "document", F.explode("lines").alias("x")).select(
+        "place", "host", "document", "x.line", "x.n")
     documents = exploded.select("host", "document", "line").distinct()
-    sizes = rows.groupBy("host").agg(F.countDistinct(F.xxhash64(F.coalesce("text", F.lit("")))).alias("docs"))
+    sizes = rows.select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     counts = documents.groupBy("host", "line").agg(F.count("*").alias("shared")).where(F.col("shared") > line_docs)
-    limit = 100 * F.col("shared") > line_percent * F.col("docs")
-    if enough_docs is not None:
-        limit |= F.col("shared") > enough_docs
+    limit = (100 * F.col("shared") > line_percent * F.col("docs")) | (F.col("shared") > enough_docs)
     above = counts.join(sizes, "host").where(limit).select("host", "line")
-    return exploded.join(above, ["host", "line"]).select("row", "line", "n")
+    return exploded.join(above, ["host", "line"]).select("place", "line", "n")
+
+
+def judged(docs: DataFrame, line_docs: int, line_percent: int, kept_percent: int, enough_docs: int) -> DataFrame:
+    """The ``measured`` rows with ``n_line_words``, ``kept``, and as ``lines`` the frequent
+    ones only, null where there is none."""
+    rows = measured(docs)
+    lost = (frequent_lines(rows, line_docs, line_percent, enough_docs).groupBy("place")
+            .agg(F.collect_set("line").alias("lines"), F.sum("n").alias("n_line_words")))
+    rows = rows.drop("lines").join(lost, "place", "left").drop("place")
+    rows = rows.withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0)).cast("long"))
+    left = 100 * (F.col("n_words") - F.col("n_line_words"))
+    return rows.withColumn("kept", ~F.col("base_failed") & (left >= kept_percent * F.col("n_words")))
 
 
 def assess(docs: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT,
-           kept_percent: int = KEPT_PERCENT, enough_docs: int | None = None) -> DataFrame:
+           kept_percent: int = KEPT_PERCENT, enough_docs: int = ENOUGH_DOCS) -> DataFrame:
     """One row per document row: ``doc_id``, the base columns, ``n_line_words`` (words in
     frequent lines) and ``kept``.
 
@@ -102,37 +117,22 @@ def assess(docs: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE
     count once for a line. An empty table gives no rows.
 
     A line is frequent on more than ``line_docs`` documents of its host that are also more
-    than ``line_percent`` of them, or on more than ``enough_docs``. With the default floor
-    no line of a host of LINE_DOCS documents or fewer is; with SHARE_DOCS and ENOUGH_DOCS,
-    as in the pipeline, the host's own share decides at every size.
+    than ``line_percent`` of them, or on more than ``enough_docs``: the host's own share
+    decides at every size.
     """
-    rows = _rows(docs)
-    lost = _lost(frequent_lines(rows, line_docs, line_percent, enough_docs)).select("row", "n_line_words")
-    return _verdict(base_columns(rows).join(lost, "row", "left"), kept_percent).drop("row", "host")
-
-
-def _lost(lines: DataFrame) -> DataFrame:
-    return lines.dropDuplicates(["row", "line"]).groupBy("row").agg(F.collect_set("line").alias("lines")).join(
-        lines.groupBy("row").agg(F.sum("n").alias("n_line_words")), "row")
-
-
-def _verdict(rows: DataFrame, kept_percent: int) -> DataFrame:
-    rows = rows.withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0)).cast("long"))
-    left = 100 * (F.col("n_words") - F.col("n_line_words"))
-    return rows.withColumn("kept", ~F.col("base_failed") & (left >= kept_percent * F.col("n_words")))
+    return judged(docs, line_docs, line_percent, kept_percent, enough_docs).drop("row", "host", "document", "lines")
 
 
 def clean(docs: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT,
-          kept_percent: int = KEPT_PERCENT, enough_docs: int | None = None) -> DataFrame:
-    """The documents that ``assess`` keeps, all columns, without their frequent lines; blank
-    lines stay where they are."""
-    rows = _rows(docs)
-    lost = _lost(frequent_lines(rows, line_docs, line_percent, enough_docs)).withColumnRenamed("lines", "__lines")
-    judged = docs.withColumn("__row", row_key()).withColumn("__all", F.struct(*docs.columns))
-    judged = base_columns(judged.select("text", "__row", "__all")).withColumnRenamed("__row", "row")
-    kept = _verdict(judged.join(lost, "row", "left"), kept_percent).where("kept")
-    text = F.col("__all.text")
-    shorter = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__lines", F.xxhash64(line_words(x)))), "\n")
-    return kept.select(*(
-        F.when(F.col("__lines").isNull(), text).otherwise(shorter).alias(c) if c == "text"
-        else F.col("__all")[c].alias(c) for c in docs.columns))
+          kept_percent: int = KEPT_PERCENT, enough_docs: int = ENOUGH_DOCS) -> DataFrame:
+    """The documents that ``assess`` keeps, all columns whatever their names, without their
+    frequent lines; blank lines stay where they are. A document with a null text is rejected
+    like an empty one; repeated rows are kept or go together; an empty table stays empty."""
+    kept = judged(docs, line_docs, line_percent, kept_percent, enough_docs).where("kept").select(
+        F.col("row").alias("key"), "lines").dropDuplicates(["key"])
+    rows = docs.select(F.struct(*docs.columns).alias("all"), row_key().alias("key")).join(kept, "key")
+    text = F.col("all.text")
+    shorter = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("lines", F.xxhash64(line_words(x)))), "\n")
+    return rows.select(*(
+        F.when(F.col("lines").isNull(), text).otherwise(shorter).alias(c) if c == "text"
+        else F.col("all")[c].alias(c) for c in docs.columns))

@@ -104,7 +104,7 @@ u as (select r, count(*) - count(distinct line) as n_dup_lines from f group by r
 h as (select source, count(distinct text) as docs from f group by source),
 a as (
     select source, norm from f join h using (source) group by source, norm
-    having count(distinct text) > 100 and 100 * count(distinct text) > 2 * any_value(docs)),
+    having count(distinct text) > 4 and 100 * count(distinct text) > 2 * any_value(docs) or count(distinct text) > 1000),
 x as (select r, sum(n) as n_line_words from f semi join a using (source, norm) group by r),
 g as (select r, unnest(range(1, len(ws) - 3)) as i, ws from d where len(ws) >= 5),
 k as (select r, i, count(*) over (partition by r, array_to_string(ws[i:i + 4], ' ')) as n from g),
