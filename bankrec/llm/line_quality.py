@@ -19,7 +19,6 @@ MAX_REPEATED = 20        # percent of the words in repeated five-word windows
 LINE_DOCS = 4            # documents of a host that may share a line; on a few of them it is no boilerplate
 LINE_PERCENT = 2         # nor up to this percent of the host's distinct documents,
 ENOUGH_DOCS = 1000       # but on more documents than this it is, whatever the host's size
-SHARE_DOCS = LINE_DOCS
 KEPT_PERCENT = 30        # of its words a document has to keep
 _SYMBOLS = "[#*$%&|<>]"
 
