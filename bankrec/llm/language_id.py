@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bankrec.llm.native import hash_limit
 from bankrec.llm.tokens import text_buffer
 from bankrec.llm.tokens import pieces as slices
 
@@ -158,24 +159,32 @@ _LETTERS = np.array([(65 <= b <= 90) or (97 <= b <= 122) or b >= 128 for b in ra
 
 
 def held_out(modulus: int, remainder: int) -> Column:
-    """Documents that nothing is learned from."""
-    return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
+    """Documents that nothing is learned from; one without id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
 def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, seed: int = 7, total_texts: int = TOTAL_TEXTS) -> Network | None:
     """Train on ``docs`` with ``text`` and ``lang``; null where there is nothing to learn.
+    Repeated rows count once. As many languages as there are come to the driver, by name.
 
     Every language is learned. The sample is bounded: ``sample_texts`` texts of each
     language, or an equal part of ``total_texts`` where that is less (one text at least),
     those with the smallest hash, and of each text one window at a hashed place."""
     rows = docs.where("lang is not null and text rlike '\\\\p{L}'").select("lang", "text")
-    labels = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    different = F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(different).collect()}
+    labels = sorted(counts)
     if not labels:
         return None
     each = max(1, min(sample_texts, total_texts // len(labels)))
     start = F.expr(f"1 + pmod(xxhash64(text, 3), greatest(1, char_length(text) - {WINDOW // 2}))").cast("int")
+    # a hash decides before the shuffle, so that a frequent language sends little more than its sample
+    some = 1.1 * each + 4 * each ** 0.5 + 10
+    limits = docs.sparkSession.createDataFrame(
+        [(k, hash_limit(some / n)) for k, n in counts.items()], "lang string, most long")
     order = W.partitionBy("lang").orderBy("place", "part")
     taken = (rows.select("lang", F.substring(F.col("text"), start, F.lit(WINDOW)).alias("part"), F.xxhash64("text").alias("place"))
+             .join(F.broadcast(limits), "lang").where("place <= most").select("lang", "part", "place").distinct()
              .withColumn("n", F.row_number().over(order)).where(F.col("n") <= each))
     sample = sorted((r["lang"], r["place"], r["part"]) for r in taken.collect())
     number = {label: k for k, label in enumerate(labels)}

@@ -34,3 +34,8 @@ def row_key() -> Column:
     bare = F.coalesce(F.col("text"), F.lit(""))
     return F.struct(F.xxhash64(F.lit(1), "doc_id", bare, F.col("text").isNull()).alias("a"),
                     F.xxhash64(F.lit(2), bare, "doc_id").alias("b"))
+
+
+def hash_limit(share: float) -> int:
+    """The largest of the smallest 64-bit hashes that make up ``share`` of all."""
+    return min((1 << 63) - 1, int(-(1 << 63) + min(1.0, share) * (1 << 64)))

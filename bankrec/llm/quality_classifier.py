@@ -1,8 +1,8 @@
 """Quality scores by naive Bayes support vectors.
 
-A text is the set of its n-grams, hashed. Every labelled text counts for the log-ratios of
-the classes; a linear hinge-loss model is fitted to the indicators scaled by these ratios,
-by dual coordinate descent over a bounded sample. Margins of texts kept out of the fit turn
+A text is the set of its n-grams, hashed. A bounded number of labelled texts counts for the
+log-ratios of the classes; a linear hinge-loss model is fitted to the indicators scaled by these ratios,
+by dual coordinate descent over a part of them. Margins of texts kept out of the fit turn
 into probabilities through a logistic curve. N-grams are runs of bytes, and runs of marks
 at words and lines that repeat.
 """
@@ -18,12 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bankrec.llm.native import hash_limit
+from bankrec.llm.shared import stored
 from bankrec.llm.tokens import mix, text_buffer
 from bankrec.llm.tokens import pieces as slices
 
 BITS = 16                 # 65,536 features
-SAMPLE_TEXTS = 6000       # labelled texts the support vectors are fitted to, at most
+COUNTED_TEXTS = 30_000    # labelled ids that the ratios are counted over, about
+SAMPLE_TEXTS = 6000       # labelled texts the support vectors are fitted to, at most,
+SAMPLE_FEATURES = 24_000_000   # with as many features in all
 SMOOTHING, COST, PASSES = 1.0, 1.0, 12
+_TOLD = "kind int, place long, found binary, n long"
 _SPAN = 1 << 20           # bytes of a text looked at together; spans overlap
 
 
@@ -118,19 +123,24 @@ def _curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(a), float(-b / a)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS, seed: int = 7) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS, seed: int = 7,
+          counted_texts: int = COUNTED_TEXTS, sample_features: int = SAMPLE_FEATURES) -> Model | None:
     """Learn from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``quality``); null
-    where either class is missing. All labelled texts are counted for the ratios;
-    ``sample_texts`` of them, those with the smallest hash, fit the support vectors."""
-    marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    total = marked.count()
-    share = min(1.0, 1.3 * sample_texts / max(1, total))
-    rows = docs.where("text is not null").select("doc_id", "text").join(marked, "doc_id").select(
-        "text", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id", "text").alias("place"))
-    cutoff = int(-(1 << 63) + share * ((1 << 64) - 1))
-    told = rows.mapInArrow(lambda batches: _tell(batches, cutoff), "kind int, place long, found binary, n long")
-    counts = (told.where("kind >= 2").repartition("kind").mapInArrow(_add, "kind int, place long, found binary, n long"))
-    sample = told.where("kind < 2").orderBy("place", "kind", "found").limit(sample_texts)
+    where either class is missing. Rows without id or text, and labels other than 0 and 1,
+    are left out; of several labels of an id the greatest counts; repeated rows count each.
+
+    About ``counted_texts`` labelled ids, those with the smallest hash, give the ratios, and of
+    their texts ``sample_texts`` fit the support vectors, as long as they have no more than
+    ``sample_features`` features in all. The chosen labels are few, so no text is shuffled."""
+    marked = stored(labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+                    .agg(F.max("quality").cast("int").alias("quality")))
+    total = max(1, marked.count())
+    chosen = marked.where(F.xxhash64("doc_id") <= hash_limit(counted_texts / total))
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+        "text", "quality", F.xxhash64("doc_id", "text").alias("place"))
+    cutoff = hash_limit(1.3 * sample_texts / min(counted_texts, total))
+    told = stored(rows.mapInArrow(lambda batches: _tell(batches, cutoff), _TOLD))
+    counts = told.where("kind >= 2").repartition("kind").mapInArrow(_add, _TOLD)
     summed = {r["kind"]: (np.frombuffer(r["found"], "<i8"), r["n"]) for r in counts.collect()}
     if {2, 3} - summed.keys():
         return None
@@ -138,11 +148,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS,
     for kind in (3, 2):
         n, texts = summed[kind]
         scaled.append(np.log((n + SMOOTHING) / (texts + 2 * SMOOTHING)))
-    picked = sample.collect()
-    targets = np.array([r["kind"] for r in picked])
+    sample = told.where("kind < 2").dropDuplicates(["place", "kind"])
+    order = sample.select("place", "kind", "n").orderBy("place", "kind").limit(sample_texts).collect()
+    within = np.cumsum([r["n"] for r in order]) <= sample_features
+    if not within.any():
+        return None
+    last = order[int(within.sum()) - 1]
+    picked = sample.where((F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("kind") <= last["kind"])))
+    picked = sorted((r["place"], r["kind"], bytes(r["found"])) for r in picked.select("place", "kind", "found").collect())
+    targets = np.array([kind for _, kind, _ in picked])
     if len(set(targets.tolist())) < 2:
         return None
-    return fit([np.frombuffer(r["found"], "<u2") for r in picked], targets, scaled[0] - scaled[1], seed)
+    return fit([np.frombuffer(found, "<u2") for *_, found in picked], targets, scaled[0] - scaled[1], seed)
 
 
 def _tell(batches: Iterator[pa.RecordBatch], cutoff: int) -> Iterator[pa.RecordBatch]:
@@ -158,9 +175,15 @@ def _tell(batches: Iterator[pa.RecordBatch], cutoff: int) -> Iterator[pa.RecordB
                 counts[label, found] += 1
                 texts[label] += 1
                 if place <= cutoff:
-                    out.append((label, place, found.astype("<u2").tobytes(), 1))
+                    out.append((label, place, found.astype("<u2").tobytes(), len(found)))
             yield _table(out)
-    yield _table([(label + 2, None, counts[label].astype("<i8").tobytes(), texts[label]) for label in (0, 1) if texts[label]])
+    yield _table([(label + 2, None, _packed(counts[label]), texts[label]) for label in (0, 1) if texts[label]])
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Features that occur, then how often."""
+    found = np.flatnonzero(counts)
+    return found.astype("<i8").tobytes() + counts[found].astype("<i8").tobytes()
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +191,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts: dict[int, int] = {}
     for batch in batches:
         for kind, found, n in zip(batch["kind"].to_pylist(), batch["found"].to_pylist(), batch["n"].to_pylist(), strict=True):
-            sums[kind] = sums.get(kind, 0) + np.frombuffer(found, "<i8")
+            place, more = np.frombuffer(found, "<i8").reshape(2, -1)
+            sums.setdefault(kind, np.zeros(1 << BITS, np.int64))[place] += more
             texts[kind] = texts.get(kind, 0) + n
     yield _table([(kind, None, s.astype("<i8").tobytes(), texts[kind]) for kind, s in sums.items()])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,9 @@ def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def model_bytes(name: str = "piece_bpe_32k.model", folder: str | None = None) -> bytes:
-    """A vocabulary file; tasks get its content, so only the driver needs the folder."""
-    with open(os.path.join(folder or os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name), "rb") as file:
+    """A vocabulary file of the public tokenizers, or of another folder; tasks get its content,
+    so only the driver needs the file."""
+    with open(os.path.join(folder, name) if folder else public_tokenizers.path(name), "rb") as file:
         return file.read()
 
 
