@@ -1,35 +1,28 @@
 """Forecasts and hold-out evaluation of every series at once.
 
-The linear trend and the moving average are Spark expressions. The other models
-are iterative fits of short series: Spark gathers each series into one row, deals
-the rows out by series, and each task fits its batches of series with numpy.
-A daily series has at most one value per calendar day, so a row stays small
-however many movements are behind it. History, forecasts and held-out values
-travel in that row, so nothing is joined back.
+The linear trend and the moving average come from sums; the recursive models are folds over
+a series' values, see ``recursions``. Spark gathers each series into one row: a daily series
+has at most one value per calendar day, so a row stays small however many movements are
+behind it. History, forecasts and held-out values travel in that row, so nothing is joined
+back but the boosted values, which one model gives for all series, see ``boosting``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bankrec.functions.text import key_of
-from bankrec.functions.values import FEATURE_LABELS, MODEL_LABELS, label
-from bankrec.operators import models, series as s
+from bankrec.functions.values import MODEL_LABELS, label
+from bankrec.operators import boosting as b
+from bankrec.operators import recursions as rec
+from bankrec.operators import series as s
 from bankrec.session import deal_out
 
 MIN_POINTS = 5
 LINEAR, AVERAGE = "regressao_linear", "media_movel"
-MODEL_ORDER = [LINEAR, AVERAGE, models.HOLT, models.ARIMA, models.MARKOV, models.BOOSTING]
-_SERIES_PER_FIT = 512
-_MODEL = "struct<modelo:string,falha:string,valores:array<double>,importancia:array<double>>"
-_FIT_SCHEMA = ("serie string, primeiro int, ultimo date, valores array<double>, real array<double>, "
-               f"modelos array<{_MODEL}>")
+MODEL_ORDER = [LINEAR, AVERAGE, rec.HOLT, rec.ARIMA, rec.MARKOV, b.BOOSTING]
 
 
 def long_enough(series: DataFrame, minimum: int = MIN_POINTS) -> DataFrame:
@@ -86,65 +79,75 @@ def hold_out(linhas: DataFrame, k: int) -> DataFrame:
         f"slice(valores, -{k}, {k}) as real")
 
 
-def _fit_batches(h: int, boosting: bool):
-    fits = [(models.HOLT, models.holt), (models.ARIMA, models.arima), (models.MARKOV, models.markov)]
-
-    def entries(model, forecast, failed, shares=None):
-        ok = np.isfinite(forecast).all(axis=1)
-        for i, values in enumerate(forecast):
-            if failed[i] or not ok[i]:
-                yield {"modelo": model, "falha": failed[i] or "previsão não finita",
-                       "valores": None, "importancia": None}
-            else:
-                yield {"modelo": model, "falha": None, "valores": values,
-                       "importancia": None if shares is None else shares[i]}
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, same in batch.groupby(batch["valores"].map(len)):
-                for at in range(0, len(same), _SERIES_PER_FIT):
-                    part = same.iloc[at:at + _SERIES_PER_FIT]
-                    y = np.stack(part["valores"].to_numpy())
-                    with np.errstate(all="ignore"):
-                        per_model = [list(entries(m, *function(y, h))) for m, function in fits]
-                        if boosting:
-                            first = part["primeiro"].to_numpy()
-                            per_model.append(list(entries(models.BOOSTING, *models.boosting(first, y, h))))
-                    yield part.assign(modelos=[list(row) for row in zip(*per_model)])
-
-    return fit
-
-
-def fitted(linhas: DataFrame, h: int, boosting: bool = False) -> DataFrame:
-    """Gathered series with ``modelos``: the forecast of each iterative model, or the
-    reason it has none. ``boosting`` needs consecutive days."""
-    return deal_out(linhas, "serie").mapInPandas(_fit_batches(h, boosting), _FIT_SCHEMA)
-
-
-def _with_simple(linhas: DataFrame, h: int) -> DataFrame:
-    """Prepend the linear trend and the moving average, from sums over the values."""
-    n = "cast(size(valores) as double)"
-    total = "aggregate(valores, 0D, (a, x) -> a + x)"
-    product = "aggregate(transform(valores, (x, i) -> x * i), 0D, (a, x) -> a + x)"
-    last = f"slice(valores, -least(size(valores), {s.MEAN_WINDOW}), {s.MEAN_WINDOW})"
-    sums = linhas.selectExpr("*", f"{n} as _n", f"{total} as _y", f"{product} as _ty")
-    slope = sums.selectExpr("*", "(_ty - (_n - 1) / 2 * _y) / (_n * (_n * _n - 1) / 12) as _m")
-    model = "named_struct('modelo', '{}', 'falha', cast(null as string), 'valores', {}, 'importancia', " \
-            "cast(null as array<double>))"
-    line = f"transform(sequence(1, {h}), i -> _y / _n + _m * ((_n - 1) / 2 + i))"
-    flat = f"array_repeat(aggregate({last}, 0D, (a, x) -> a + x) / size({last}), {h})"
-    both = f"array({model.format(LINEAR, line)}, {model.format(AVERAGE, flat)})"
-    rest = "modelos" if "modelos" in linhas.columns else f"cast(array() as array<{_MODEL}>)"
-    return slope.selectExpr("serie", "ultimo", "real", f"concat({both}, {rest}) as modelos")
+def fitted(linhas: DataFrame, h: int, names: list[str]) -> DataFrame:
+    """One row per gathered series and model: ``serie, ultimo, real, modelo, falha, valores``,
+    with the next ``h`` values or the reason there are none. Folds are heavy for their few
+    bytes, so series are dealt out to all tasks."""
+    if not {*names} <= {LINEAR, AVERAGE}:
+        linhas = deal_out(linhas, "serie")
+    each = ", ".join(f"struct('{m}' as modelo, {_MODELS[m]('valores', h)} as m)" for m in names)
+    # a generator's columns are values: what is read from them is not computed again
+    return linhas.selectExpr("serie", "ultimo", "real", f"inline(array({each}))").selectExpr(
+        "serie", "ultimo", "real", "modelo", "m.falha", "m.valores")
+
+
+def boosted(linhas: DataFrame, h: int) -> DataFrame:
+    """The same rows for the boosted model, which is fitted to all series together."""
+    rows = b.scaled(linhas)
+    model = b.fit(rows)
+    ahead = linhas.selectExpr("serie", "cast(null as array<double>) as _b").limit(0) if model is None else (
+        b.ahead(rows, model, h).withColumnRenamed("valores", "_b"))
+    return linhas.join(ahead, "serie", "left").select(
+        "serie", "ultimo", "real", F.lit(b.BOOSTING).alias("modelo"),
+        F.when(F.col("_b").isNull(), b.failure()).alias("falha"), F.col("_b").alias("valores"))
+
+
+def _trend(values: str, h: int) -> str:
+    """Least-squares trend on the position, from two sums."""
+    n = f"cast(size({values}) as double)"
+    sums = rec.let(f"struct({n} as n, aggregate({values}, 0D, (a, x) -> a + x) as y, "
+                   f"aggregate(transform({values}, (x, i) -> x * i), 0D, (a, x) -> a + x) as ty)", "s",
+                   "struct(s.n as n, s.y as y, (s.ty - (s.n - 1) / 2 * s.y) / (s.n * (s.n * s.n - 1) / 12) as m)")
+    return _given(rec.let(sums, "u", f"transform(sequence(1, {h}), i -> u.y / u.n + u.m * ((u.n - 1) / 2 + i))"))
+
+
+def _mean(values: str, h: int) -> str:
+    """Mean of the last values, repeated."""
+    last = f"slice({values}, -least(size({values}), {s.MEAN_WINDOW}), {s.MEAN_WINDOW})"
+    return _given(f"array_repeat(aggregate({last}, 0D, (a, x) -> a + x) / size({last}), {h})")
+
+
+def _given(values: str) -> str:
+    return f"struct(cast(null as string) as falha, {values} as valores)"
+
+
+_MODELS = {LINEAR: _trend, AVERAGE: _mean, rec.HOLT: rec.holt, rec.ARIMA: rec.arima, rec.MARKOV: rec.markov}
+
+
+def _scored(rows: DataFrame, h: int, boosting: bool) -> DataFrame:
+    done = fitted(rows, h, [*_MODELS])
+    return done.unionByName(boosted(rows, h)) if boosting else done
+
+
+def _long(scored: DataFrame) -> DataFrame:
+    return (scored.where("falha is null").selectExpr("serie", "modelo", "ultimo", "posexplode(valores) as (_i, valor)")
+            .selectExpr("serie", "modelo", "date_add(ultimo, _i + 1) as dia", "valor"))
+
+
+def _usable(series: DataFrame) -> DataFrame:
+    return gather(series).where(f"size(valores) >= {MIN_POINTS}")
 
 
 def forecast(series: DataFrame, h: int = 7, boosting: bool = False) -> DataFrame:
     """Forecasts of all models, long form ``(serie, modelo, dia, valor)``. Series
     under the minimum and models that fail are left out."""
-    rows = gather(series).where(f"size(valores) >= {MIN_POINTS}")
-    return (_with_simple(fitted(rows, h, boosting), h).selectExpr("serie", "ultimo", "inline(modelos)")
-            .where("falha is null").selectExpr("serie", "modelo", "ultimo", "posexplode(valores) as (_i, valor)")
-            .selectExpr("serie", "modelo", "date_add(ultimo, _i + 1) as dia", "valor"))
+    return _long(_scored(_usable(series), h, boosting))
+
+
+def forecast_with(series: DataFrame, modelo: str, h: int = 7) -> DataFrame:
+    """Forecasts of one model, long form."""
+    rows = _usable(series)
+    return _long(boosted(rows, h) if modelo == b.BOOSTING else fitted(rows, h, [modelo]))
 
 
 def forecast_simple(series: DataFrame, h: int = 7) -> DataFrame:
@@ -185,14 +188,13 @@ def evaluate_cashflow(movimentos: DataFrame, k: int = 5, empresa: str | None = N
 
 
 def feature_importance(series: DataFrame) -> DataFrame:
-    """Importance of each boosting feature per series; sums to 1."""
-    names = ", ".join(f"'{n}'" for n in s.FEATURES)
-    rows = gather(series).where(f"size(valores) >= {MIN_POINTS}")
-    return (fitted(rows, 1, boosting=True).selectExpr("serie", "inline(modelos)")
-            .where("importancia is not null")
-            .selectExpr("serie", f"explode(arrays_zip(array({names}), importancia)) as p")
-            .selectExpr("serie", "p['0'] as feature", "p.importancia as importancia")
-            .withColumn("nome", label("feature", FEATURE_LABELS)))
+    """Importance of each boosting feature over all series; sums to 1. No rows where no
+    series is long enough."""
+    rows = b.scaled(gather(series))
+    model = b.fit(rows)
+    if model is None:
+        return series.sparkSession.createDataFrame([], "feature string, importancia double, nome string")
+    return b.importance(model, rows)
 
 
 def backtest(series: DataFrame, k: int = 5, boosting: bool = False,
@@ -200,9 +202,9 @@ def backtest(series: DataFrame, k: int = 5, boosting: bool = False,
     """RMSE of each model on the last ``k`` values, fitted on the rest:
     ``(serie, modelo, rmse, falha)``."""
     rows = hold_out(gather(series), k)
-    scored = _with_simple(rows if only_simple else fitted(rows, k, boosting), k)
+    scored = fitted(rows, k, [LINEAR, AVERAGE]) if only_simple else _scored(rows, k, boosting)
     squares = "zip_with(real, valores, (x, y) -> (x - y) * (x - y))"
-    return scored.selectExpr("serie", "real", "inline(modelos)").selectExpr(
+    return scored.selectExpr(
         "serie", "modelo", f"sqrt(aggregate({squares}, 0D, (a, x) -> a + x) / {k}) as rmse", "falha")
 
 

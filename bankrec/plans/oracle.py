@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bankrec.plans import recursive_sql
+
 _KEY = """regexp_replace(array_to_string(list_filter(
     regexp_split_to_array(upper(strip_accents(trim({0}))), '[\\s,]+'),
     lambda x: regexp_replace(x, '[^A-Z0-9]', '', 'g') not in ('LDA','SA','DE','DA','DO','E')), ' '),
@@ -362,3 +364,5 @@ ORACLE: dict[str, str] = {
         "cast(sum(pago) as double) pago, max(imputacao) imputacao from linhas group by linhas.dia, tipo, chave",
         _LEDGER),
 }
+ORACLE["forecast_holt"] = recursive_sql.holt(_SERIES)
+ORACLE["forecast_arima"] = recursive_sql.arima(_SERIES)

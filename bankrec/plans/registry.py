@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from bankrec.functions.text import company_key, strip_accents
 from bankrec.functions.values import money_lenient, money_strict
-from bankrec.operators import (anomaly, balances, cases, cashflow, forecast, ingest, monitoring,
-                               reconcile, reports, series, similarity, suggestions, transcripts)
+from bankrec.operators import (anomaly, balances, boosting, cases, cashflow, forecast, ingest, monitoring,
+                               reconcile, recursions, reports, series, similarity, suggestions, transcripts)
 from bankrec.plans import ledger, workbooks
 from bankrec.session import ensure_checkpoint_dir
 from bankrec.sources import logs, plan_sheet, statements, workbook
@@ -279,6 +279,22 @@ def best_simple_model(spark, sf):
     return forecast.best_model(scores).select("serie", "melhor_modelo")
 
 
+def forecast_holt(spark, sf):
+    return plain(forecast.forecast_with(_net(spark, sf), recursions.HOLT).drop("modelo"), 4)
+
+
+def forecast_arima(spark, sf):
+    return plain(forecast.forecast_with(_net(spark, sf), recursions.ARIMA).drop("modelo"), 4)
+
+
+def forecast_markov(spark, sf):
+    return plain(forecast.forecast_with(_net(spark, sf), recursions.MARKOV).drop("modelo"), 4)
+
+
+def forecast_boosting(spark, sf):
+    return plain(forecast.forecast_with(_net(spark, sf), boosting.BOOSTING).drop("modelo"), 4)
+
+
 def forecast_balance(spark, sf):
     return plain(forecast.balance(ledger.balances(spark, sf)), 4)
 
@@ -437,7 +453,7 @@ QUERIES: dict[str, Query] = {q.__name__: q for q in (
     month_to_date, summary_unpivot, balance_unpivot, company_daily_net, balance_lookup,
     balances_latest, balances_asof, balance_total, balance_top10, balance_series, cashflow_series,
     forecast_linear, forecast_moving_average, forecast_features, forecast_too_short, chart_series,
-    backtest_simple, best_simple_model, forecast_balance, forecast_cashflow, feature_importance,
+    backtest_simple, best_simple_model, forecast_holt, forecast_arima, forecast_markov, forecast_boosting, forecast_balance, forecast_cashflow, feature_importance,
     backtest_all, anomaly_eligible, anomaly_models, anomaly_flags, script_status, overdue, late_scripts,
     recent_runs, runs_of_script, record_runs, log_errors, similar_cases, prompts, import_plan,
     workbook_import, plan_import)}

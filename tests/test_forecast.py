@@ -3,7 +3,9 @@ from datetime import date, timedelta
 import numpy as np
 import pytest
 
-from bankrec.operators import forecast, models, series
+from pyspark.sql import functions as F
+
+from bankrec.operators import boosting, forecast, recursions, series
 
 D0 = date(2026, 7, 1)
 
@@ -58,54 +60,130 @@ def test_constant_series_stay(spark):
     assert all(r.valor == pytest.approx(50, abs=1e-6) for r in out)
 
 
-def test_regimes_stay_in_range():
-    rng = np.random.default_rng(42)
-    y = np.concatenate([100 + rng.normal(0, 5, 8) if b % 2 == 0 else 500 + rng.normal(0, 5, 8) for b in range(4)])
-    out, failed = models.markov(y[None, :], 3)
-    assert failed == [None] and (out > -50).all() and (out < 600).all()
-    assert out[0, 0] > out[0, 2] > 300
-
+def fitted(spark, model, rows, h):
+    """What a recursive model says of each list of values."""
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(rows)], "i int, y array<double>")
+    return [r.m for r in df.repartition(3).select("i", F.expr(model("y", h)).alias("m")).orderBy("i").collect()]
 
-def test_series_do_not_influence_each_other():
-    rng = np.random.default_rng(1)
-    y = rng.normal(0, 100, (40, 24)).cumsum(axis=1)
-    first = np.full(40, 20000)
-    for fit in (models.holt, models.arima, models.markov, lambda m, h: models.boosting(first[:len(m)], m, h)[:2]):
-        together, one = fit(y, 5)[0], np.vstack([fit(y[i:i + 1], 5)[0] for i in range(40)])
-        np.testing.assert_allclose(together, one, rtol=1e-6, atol=1e-6)
 
-
-def test_holt_beats_its_grid():
-    """The solved start values are at least as good as any tried one."""
-    y = np.random.default_rng(3).normal(0, 1, (1, 20)).cumsum(axis=1)
-    a, b = np.array([[0.3]]), np.array([[0.2]])
-    best = models._holt_sse(y, a, b)[0][0, 0]
-
-    def sse(level, trend):
-        total = 0.0
-        for v in y[0]:
+def test_regimes_stay_in_range(spark):
+    rng = np.random.default_rng(42)
+    y = np.concatenate([100 + rng.normal(0, 5, 8) if b % 2 == 0 else 500 + rng.normal(0, 5, 8) for b in range(4)])
+    out, flat, odd = fitted(spark, recursions.markov, [y, [7.0] * 9, [0.0] * 20 + [1e9]], 3)
+    assert out.falha is None and all(-50 < v < 600 for v in out.valores)
+    assert out.valores[0] > out.valores[2] > 300
+    assert flat.falha == "variância nula" and flat.valores is None
+    assert odd.falha or all(np.isfinite(odd.valores))
+
+
+def holt_sse(y, a, b, level, trend):
+    total = 0.0
+    for v in y:
+        e = v - level - trend
+        total += e * e
+        level, trend = level + trend + a * e, trend + a * b * e
+    return total, level, trend
+
+
+def holt_fit(y, a, b):
+    """The best start values by least squares on the errors, which are affine in them."""
+    def errors(level, trend):
+        out = []
+        for v in y:
             e = v - level - trend
-            total += e * e
-            level, trend = level + trend + 0.3 * e, trend + 0.3 * 0.2 * e
-        return total
-
-    assert all(best <= sse(l, t) + 1e-9 for l in np.linspace(-3, 3, 25) for t in np.linspace(-2, 2, 25))
-
-
-def test_css_drift_is_the_best_drift():
-    w = np.random.default_rng(5).normal(1, 1, (1, 30))
-    phi, theta = np.array([[0.4]]), np.array([[-0.3]])
-    best, drift, _ = models._css(w, phi, theta)
-
-    def sse(d):
-        e, total = 0.0, 0.0
-        for t in range(1, 30):
-            e = (w[0, t] - d) - 0.4 * (w[0, t - 1] - d) + 0.3 * e
-            total += e * e
-        return total
-
-    assert best[0, 0] == pytest.approx(sse(drift[0, 0]))
-    assert all(best[0, 0] <= sse(drift[0, 0] + x) for x in (-0.1, -0.01, 0.01, 0.1))
+            out.append(e)
+            level, trend = level + trend + a * e, trend + a * b * e
+        return np.array(out)
+
+    base = errors(0, 0)
+    x = np.linalg.lstsq(np.stack([errors(1, 0) - base, errors(0, 1) - base], axis=1), -base, rcond=None)[0]
+    return holt_sse(y, a, b, *x)
+
+
+def test_holt_is_the_best_of_its_grids(spark):
+    rng = np.random.default_rng(3)
+    rows = [rng.normal(0, 1, n).cumsum() for n in (6, 12, 20, 20)]
+    for y, got in zip(rows, fitted(spark, recursions.holt, rows, 4)):
+        points = [(0.05 + 0.18 * i, 0.05 + 0.18 * j) for i in range(6) for j in range(6)]
+        for step in (0.09, 0.045, 0.0225, None):
+            a, b = min(points, key=lambda p: holt_fit(y, *p)[0])
+            points = [tuple(min(0.99, max(0.01, c + k * step)) for c, k in ((a, i), (b, j))) for i in (0, -1, 1) for j in (0, -1, 1)] if step else []
+        _, level, trend = holt_fit(y, a, b)
+        assert got.valores == pytest.approx([level + trend * (i + 1) for i in range(4)], rel=1e-4, abs=1e-4)
+
+
+def css(w, p, t, d):
+    e, total = 0.0, 0.0
+    for before, now in zip(w, w[1:]):
+        e = (now - d) - p * (before - d) - t * e
+        total += e * e
+    return total, e
+
+
+def test_arima_is_the_best_of_its_grids(spark):
+    rng = np.random.default_rng(5)
+    rows = [rng.normal(1, 1, n).cumsum() for n in (8, 15, 30)]
+    for y, got in zip(rows, fitted(spark, recursions.arima, rows, 3)):
+        w = np.diff(y)
+
+        def drift(p, t):       # errors are affine in the drift, so three values give the parabola
+            e0, e1, e2 = (css(w, p, t, d)[0] for d in (-1, 0, 1))
+            return (e0 - e2) / (2 * (e0 + e2 - 2 * e1))
+
+        points = [(0.15 * i, 0.15 * j) for i in range(-6, 7) for j in range(-6, 7)]
+        for step in (0.05, 0.0125, None):
+            p, t = min(points, key=lambda q: css(w, *q, drift(*q))[0])
+            points = [tuple(min(0.99, max(-0.99, c + k * step)) for c, k in ((p, i), (t, j)))
+                      for i in range(-2, 3) for j in range(-2, 3)] if step else []
+        d = drift(p, t)
+        step, level, want = w[-1], y[-1], []
+        e = css(w, p, t, d)[1]
+        for _ in range(3):
+            step, e = d + p * (step - d) + t * e, 0.0
+            level += step
+            want.append(level)
+        assert got.valores == pytest.approx(want, rel=1e-5, abs=1e-5)
+    short, flat = fitted(spark, recursions.arima, [[1, 2, 3], [5.0] * 8], 2)
+    assert short.falha == "série demasiado curta" and flat.valores == pytest.approx([5, 5])
+
+
+def markov_fit(y, h):
+    """The rounds of the regimes with plain loops."""
+    y = np.asarray(y, float)
+    clip = lambda x: min(1 - 1e-12, max(1e-12, x))
+    floor, high = 1e-8 * y.var(), (y > np.median(y)).astype(float)
+    a, b, start = 0.1, 0.9, 0.5
+    for _ in range(recursions.REGIME_ROUNDS):
+        (m0, v0), (m1, v1) = [((k * y).sum() / k.sum(), max(floor, (k * (y - (k * y).sum() / k.sum()) ** 2).sum() / k.sum()))
+                              for k in (1 - high, high)]
+        pred, filt, p = [], [], start
+        for x in y:
+            low = np.exp(-0.5 * (x - m0) ** 2 / v0) / v0 ** 0.5
+            up = np.exp(-0.5 * (x - m1) ** 2 / v1) / v1 ** 0.5
+            pred.append(p)
+            filt.append(p * up / (p * up + (1 - p) * low))
+            p = a + (b - a) * filt[-1]
+        smooth, rose, fell = [filt[-1]], 0.0, 0.0
+        for k in range(len(y) - 2, -1, -1):
+            above, below = smooth[0] / pred[k + 1], (1 - smooth[0]) / (1 - pred[k + 1])
+            rose += a * above * (1 - filt[k])
+            fell += (1 - b) * below * filt[k]
+            smooth.insert(0, filt[k] * (b * above + (1 - b) * below))
+        high = np.array(smooth)
+        n = high[:-1].sum()
+        a, b, start = clip(rose / (len(y) - 1 - n)), clip(1 - fell / n), clip(high[0])
+    (m0, m1), p, out = [(k * y).sum() / k.sum() for k in (1 - high, high)], high[-1], []
+    for _ in range(h):
+        p = a + (b - a) * p
+        out.append((1 - p) * m0 + p * m1)
+    return out
+
+
+def test_regimes_are_those_of_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    rows = [np.where(rng.random(n) < 0.5, 10, 40) + rng.normal(0, 3, n) for n in (12, 25, 40)]
+    for y, got in zip(rows, fitted(spark, recursions.markov, rows, 4)):
+        assert got.valores == pytest.approx(markov_fit(y, 4), rel=1e-6)
 
 
 def test_zero_fill_and_company_filter(movimentos):
@@ -153,15 +231,19 @@ def test_boosting_holdout_needs_fifteen_training_days(spark):
     assert scores["curta", "gradient_boosting"].falha.startswith("histórico insuficiente")
 
 
-def test_boosting_features_are_the_sql_features(spark):
-    """The task-side features equal the Spark ones."""
-    values = np.random.default_rng(0).normal(0, 10, 20)
-    df = long(spark, {"a": values})
-    sql = [[float(r[f]) for f in series.FEATURES] for r in series.features(df).orderBy("t").collect()]
-    first = (D0 - date(1970, 1, 1)).days
-    when = models._day_features(np.array([[first + i for i in range(20)]]))
-    ours = [np.concatenate([when[0, i], models._row(values[None, :i])[0]]) for i in range(3, 20)]
-    np.testing.assert_allclose(ours, sql)
+def test_steps_ahead_use_the_features_of_the_table(spark):
+    """The row that is predicted from is the one the features table would have."""
+    values = [float(v) for v in np.random.default_rng(0).normal(0, 10, 41)]
+    df = long(spark, {"a": values[:40], "b": week(40)})
+    rows = boosting.scaled(forecast.gather(df)).cache()
+    model = boosting.fit(rows)
+    got = {r.serie: r.valores for r in boosting.ahead(rows, model, 2).collect()}
+    scale = rows.where("serie = 'a'").first()
+    units = [(v - scale.centro) / scale.desvio for v in values]
+    last = series.features(long(spark, {"a": units})).where("t = 40")
+    want = model.transform(boosting._assembler().transform(last)).first().prediction
+    assert got["a"][0] == pytest.approx(scale.centro + scale.desvio * want)
+    assert len(got["a"]) == 2 and got["b"] == pytest.approx(week(42)[40:], abs=20)
 
 
 def test_chart(spark):
