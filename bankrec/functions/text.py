@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 # Fixed value: words left out of a company key.
 STOP_WORDS = ("LDA", "SA", "DE", "DA", "DO", "E")
 
-NON_ASCII = r"[^\x00-\x7F]"
-
 # Fixed value: the white space that text is stripped of, all of Unicode's.
 WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
                "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
@@ -89,13 +87,14 @@ class _Folding:
         self.map = f"str_to_map({quoted(entries)}, '\ue000', '\ue001')"
 
     def sql(self, col: str) -> str:
-        """Plain ASCII text, the common case, passes through untouched."""
-        single = f"translate({col}, {self.find}, {self.put})"
-        letters = (f"transform(split({single}, ''), c -> case when c < '\x80' then c "
+        """Plain ASCII text, the common case, passes through untouched. The tables stand in
+        the expression once, as the folded text is named."""
+        letters = (f"transform(split(s, ''), c -> case when c < '\x80' then c "
                    f"when c between '{_SYLLABLES[0]}' and '{_SYLLABLES[1]}' then {_syllable('c')} "
                    f"else coalesce(try_element_at({self.map}, c), c) end)")
-        return (f"case when not {col} rlike {quoted(NON_ASCII)} then {col} "
-                f"when {single} rlike {self.long} then array_join({letters}, '') else {single} end")
+        folded = (f"transform(array(translate({col}, {self.find}, {self.put})), "
+                  f"s -> if(s rlike {self.long}, array_join({letters}, ''), s))[0]")
+        return f"if(octet_length({col}) > char_length({col}), {folded}, {col})"
 
 
 _TEXT, _KEY = _Folding(_MAP), _Folding(_KEY_MAP)
@@ -112,18 +111,16 @@ def normalize(col: str) -> Column:
     return F.expr(f"regexp_replace(upper({_TEXT.sql(col)}), '[^A-Z0-9]', '')")
 
 
-def _stop_word_pattern() -> str:
-    # a stop word may carry punctuation between its letters, as in "S.A."
-    apart = r"\s\x1c-\x1f,"
-    junk = f"[^A-Z0-9{apart}]*"
-    words = "|".join(junk + junk.join(word) + junk for word in STOP_WORDS)
-    return f"(?<![^{apart}])(?:{words})(?![^{apart}])"
+_APART = r"\s\x1c-\x1f,"     # what separates words
 
 
 def company_key(col: str) -> Column:
-    """Company name without legal-form words, for equality across spellings."""
-    without = f"regexp_replace(upper({_KEY.sql(col)}), {quoted(_stop_word_pattern())}, '')"
-    return F.expr(f"regexp_replace({without}, '[^A-Z0-9]', '')")
+    """Company name without legal-form words, for equality across spellings. A stop word may
+    carry punctuation between its letters, as in "S.A."."""
+    bare = f"regexp_replace(upper({_KEY.sql(col)}), {quoted(f'[^A-Z0-9{_APART}]+')}, '')"
+    stop = ", ".join(map(quoted, STOP_WORDS))
+    # of the remaining characters only separators stand between words
+    return F.expr(f"array_join(filter(regexp_extract_all({bare}, '[A-Z0-9]+', 0), w -> w not in ({stop})), '')")
 
 
 def key_of(name: str) -> Column:
