@@ -10,7 +10,6 @@ the rest ``novo``. That needs counts and one minimum, never the pairs.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bankrec import skew
@@ -36,7 +35,7 @@ def line_groups(linhas: DataFrame) -> DataFrame:
 
 
 def movement_groups(movimentos: DataFrame) -> DataFrame:
-    return movimentos.groupBy(*KEYS).agg(F.count("*").alias("n_mov"))
+    return movimentos.groupBy(*KEYS).agg(F.count("*").alias("n_mov"), F.min("id").alias("_primeiro"))
 
 
 _STATE = """case when n_linhas is null then 'novo' when n_linhas >= 2 then 'ambiguo'
@@ -47,20 +46,13 @@ def classify(pendentes: DataFrame, linhas: DataFrame, min_rows: int = skew.MIN_R
     """Each pending movement with ``tipo_match``, ``linha_id`` (exact matches only),
     ``n_linhas`` and, when ambiguous, ``grupo``: the first movement id of its group.
 
-    The movements are shuffled once. Hot keys are spread over parts; for those the
-    first movement comes from a pre-aggregated lookup instead of the local window.
+    One aggregate per key tells all its movements what they need, and which keys are heavy.
+    Movements are shuffled once; those of heavy keys, wherever they are.
     """
-    buckets = skew.overfull_buckets(pendentes, KEYS, min_rows)
-    hot_first = (skew.in_overfull(pendentes, KEYS, buckets).groupBy(*KEYS)
-                 .agg(F.expr("min(id) as _em_quente")))
-    lookup = (line_groups(linhas).withColumnRenamed("linha_id", "_linha")
-              .join(hot_first, KEYS, "left"))
-    joined = (skew.add_part(pendentes, KEYS, buckets, by="id")
-              .join(skew.copy_to_parts(lookup, KEYS, buckets), [*KEYS, "_parte"], "left"))
+    groups = movement_groups(pendentes).join(line_groups(linhas).withColumnRenamed("linha_id", "_linha"), KEYS, "left")
+    joined = skew.join_groups(pendentes, groups, KEYS, "n_mov", by="id", min_rows=min_rows)
     columns = pendentes.columns
-    first = "coalesce(_em_quente, min(id) over (partition by dia, chave, valor, _parte)) as _primeiro"
-    return (joined.selectExpr(*columns, "n_linhas", "_linha", first)
-            .selectExpr(*columns, "n_linhas", "_linha", "_primeiro", f"{_STATE} as tipo_match")
+    return (joined.selectExpr(*columns, "n_linhas", "_linha", "_primeiro", f"{_STATE} as tipo_match")
             .selectExpr(*columns, "n_linhas", "tipo_match",
                         "case when tipo_match = 'exato' then _linha end as linha_id",
                         "case when tipo_match = 'ambiguo' then _primeiro end as grupo"))

@@ -202,5 +202,5 @@ def test_movements_are_shuffled_once(movimentos, linhas):
     m, l = movimentos([mov(1, "A", 1)]), linhas([line(1, "A", 1)])
     plan = reconcile.classify(m, l)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    by_key = [p for p in plan.splitlines() if "Exchange hashpartitioning(dia" in p and "_parte" in p]
-    assert len(by_key) == 2                      # movements and lookup, for the one join
+    by_key = [p for p in plan.splitlines() if "Exchange hashpartitioning(dia" in p and "_chave" in p]
+    assert len(by_key) == 1 and "Window" not in plan      # the lookup is where its aggregate left it
