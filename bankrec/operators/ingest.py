@@ -136,47 +136,49 @@ def _read_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
     return workbook.cells(files).checkpoint()
 
 
-def import_days(spark: SparkSession, root: str, pasta: str, dias: list[date],
-                hoje: date | None = None) -> tuple[DataFrame, DataFrame]:
-    """Import the given days, each table only where it has no row for the day; with
-    ``hoje``, yesterday's balances are read again. Days without a statement folder
-    are left alone. Returns ``(dia, tabela, linhas)`` written and ``(dia, tabela,
-    motivo)`` not imported."""
-    ensure_checkpoint_dir(spark)
-    there = [d for d in dias if _exists(spark, statement_folder(pasta, d))]
-    report = spark.createDataFrame([], "dia date, tabela string, linhas long")
-    errors = spark.createDataFrame([], "dia date, tabela string, motivo string")
-    if not there:
-        return report, errors
-    wanted = spark.createDataFrame([(d,) for d in there], "dia date")
+def import_cells(root: str, celulas: DataFrame, planos: DataFrame | None, dias: list[date],
+                 hoje: date | None = None) -> tuple[DataFrame, DataFrame]:
+    """Import ``dias`` from the cells of their statements and plan workbooks, each table only
+    where it has no row for the day; with ``hoje``, yesterday's balances are read again.
+    Returns ``(dia, tabela, linhas)`` written and ``(dia, tabela, motivo)`` not imported."""
+    spark = celulas.sparkSession
+    wanted = spark.createDataFrame([(d,) for d in dias], "dia date")
 
     def absent(table: str) -> list[date]:
-        stored = set(schema.days_of(schema.read_table(spark, root, table, there)))
-        return [d for d in there if d not in stored]
+        stored = set(schema.days_of(schema.read_table(spark, root, table, dias)))
+        return [d for d in dias if d not in stored]
 
     def count(rows: DataFrame, table: str) -> DataFrame:
         return rows.groupBy("dia").agg(F.count("*").alias("linhas")).select(
             "dia", F.lit(table).alias("tabela"), "linhas")
 
-    cells = _read_cells(spark, [statement_folder(pasta, d) for d in there])
-    report = report.unionByName(count(import_movements(root, cells, absent(MOVEMENTS)), MOVEMENTS))
+    report = count(import_movements(root, celulas, absent(MOVEMENTS)), MOVEMENTS)
     yesterday = hoje - timedelta(days=1) if hoje else None
-    if yesterday in there:
-        report = report.unionByName(count(refresh_balances(root, cells, yesterday), BALANCES))
-    report = report.unionByName(count(import_balances(root, cells, absent(BALANCES)), BALANCES))
-    errors = errors.unionByName(
-        statements.rejected(cells).select(statements.statement_day("path").alias("dia"),
-                                          F.lit(MOVEMENTS).alias("tabela"), "motivo"))
-    errors = errors.unionByName(
-        workbook.unreadable(cells).select(statements.statement_day("path").alias("dia"),
-                                          F.lit(BALANCES).alias("tabela"), "motivo"))
+    if yesterday in dias:
+        report = report.unionByName(count(refresh_balances(root, celulas, yesterday), BALANCES))
+    report = report.unionByName(count(import_balances(root, celulas, absent(BALANCES)), BALANCES))
+    file_day = statements.statement_day("path").alias("dia")
+    errors = (statements.rejected(celulas).select(file_day, F.lit(MOVEMENTS).alias("tabela"), "motivo").unionByName(
+        workbook.unreadable(celulas).select(file_day, F.lit(BALANCES).alias("tabela"), "motivo"))
+        .join(wanted, "dia", "left_semi"))
+    if planos is not None:
+        report = report.unionByName(count(import_plan(root, planos, absent(PLAN)), PLAN))
+        errors = errors.unionByName(plan_errors(planos, wanted))
+    return report, errors
 
+
+def import_days(spark: SparkSession, root: str, pasta: str, dias: list[date],
+                hoje: date | None = None) -> tuple[DataFrame, DataFrame]:
+    """``import_cells`` for the files of a folder. Days without a statement folder are left
+    alone."""
+    ensure_checkpoint_dir(spark)
+    there = [d for d in dias if _exists(spark, statement_folder(pasta, d))]
+    if not there:
+        return (spark.createDataFrame([], "dia date, tabela string, linhas long"),
+                spark.createDataFrame([], "dia date, tabela string, motivo string"))
+    cells = _read_cells(spark, [statement_folder(pasta, d) for d in there])
     plans = sorted({plan_file(pasta, d) for d in there if _exists(spark, plan_file(pasta, d))})
-    if plans:
-        plan_cells = _read_cells(spark, plans)
-        report = report.unionByName(count(import_plan(root, plan_cells, absent(PLAN)), PLAN))
-        errors = errors.unionByName(plan_errors(plan_cells, wanted))
-    return report, errors
+    return import_cells(root, cells, _read_cells(spark, plans) if plans else None, there, hoje)
 
 
 def plan_errors(celulas: DataFrame, dias: DataFrame) -> DataFrame:

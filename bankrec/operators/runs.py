@@ -24,7 +24,7 @@ def reconcile_days(spark: SparkSession, root: str, dias: list[date] | None = Non
                    ts: Column | None = None) -> DataFrame:
     """Reconcile the pending movements of some days, or of all, and store the result.
     Only the partitions of those days are read and written. Returns matched, new and
-    ambiguous counts per day.
+    ambiguous counts per day; of the days named, also those with nothing pending.
 
     Candidates and cases are stored before the reconciliations that make their
     movements count as processed, and lines are paid from stored reconciliations
@@ -42,9 +42,12 @@ def reconcile_days(spark: SparkSession, root: str, dias: list[date] | None = Non
     schema.write_table(reconcile.reconciliations(classified, ts), root, "reconciliacoes")
     settle_lines(read("movimentos"), read("linhas"), read("reconciliacoes"), root)
     t = F.col("tipo_match")
-    return classified.groupBy("dia").agg(F.count_if(t == "exato").alias("casados"),
-                                         F.count_if(t == "novo").alias("novos"),
-                                         F.count_if(t == "ambiguo").alias("ambiguos"))
+    counts = classified.groupBy("dia").agg(F.count_if(t == "exato").alias("casados"),
+                                           F.count_if(t == "novo").alias("novos"),
+                                           F.count_if(t == "ambiguo").alias("ambiguos"))
+    if dias is None:
+        return counts
+    return spark.createDataFrame([(d,) for d in dias], "dia date").join(counts, "dia", "left").fillna(0)
 
 
 def settle_lines(movements: DataFrame, lines: DataFrame, reconciliations: DataFrame, root: str) -> None:
@@ -83,8 +86,7 @@ def record(spark: SparkSession, root: str, novas: DataFrame) -> DataFrame:
     day = F.to_date("ts").alias("dia")
     rows = monitoring.record_runs(novas).select(
         "*", day, F.concat_ws("/", "script", F.date_format("ts", "HHmm")).alias("_onde"))
-    stored = schema.read_table(spark, root, "execucoes").select(day, "id")
-    written = assign_ids(rows, stored.where(F.col("dia").isin(schema.days_of(rows))), "_onde",
-                         ["ts", "status", "erro"]).checkpoint()
+    stored = schema.read_table(spark, root, "execucoes", schema.days_of(rows)).select("dia", "id")
+    written = assign_ids(rows, stored, "_onde", ["ts", "status", "erro"]).checkpoint()
     schema.write_table(written, root, "execucoes")
     return written.drop("dia", "_onde")

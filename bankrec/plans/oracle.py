@@ -366,3 +366,46 @@ ORACLE: dict[str, str] = {
 }
 ORACLE["forecast_holt"] = recursive_sql.holt(_SERIES)
 ORACLE["forecast_arima"] = recursive_sql.arima(_SERIES)
+_MIDDLE = "(select min(dia) + cast((max(dia) - min(dia)) // 2 as integer) from fluxos)"
+_LAST = "(select max(dia) from fluxos)"
+ORACLE |= {
+    "state_report": _sql(
+        "select cast(dia as varchar) dia, s.nome estado, count(*) filter (tipo_match = s.estado) quantidade "
+        "from estado, (values ('exato', 'Casados'), ('ambiguo', 'Ambíguos'), ('novo', 'Novos'), "
+        "('por_processar', 'Por processar')) s(estado, nome) group by all", _RUN),
+    "decisions_rejected": _sql(
+        "select case when id % 3 <> 0 then id else -id end caso_id, -id linha_id, "
+        "case when id % 3 <> 0 then 'linha não é candidata' else 'caso desconhecido' end motivo from casos", _CASES),
+    "rmse_table": _sql(
+        "select case modelo when 'media_movel' then 'Média móvel' else 'Regressão linear' end modelo, "
+        "round(rmse, 4) rmse_eur from erros where serie = '*'", _BACKTEST),
+    "case_cosines": "select a.vec_id, round(list_cosine_similarity(cast(a.embedding as double[]), "
+                    "cast(b.embedding as double[])), 6) semelhanca "
+                    "from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
+    "import_day": _sql(
+        f"select {_DAY}, 'movimentos' tabela, count(*) n, cast(sum(valor) as double) total from fluxos "
+        f"where fluxos.dia = {_MIDDLE} group by fluxos.dia union all "
+        f"select {_DAY}, 'saldos', count(*), cast(sum(saldo_contabilistico) as double) from saldos "
+        f"where saldos.dia = {_MIDDLE} group by saldos.dia", _FLOWS),
+    "import_recent": _sql(
+        f"select 1 volta, {_DAY}, 'movimentos' tabela, count(*) linhas from fluxos group by fluxos.dia union all "
+        f"select 1, {_DAY}, 'saldos', count(*) from saldos group by saldos.dia union all "
+        f"select 2, {_DAY}, 'saldos', count(*) from saldos where saldos.dia = {_LAST} group by saldos.dia", _FLOWS),
+    "import_errors": _sql(
+        f"select {_DAY}, tabela, coalesce(erros, 0) erros, case when erros is null then n else 0 end linhas "
+        "from contados left join estragados using (dia)", _FLOWS + """,
+        estragados as (
+          select dia, count(distinct id // 32768) erros from fluxos
+          where empresa = 'Conta 7, SA' and day(dia) % 2 = 0 group by dia),
+        contados as (
+          select dia, 'movimentos' tabela, count(*) n from fluxos group by dia
+          union all select dia, 'saldos', count(*) from saldos group by dia)"""),
+    "balances_refreshed": _sql(
+        f"select {_DAY}, entidade, cast(case when saldos.dia = {_LAST} then 2 * saldo_contabilistico "
+        "else saldo_contabilistico end as double) saldo_contabilistico from saldos", _FLOWS),
+    "runs_recorded": "select strftime(ts, '%Y-%m-%d') dia, event_type script, 2 * count(*) n, 2 * count(*) ids "
+                     "from events group by all",
+    "stream_import": _sql(
+        f"select {_DAY}, count(*) n, count(*) ids, cast(sum(valor) as double) total from fluxos group by fluxos.dia", _FLOWS),
+    "archived_logs": "select strftime(ts, '%Y-%m-%d') dia, count(*) n from events group by 1",
+}

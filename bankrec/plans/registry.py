@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bankrec.functions.text import company_key, strip_accents
-from bankrec.functions.values import money_lenient, money_strict
+from bankrec.functions.values import cosine, money_lenient, money_strict
 from bankrec.operators import (anomaly, balances, boosting, cases, cashflow, forecast, ingest, monitoring,
                                reconcile, recursions, reports, series, similarity, suggestions, transcripts)
-from bankrec.plans import ledger, workbooks
+from bankrec.plans import ledger, stored, workbooks
 from bankrec.session import ensure_checkpoint_dir
 from bankrec.sources import logs, plan_sheet, statements, workbook
 
@@ -134,6 +134,22 @@ def state_counts(spark, sf):
     return plain(reconcile.state_counts(reconcile.movement_status(m, recs, lines)))
 
 
+def state_report(spark, sf):
+    m, lines = _ledger(spark, sf)
+    recs = reconcile.reconciliations(reconcile.classify(m, lines))
+    return plain(reports.state_report(reconcile.state_counts(reconcile.movement_status(m, recs, lines))))
+
+
+def decisions_rejected(spark, sf):
+    """Decisions for lines that are no candidates, and for cases that do not exist."""
+    _, lines, run = _run(spark, sf)
+    found, options = cases.ambiguous_cases(run), cases.candidates(run, lines)
+    known = F.col("id") % 3 != 0
+    decisions = found.select(F.when(known, F.col("id")).otherwise(-F.col("id")).alias("caso_id"), (-F.col("id")).alias("linha_id"),
+                             F.lit("tesouraria").alias("resolvido_por"), F.lit(NOW).alias("ts"))
+    return cases.apply_decisions(decisions, found, options, reconcile.reconciliations(run), lines).rejeitados
+
+
 def _decided(spark, sf):
     """Ambiguous cases with a decision on each: the lowest candidate, or none."""
     m, lines, run = _run(spark, sf)
@@ -279,6 +295,10 @@ def best_simple_model(spark, sf):
     return forecast.best_model(scores).select("serie", "melhor_modelo")
 
 
+def rmse_table(spark, sf):
+    return plain(forecast.rmse_table(forecast.backtest(_net(spark, sf), only_simple=True), series.PORTFOLIO), 4)
+
+
 def forecast_holt(spark, sf):
     return plain(forecast.forecast_with(_net(spark, sf), recursions.HOLT).drop("modelo"), 4)
 
@@ -377,6 +397,13 @@ def similar_cases(spark, sf):
     return plain(similarity.top_k(opened, resolved).drop("similaridade"))
 
 
+def case_cosines(spark, sf):
+    """Each vector and the one with the next id."""
+    v = ledger.load(spark, sf, "embeddings").select("vec_id", "embedding")
+    following = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("seguinte"))
+    return plain(v.join(following, "vec_id").select("vec_id", cosine("embedding", "seguinte").alias("semelhanca")), 6)
+
+
 def prompts(spark, sf):
     """Prompts for the open cases; cases that have a vector get similar ones."""
     m, lines, found, options = _half_resolved(spark, sf)
@@ -448,14 +475,15 @@ def plan_import(spark, sf):
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     company_keys, money_parse, reconcile_status, reconcile_summary, reconcile_rerun,
-    plan_after_match, ambiguous_cases, audit_before, audit_after, movement_status, state_counts,
+    plan_after_match, ambiguous_cases, audit_before, audit_after, movement_status, state_counts, state_report, decisions_rejected,
     apply_decisions, open_cases, queue_size, companies, company_history, daily_summary, day_totals,
     month_to_date, summary_unpivot, balance_unpivot, company_daily_net, balance_lookup,
     balances_latest, balances_asof, balance_total, balance_top10, balance_series, cashflow_series,
     forecast_linear, forecast_moving_average, forecast_features, forecast_too_short, chart_series,
-    backtest_simple, best_simple_model, forecast_holt, forecast_arima, forecast_markov, forecast_boosting, forecast_balance, forecast_cashflow, feature_importance,
+    backtest_simple, rmse_table, case_cosines, best_simple_model, forecast_holt, forecast_arima, forecast_markov, forecast_boosting, forecast_balance, forecast_cashflow, feature_importance,
     backtest_all, anomaly_eligible, anomaly_models, anomaly_flags, script_status, overdue, late_scripts,
     recent_runs, runs_of_script, record_runs, log_errors, similar_cases, prompts, import_plan,
     workbook_import, plan_import)}
 QUERIES["suggestions"] = suggestions_parsed
 QUERIES["transcripts"] = folded_transcripts
+QUERIES |= stored.QUERIES

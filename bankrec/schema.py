@@ -45,7 +45,7 @@ TABLES = {
     "casos": (CASOS, ["dia"]),
     "candidatos": (CANDIDATOS, ["dia"]),
     "saldos": (SALDOS, ["dia"]),
-    "execucoes": (EXECUCOES, []),
+    "execucoes": (T.StructType(EXECUCOES.fields + [T.StructField("dia", _DAY, True)]), ["dia"]),
     "rejeitados": (T.StructType(REJEITADOS.fields + [T.StructField("lote", _LONG, True)]), ["lote"]),
 }
 

@@ -34,13 +34,18 @@ def import_batch(root: str, ficheiros: DataFrame, batch_id: int) -> None:
                        mode="overwrite")
 
 
+def follow(ficheiros: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Import the files of a stream of ``(path, content)``, wherever they come from."""
+    writer = (ficheiros.select("path", "content").writeStream.option("checkpointLocation", checkpoint)
+              .foreachBatch(lambda df, batch_id: import_batch(root, df, batch_id)))
+    return (writer.trigger(availableNow=True) if available_now
+            else writer.trigger(processingTime="1 minute")).start()
+
+
 def stream_movements(spark: SparkSession, pasta: str, root: str, checkpoint: str,
                      available_now: bool = True) -> StreamingQuery:
     """Follow a folder of statements. A file is known by its path: one replaced in
     place is not read again."""
     files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
              .option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(pasta))
-    writer = (files.select("path", "content").writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, batch_id: import_batch(root, df, batch_id)))
-    return (writer.trigger(availableNow=True) if available_now
-            else writer.trigger(processingTime="1 minute")).start()
+    return follow(files, root, checkpoint, available_now)

@@ -216,3 +216,21 @@ def test_recorded_runs_get_ids(spark, ledger):
     runs.record(spark, root, df)
     stored = schema.read_table(spark, root, "execucoes").collect()
     assert len({r.id for r in stored}) == 8 and {r.script for r in stored} == {"preencher"}
+
+
+def test_days_with_nothing_pending_are_told(spark, ledger):
+    root, _ = ledger
+    c = cells(spark, {f"/{FOLDER}/21-07-2026_Ancora Apogeu.xlsx": statement([("Renda", Decimal("-45.00"))], "21-07-2026")})
+    ingest.import_movements(root, c)
+    days = [DIA, date(2026, 7, 22)]
+    got = [{r.dia: (r.casados, r.novos, r.ambiguos) for r in runs.reconcile_days(spark, root, days).collect()} for _ in range(2)]
+    assert got == [{days[0]: (0, 1, 0), days[1]: (0, 0, 0)}, {d: (0, 0, 0) for d in days}]
+
+
+def test_runs_are_stored_by_day(spark, ledger):
+    from datetime import datetime
+    root, _ = ledger
+    rows = [(None, "a", "ok", None, None, 1.0, datetime(2026, 8, d, 9)) for d in (1, 1, 2)]
+    runs.record(spark, root, spark.createDataFrame(rows, schema.EXECUCOES).drop("id"))
+    one = schema.read_table(spark, root, "execucoes", [date(2026, 8, 2)])
+    assert one.count() == 1 and "PartitionFilters: [isnotnull(dia" in one._jdf.queryExecution().executedPlan().toString()
