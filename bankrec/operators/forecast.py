@@ -10,7 +10,6 @@ back but the boosted values, which one model gives for all series, see ``boostin
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bankrec.functions.text import key_of
@@ -21,15 +20,11 @@ from bankrec.operators import series as s
 from bankrec.session import deal_out
 
 MIN_POINTS = 5
+_BLOCK = 1024     # days whose sums are one row
 LINEAR, AVERAGE = "regressao_linear", "media_movel"
 MODEL_ORDER = [LINEAR, AVERAGE, rec.HOLT, rec.ARIMA, rec.MARKOV, b.BOOSTING]
 
 
-def long_enough(series: DataFrame, minimum: int = MIN_POINTS) -> DataFrame:
-    ok = series.groupBy("serie").agg(F.count("*").alias("n")).where(F.col("n") >= minimum)
-    return series.join(ok.select("serie"), "serie", "left_semi")
-
-
 def too_short(series: DataFrame, minimum: int = MIN_POINTS) -> DataFrame:
     """Series without a forecast, with the reason."""
     short = series.groupBy("serie").agg(F.count("*").alias("n")).where(F.col("n") < minimum)
@@ -37,30 +32,23 @@ def too_short(series: DataFrame, minimum: int = MIN_POINTS) -> DataFrame:
                                                       F.col("n"), F.lit(minimum)))
 
 
-def _steps(h: int):
-    return F.explode(F.sequence(F.lit(1), F.lit(h))).alias("passo")
-
-
-def linear(series: DataFrame, h: int) -> DataFrame:
-    """Least-squares trend on the position."""
-    fit = series.groupBy("serie").agg(F.regr_slope("valor", "t").alias("m"),
-                                      F.regr_intercept("valor", "t").alias("b"),
-                                      F.max("t").alias("ultimo"))
-    return (fit.select("*", _steps(h))
-            .select("serie", F.lit(LINEAR).alias("modelo"), "passo",
-                    (F.col("b") + F.col("m") * (F.col("ultimo") + F.col("passo"))).alias("valor")))
-
-
-def moving_average(series: DataFrame, h: int) -> DataFrame:
-    """Mean of the last values, repeated."""
-    place = F.row_number().over(W.partitionBy("serie").orderBy(F.desc("t")))
-    mean = (series.withColumn("_r", place).where(F.col("_r") <= s.MEAN_WINDOW)
-            .groupBy("serie").agg(F.avg("valor").alias("valor")))
-    return mean.select("serie", F.lit(AVERAGE).alias("modelo"), _steps(h), "valor")
+def trends(series: DataFrame) -> DataFrame:
+    """What the simple models need of each series: points, last day, sums, and the last
+    values. Sums of blocks of days are merged, so no series has to fit a row or a task."""
+    place = F.struct("t", "valor")
+    blocks = series.groupBy("serie", F.floor(F.col("t") / _BLOCK).alias("_bloco")).agg(
+        F.count("*").alias("n"), F.max("dia").alias("ultimo"), F.sum("valor").alias("y"),
+        F.sum(F.col("t") * F.col("valor")).alias("ty"),
+        _last(F.collect_list(place)).alias("fim"))
+    merged = blocks.groupBy("serie").agg(
+        F.sum("n").cast("double").alias("n"), F.max("ultimo").alias("ultimo"), F.sum("y").alias("y"), F.sum("ty").alias("ty"),
+        _last(F.flatten(F.collect_list("fim"))).alias("fim"))
+    return merged.withColumn("m", F.expr("(ty - (n - 1) / 2 * y) / (n * (n * n - 1) / 12)"))
 
 
-def simple(series: DataFrame, h: int) -> DataFrame:
-    return linear(series, h).unionByName(moving_average(series, h))
+def _last(points: Column) -> Column:
+    """The last points, the latest first; all of them where there are few."""
+    return F.slice(F.sort_array(points, asc=False), 1, s.MEAN_WINDOW)
 
 
 def gather(series: DataFrame) -> DataFrame:
@@ -151,9 +139,14 @@ def forecast_with(series: DataFrame, modelo: str, h: int = 7) -> DataFrame:
 
 
 def forecast_simple(series: DataFrame, h: int = 7) -> DataFrame:
-    usable = long_enough(series)
-    return (simple(usable, h).join(s.horizon(usable, h), ["serie", "passo"])
-            .select("serie", "modelo", "dia", "valor"))
+    """The linear trend and the moving average, long form; series under the minimum are left
+    out. One pass over the series, without a join."""
+    mean = "aggregate(fim, 0D, (a, x) -> a + x.valor) / size(fim)"
+    rows = trends(series).where(f"n >= {MIN_POINTS}").selectExpr("serie", "ultimo", "y / n as centro", "m", "(n - 1) / 2 as meio",
+                                                                 f"{mean} as media", f"explode(sequence(1, {h})) as passo")
+    return rows.selectExpr("serie", "date_add(ultimo, passo) as dia",
+                           f"stack(2, '{LINEAR}', centro + m * (meio + passo), '{AVERAGE}', media) as (modelo, valor)").select(
+        "serie", "modelo", "dia", "valor")
 
 
 def _balance_series(saldos: DataFrame, empresa: str | None) -> DataFrame:
