@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bankrec.llm.native import LOWER, UPPER, let, row_key, with_row_key
+from bankrec.llm.native import LOWER, UPPER, let, packed, unpacked, with_row_key
 
 BROADCAST_WINDOWS = 1_000_000    # about 100 MB; a larger set is joined by a shuffle
 _OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"     # between words
@@ -78,18 +78,17 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_hit_percent: int = 50) -> DataFrame:
-    """The documents, all columns, without hit words. A document of which more than
-    ``max_hit_percent`` of the words are hit is dropped; one without hits is not changed.
-    A removed word goes with the separators before it."""
-    found = hits(docs, items, window).withColumnsRenamed({"row": "__row", "covered": "__covered"}).drop("item_ids")
-    keyed = docs.withColumn("__row", row_key())
-    pieces = F.regexp_extract_all("text", F.lit(f"{_OTHER}*{_WORD}+"), F.lit(0))
-    tail = F.regexp_extract("text", f"{_OTHER}*$", 0)
+    """The documents, all columns whatever their names, without hit words. A document of which
+    more than ``max_hit_percent`` of the words are hit is dropped; one without hits is not
+    changed. A removed word goes with the separators before it. Null and empty texts have no
+    hits; rows may repeat; empty tables give no rows, or the documents as they are."""
+    found = hits(docs, items, window).withColumnRenamed("row", "key").drop("item_ids")
+    text = F.col("all.text")
+    pieces = F.regexp_extract_all(text, F.lit(f"{_OTHER}*{_WORD}+"), F.lit(0))
+    tail = F.regexp_extract(text, f"{_OTHER}*$", 0)
     # positions as a string per word: a word stays unless its position is listed
-    left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__covered"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("covered"))
     kept = let(pieces, lambda ps: F.array_join(F.transform(left, lambda i: F.get(ps, i)), ""))
-    hit = 100 * F.size("__covered") > max_hit_percent * F.size(pieces)
-    return (keyed.join(found, "__row", "left")
-            .where(F.col("__covered").isNull() | ~hit)
-            .withColumn("text", F.when(F.col("__covered").isNull(), F.col("text")).otherwise(F.concat(kept, tail)))
-            .select(docs.columns))
+    hit = 100 * F.size("covered") > max_hit_percent * F.size(pieces)
+    return packed(docs).join(found, "key", "left").where(F.col("covered").isNull() | ~hit).select(
+        *unpacked(docs.columns, F.when(F.col("covered").isNull(), text).otherwise(F.concat(kept, tail))))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bankrec.llm.native import row_key
+from bankrec.llm.native import free_name, let, packed, row_key, unpacked
 
 _WHITE = " \t\n\x0b\x0c\r"
 
@@ -42,9 +42,10 @@ def repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
             .groupBy("row").agg(F.collect_list("line").alias("covered")))
 
 
-def remove_repeated(docs: DataFrame, size: int = 3) -> DataFrame:
+def remove_repeated(docs: DataFrame, size: int = 3, told: str = "n_removed") -> DataFrame:
     """The documents, all columns, without lines that are covered by a window of ``size``
-    lines that occurred before, and with ``n_removed``, the number of lines that went.
+    lines that occurred before, and with ``told``, the number of lines that went. Columns may
+    have any names; where one is called ``told``, the number's name gets an underscore more.
 
     Occurrences are ordered by ``doc_id``, then by place in the text. Lines are compared
     without white space at their ends; lines without a word are not counted, and stay.
@@ -52,9 +53,11 @@ def remove_repeated(docs: DataFrame, size: int = 3) -> DataFrame:
     ``doc_id`` come last. Rows equal in ``doc_id`` and text are one document: what goes
     from one goes from all. An empty table gives an empty result.
     """
-    columns = [c for c in docs.columns if c != "n_removed"]
-    covered = repeated_lines(docs, size).withColumnsRenamed({"row": "__row", "covered": "__covered"})
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__covered", i)), "\n")
-    return (docs.select(*columns, row_key().alias("__row")).join(covered, "__row", "left")
-            .withColumn("text", F.when(F.col("__covered").isNull(), F.col("text")).otherwise(kept))
-            .select(*columns, F.coalesce(F.size("__covered"), F.lit(0)).cast("long").alias("n_removed")))
+    covered = repeated_lines(docs, size).withColumnRenamed("row", "key")
+    text = F.col("all.text")
+    # positions that stay, by a set, so that the work is in proportion to the lines
+    kept = let(F.split(text, "\n"), lambda lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered")), lambda i: F.get(lines, i)), "\n"))
+    left = F.when(F.col("covered").isNull(), text).otherwise(kept)
+    return packed(docs).join(covered, "key", "left").select(
+        *unpacked(docs.columns, left), F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias(free_name(docs.columns, told)))

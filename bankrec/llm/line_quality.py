@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bankrec.llm.native import WHITE, has_word, let, row_key, words
+from bankrec.llm.native import WHITE, has_word, let, packed, row_key, unpacked, words
 from bankrec.llm.shared import stored
 
 MIN_WORDS = 10
@@ -129,9 +129,7 @@ def clean(docs: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE_
     like an empty one; repeated rows are kept or go together; an empty table stays empty."""
     kept = judged(docs, line_docs, line_percent, kept_percent, enough_docs).where("kept").select(
         F.col("row").alias("key"), "lines").dropDuplicates(["key"])
-    rows = docs.select(F.struct(*docs.columns).alias("all"), row_key().alias("key")).join(kept, "key")
     text = F.col("all.text")
     shorter = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("lines", F.xxhash64(line_words(x)))), "\n")
-    return rows.select(*(
-        F.when(F.col("lines").isNull(), text).otherwise(shorter).alias(c) if c == "text"
-        else F.col("all")[c].alias(c) for c in docs.columns))
+    return packed(docs).join(kept, "key").select(
+        *unpacked(docs.columns, F.when(F.col("lines").isNull(), text).otherwise(shorter)))

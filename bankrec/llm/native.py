@@ -39,3 +39,21 @@ def row_key() -> Column:
 def hash_limit(share: float) -> int:
     """The largest of the smallest 64-bit hashes that make up ``share`` of all."""
     return min((1 << 63) - 1, int(-(1 << 63) + min(1.0, share) * (1 << 64)))
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be new."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``all``, a struct of the columns of ``docs``, and ``key``, the ``row_key``. Columns of a
+    caller cannot clash with those an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), row_key().alias("key"))
+
+
+def unpacked(columns: list[str], text: Column) -> list[Column]:
+    """The columns of ``packed`` rows, with another text."""
+    return [text.alias(c) if c == "text" else F.col("all")[c].alias(c) for c in columns]
