@@ -137,30 +137,20 @@ def fit(movimentos: DataFrame) -> DataFrame:
     return deal_out(samples(movimentos), "empresa").mapInPandas(_fit_batches, _MODEL_SCHEMA)
 
 
-def _score_batches(batches):
-    for batch in batches:
-        forests, parts = {}, []
-        for row in batch.itertuples(index=False):
-            if row.empresa not in forests:
-                forests[row.empresa] = _forest(row.amostras, row.semente)
-            cuts, scores = forests[row.empresa]
-            parts.append(scores[np.searchsorted(cuts, row.centimos / 100.0, side="left")])
-        if parts:
-            sizes = batch["centimos"].map(len)
-            yield pd.DataFrame({"empresa": np.repeat(batch["empresa"].to_numpy(), sizes),
-                                "centimos": np.concatenate(batch["centimos"].to_numpy()),
-                                "n": np.concatenate(batch["n"].to_numpy()),
-                                "nota": np.concatenate(parts)})
-
-
 def _cents():
     return F.expr("cast(valor * 100 as bigint) as centimos")
 
 
+# the place of an amount among the ordered cuts, by halving
+_PLACE = ("aggregate(sequence(1, 32), struct(0 as de, size(cortes) as ate), (s, i) -> if(s.de >= s.ate, s, "
+          "if(cortes[(s.de + s.ate) div 2] < c / 100D, struct(cast((s.de + s.ate) div 2 as int) + 1 as de, s.ate as ate), "
+          "struct(s.de as de, cast((s.de + s.ate) div 2 as int) as ate))), s -> s.de)")
+
+
 def score_amounts(movimentos: DataFrame, rows_per_part: int = AMOUNTS_PER_PART) -> DataFrame:
     """Distinct amounts of each eligible company with their count and score. Lower
-    is more unusual. A company with many distinct amounts is scored in parts; its
-    small sample goes to each, and its forest, being seeded, is the same in each."""
+    is more unusual. Every forest is fitted once; a company with many distinct amounts is
+    scored in parts, and its cuts and scores, which are bounded, go to each."""
     amounts = (movimentos.select("empresa", _cents()).groupBy("empresa", "centimos")
                .agg(F.count("*").alias("n")))
     heavy = skew.parts_of_heavy_keys(amounts.groupBy("empresa").agg(F.count("*").alias("_n")),
@@ -168,12 +158,12 @@ def score_amounts(movimentos: DataFrame, rows_per_part: int = AMOUNTS_PER_PART)
     parts = (amounts.join(heavy, "empresa", "left")
              .groupBy("empresa", F.expr("pmod(xxhash64(centimos), coalesce(_partes, 1)) as _parte"))
              .agg(F.collect_list(F.struct("centimos", "n")).alias("a")))
-    copies = (samples(movimentos).join(heavy, "empresa", "left").selectExpr(
-        "empresa", "amostras", "semente", "explode(sequence(0L, coalesce(_partes, 1) - 1L)) as _parte"))
-    rows = parts.join(copies, ["empresa", "_parte"]).selectExpr(
-        "empresa", "amostras", "semente", "a.centimos as centimos", "a.n as n",
-        "concat(empresa, '/', _parte) as _onde")
-    return deal_out(rows, "_onde").drop("_onde").mapInPandas(_score_batches, _SCORE_SCHEMA)
+    copies = (fit(movimentos).join(heavy, "empresa", "left").selectExpr(
+        "empresa", "cortes", "notas", "explode(sequence(0L, coalesce(_partes, 1) - 1L)) as _parte"))
+    rows = parts.join(copies, ["empresa", "_parte"]).withColumn("_onde", F.concat_ws("/", "empresa", "_parte"))
+    scored = f"transform(a.centimos, c -> notas[{_PLACE}])"
+    return deal_out(rows, "_onde").selectExpr(
+        "empresa", f"inline(arrays_zip(a.centimos, a.n, {scored})) as (centimos, n, nota)")
 
 
 def flag(movimentos: DataFrame, contaminacao: float = 0.1, dia=None,
