@@ -323,7 +323,9 @@ ORACLE: dict[str, str] = {
           select dia, chave, previsto valor, string_agg('- linha ' || linha || ' (' || tipo || '): empresa '
             || empresa || ', previsto ' || previsto || ', imputação: ' || imputacao, chr(10) order by id) texto
           from linhas where pago is null group by all),
-        vetores as (select c.*, cast(embedding as double[]) e from casos c join embeddings on c.id = 2*vec_id),
+        vetores as (
+          select c.*, cast(embedding as double[]) e from casos c
+          join embeddings on vec_id = (c.id // 2) % (select count(*) from embeddings)),
         pares as (
           select a.id, b.empresa || ' | ' || b.descricao || ' | ' || b.valor || ' EUR' texto, b.resolucao,
             list_cosine_similarity(a.e, b.e) sim, b.id vizinho,

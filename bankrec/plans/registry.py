@@ -405,11 +405,11 @@ def case_cosines(spark, sf):
 
 
 def prompts(spark, sf):
-    """Prompts for the open cases; cases that have a vector get similar ones."""
+    """Prompts for the open cases; every case has one of the vectors."""
     m, lines, found, options = _half_resolved(spark, sf)
-    vectors = ledger.load(spark, sf, "embeddings").select(
-        (F.col("vec_id") * 2).alias("caso_id"), "embedding")
-    own = found.select(F.col("id").alias("caso_id"), "resolvido_por").join(vectors, "caso_id").checkpoint()
+    vectors = ledger.load(spark, sf, "embeddings").select("vec_id", "embedding")
+    place = F.expr(f"(id div 2) % {max(1, vectors.count())}").alias("vec_id")
+    own = found.select(F.col("id").alias("caso_id"), "resolvido_por", place).join(vectors, "vec_id").drop("vec_id").checkpoint()
     near = similarity.top_k(own.where("resolvido_por is null").select("caso_id", "embedding"),
                             own.where("resolvido_por is not null").select("caso_id", "embedding"))
     return suggestions.prompts(found, options, lines, m, near)
