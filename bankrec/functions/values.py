@@ -21,10 +21,14 @@ def money_strict(col: Column | str) -> Column:
     return _plain_number(_col(col)).cast("decimal(18,2)")
 
 
+def money_or_null(col: Column | str) -> Column:
+    """``1.234,56`` to money; anything else is null."""
+    return _plain_number(_col(col)).try_cast("decimal(18,2)")
+
+
 def money_lenient(col: Column | str) -> Column:
     """``1.234,56 EUR`` to money; anything else is null."""
-    text = F.replace(_col(col), F.lit("EUR"), F.lit(""))
-    return _plain_number(text).try_cast("decimal(18,2)")
+    return money_or_null(F.replace(_col(col), F.lit("EUR"), F.lit("")))
 
 
 def receipt(col: Column | str) -> Column:

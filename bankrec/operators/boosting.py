@@ -73,4 +73,4 @@ def importance(model: GBTRegressionModel, rows: DataFrame) -> DataFrame:
 
 
 def failure() -> Column:
-    return F.format_string(f"histórico insuficiente (%d pontos, mínimo {MIN_POINTS})", F.size("valores"))
+    return F.format_string(f"só há %d pontos e são precisos {MIN_POINTS}", F.size("valores"))

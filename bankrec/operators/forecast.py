@@ -28,7 +28,7 @@ MODEL_ORDER = [LINEAR, AVERAGE, rec.HOLT, rec.ARIMA, rec.MARKOV, b.BOOSTING]
 def too_short(series: DataFrame, minimum: int = MIN_POINTS) -> DataFrame:
     """Series without a forecast, with the reason."""
     short = series.groupBy("serie").agg(F.count("*").alias("n")).where(F.col("n") < minimum)
-    return short.withColumn("motivo", F.format_string("Histórico insuficiente (%d pontos, mínimo %d)",
+    return short.withColumn("motivo", F.format_string("só há %d pontos e são precisos %d",
                                                       F.col("n"), F.lit(minimum)))
 
 

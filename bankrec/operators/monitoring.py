@@ -95,6 +95,7 @@ def late_scripts(status: DataFrame) -> DataFrame:
 
 def recent_runs(execucoes: DataFrame, limit: int = 50) -> DataFrame:
     """The latest runs, oldest first."""
+    # Fixed value: the message of a run that told none.
     default = F.concat(F.lit("Execução do script "), "script", F.lit(" registada com status "),
                        "status", F.lit("."))
     last = execucoes.orderBy(F.desc("ts"), F.desc("id")).limit(limit)

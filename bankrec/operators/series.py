@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from bankrec.functions.values import calendar, payment, receipt
 
 PORTFOLIO = "*"
+# Fixed value: the names of the lag and calendar features.
 FEATURES = ["dia_semana", "dia_mes", "fim_de_semana", "lag_1", "lag_2", "lag_3", "media_movel_5"]
 N_LAGS = 3
 MEAN_WINDOW = 5

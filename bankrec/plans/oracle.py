@@ -109,6 +109,7 @@ execucoes as (
   select event_id id, event_type script, case when value > 200 then 'erro' else 'ok' end status,
     case when value > 200 then 'valor ' || cast(cast(value as decimal(18,2)) as varchar) || ' acima do limite' end erro,
     props, ts from events),
+-- fixed values: the known scripts
 conhecidos(nome, descricao, hora_execucao) as (values
   ('preencher_mapa', 'Preenchimento do Mapa de Pagamentos e Recebimentos a partir dos extratos bancários',
    '08:50, 12:50, 14:10, 16:15, 18:30'),
@@ -277,7 +278,7 @@ ORACLE: dict[str, str] = {
         "media_movel_5, round(valor, 4) valor from serie "
         "window w as (partition by serie order by t) qualify t >= 3", _SERIES),
     "forecast_too_short": _sql(
-        "select chave serie, count(*) n, 'Histórico insuficiente (' || count(*) || ' pontos, mínimo 25)' motivo "
+        "select chave serie, count(*) n, 'só há ' || count(*) || ' pontos e são precisos 25' motivo "
         "from saldos group by chave having count(*) < 25", _FLOWS),
     "chart_series": _sql(
         f"select serie, {_DAY}, round(valor, 4) valor, 'Histórico' nome, 'Histórico' tipo_linha from serie "

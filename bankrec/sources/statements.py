@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bankrec.functions.text import company_key, strip
-from bankrec.functions.values import money_lenient
+from bankrec.functions.values import money_lenient, money_or_null
 from bankrec.sources.paths import entity, file_name, statement_day
 
 HEADER_ROWS = 20
@@ -29,8 +29,7 @@ def shown() -> Column:
 
 def _money(strict: bool) -> Column:
     """Text is parsed; a numeric cell is taken as it is."""
-    text = strip(F.replace(F.replace(F.col("text"), F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-    parsed = text.try_cast(_MONEY) if strict else money_lenient("text")
+    parsed = money_or_null("text") if strict else money_lenient("text")
     return F.when(F.col("kind") == "number", F.col("number").cast(_MONEY)).otherwise(parsed)
 
 

@@ -33,7 +33,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session(f"local[{cpus}]", 8, **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")})
+        "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g")})
     spark.sparkContext.setLogLevel("ERROR")
 
     def run(name: str) -> float:

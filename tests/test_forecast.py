@@ -228,7 +228,7 @@ def test_boosting_holdout_needs_fifteen_training_days(spark):
     df = long(spark, {"longa": week(25), "curta": week(19)})
     scores = {(r.serie, r.modelo): r for r in forecast.backtest(df, 5, boosting=True).collect()}
     assert scores["longa", "gradient_boosting"].rmse is not None
-    assert scores["curta", "gradient_boosting"].falha.startswith("histórico insuficiente")
+    assert scores["curta", "gradient_boosting"].falha == "só há 14 pontos e são precisos 15"
 
 
 def test_steps_ahead_use_the_features_of_the_table(spark):
