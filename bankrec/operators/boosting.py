@@ -19,7 +19,7 @@ from bankrec.session import ensure_checkpoint_dir
 BOOSTING = "gradient_boosting"
 MIN_POINTS = 15
 # Fixed values of the model.
-TREES, DEPTH, RATE, ROW_SHARE, SEED = 10, 3, 0.4, 0.8, 42
+TREES, DEPTH, RATE, ROW_SHARE, SEED = 6, 3, 0.5, 0.8, 42
 
 
 def _assembler() -> VectorAssembler:
@@ -40,12 +40,14 @@ def fit(rows: DataFrame) -> GBTRegressionModel | None:
     long = rows.select("serie", "ultimo", F.size("valores").alias("n"), F.posexplode("valores").alias("t", "valor")).select(
         "serie", "t", F.expr("date_sub(ultimo, n - 1 - t)").alias("dia"), "valor")
     ensure_checkpoint_dir(rows.sparkSession)
-    # every tree reads the table several times
-    train = _assembler().transform(s.features(long)).select("entrada", "valor").checkpoint()
+    # every tree reads the table several times; what a lost executor held is read again
+    train = _assembler().transform(s.features(long)).select("entrada", "valor").checkpoint().persist()
     if train.isEmpty():
         return None
-    return GBTRegressor(featuresCol="entrada", labelCol="valor", maxIter=TREES, maxDepth=DEPTH, stepSize=RATE,
+    model = GBTRegressor(featuresCol="entrada", labelCol="valor", maxIter=TREES, maxDepth=DEPTH, stepSize=RATE,
                         subsamplingRate=ROW_SHARE, seed=SEED).fit(train)
+    train.unpersist()
+    return model
 
 
 def ahead(rows: DataFrame, model: GBTRegressionModel, h: int) -> DataFrame:
