@@ -1,28 +1,71 @@
 """Unusual amounts per company, by a one-dimensional isolation forest.
 
-With a single feature a forest is a step function of the amount. Each tree is fitted on
-a few rows drawn from a company's whole history; scoring is a lookup, done once per
-distinct amount. Parts of a large company's amounts are scored by different tasks.
+A tree cuts its amounts at a uniform place again and again. On a line that is the same as
+giving each gap between neighbouring amounts an exponential waiting time, whose rate is the
+gap's length, and cutting the gaps in the order of their times: the chance that a gap is the
+first of its node is its share of the node's length. Draws, waiting times, cuts, heights, sums and
+scores are SQL; a small helper finds the depths of the cuts of many trees at once.
+
+With a single feature a forest is a step function of the amount. Cuts are whole cents and
+heights whole multiples of 1 / ``ONE``, so sums of them are exact in any order.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bankrec import skew
-from bankrec.session import deal_out, ensure_checkpoint_dir
+from bankrec.session import deal_out, ensure_checkpoint_dir, task_count
 
 MIN_HISTORY = 10
 TREES = 100
 TREE_ROWS = 256
 AMOUNTS_PER_PART = 100_000
 SEED = 42
-_MODEL_SCHEMA = "empresa string, cortes array<double>, notas array<double>"
-_SCORE_SCHEMA = "empresa string, centimos long, n long, nota double"
+LEVELS = math.ceil(math.log2(TREE_ROWS))
+ONE = 1 << 20
+EULER = 0.5772156649015329
+
+# draws come from a multiplicative generator: a text's digest starts it, and each tree uses
+# three of its steps (which rows it holds, the waiting times, the places of the cuts)
+PRIME = (1 << 31) - 1
+ROOT = 16807
+
+
+def multipliers(kind: int) -> list[int]:
+    """The generator's steps for all trees: 0 for rows, 1 for waiting times, 2 for places."""
+    return [pow(ROOT, kind * TREES + t + 1, PRIME) for t in range(TREES)]
+
+
+def _steps(kind: int) -> str:
+    return "array(" + ", ".join(f"{m}L" for m in multipliers(kind)) + ")"
+
+
+def _start(text: str) -> str:
+    """1 to PRIME - 1 from the digest of a text."""
+    return f"1L + cast(conv(substr(md5(concat_ws('/', '{SEED}', {text})), 1, 15), 16, 10) as bigint) % {PRIME - 1}L"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def path_length(m: int) -> float:
+    """Mean depth of an unsuccessful search among m points."""
+    return 2 * (math.log(m - 1) + EULER) - 2 * (m - 1) / m if m > 2 else float(m == 2)
+
+
+def fixed_lengths() -> list[int]:
+    """``path_length`` of 0 to ``TREE_ROWS`` points, times ``ONE``."""
+    return [round(ONE * path_length(m)) for m in range(TREE_ROWS + 1)]
 
 
 def eligible(movimentos: DataFrame) -> DataFrame:
@@ -31,110 +74,110 @@ def eligible(movimentos: DataFrame) -> DataFrame:
             .where(F.col("n") >= MIN_HISTORY))
 
 
-def _path_length(m):
-    """Mean depth of an unsuccessful search among m points."""
-    m = np.asarray(m, dtype=float)
-    harmonic = np.log(np.maximum(m - 1, 1)) + np.euler_gamma
-    return np.where(m > 2, 2 * harmonic - 2 * (m - 1) / np.maximum(m, 1), np.where(m == 2, 1.0, 0.0))
-
-
-def _segment_search(x, start, end, cut):
-    """First position in each sorted run ``x[start:end]`` whose value exceeds ``cut``."""
-    lo, hi = start.copy(), end.copy()
-    while True:
-        open_ = lo < hi
-        if not open_.any():
-            return lo
-        mid = (lo + hi) // 2
-        right = open_ & (x[np.minimum(mid, len(x) - 1)] <= cut)
-        lo, hi = np.where(right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
-
-
-def fit_forest(values: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest over the values at hand; each tree draws its rows from all of them."""
-    rng = np.random.default_rng([SEED, seed])
-    size = min(TREE_ROWS, len(values))
-    picks = rng.random((TREES, len(values))).argpartition(size - 1, axis=1)[:, :size]
-    return _grow(list(values[picks]), rng)
-
-
-def _forest(trees, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The forest of one company from ``samples``."""
-    drawn = [np.asarray(t, dtype=float) for t in trees]
-    if len(drawn) == 1:
-        return fit_forest(drawn[0], seed)
-    return _grow(drawn, np.random.default_rng([SEED, seed]))
-
-
-def _grow(drawn: list[np.ndarray], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Cut points and the score of each interval between them. All trees grow one
-    level at a time; a node is a run of its tree's sorted sample."""
-    sizes = np.array([len(d) for d in drawn])
-    deepest = int(np.ceil(np.log2(max(sizes.max(), 2))))
-    x = np.concatenate([np.sort(d) for d in drawn])
-    end = np.cumsum(sizes)
-    tree, start, low = np.arange(len(drawn)), end - sizes, np.full(len(drawn), -np.inf)
-    leaves = []
-    for depth in range(deepest + 1):
-        last = depth == deepest
-        split = np.zeros(len(start), dtype=bool) if last else x[start] < x[end - 1]
-        stop = ~split
-        leaves.append((tree[stop], low[stop], depth + _path_length((end - start)[stop])))
-        s, e = start[split], end[split]
-        if len(s) == 0:
-            break
-        cut = x[s] + rng.random(len(s)) * (x[e - 1] - x[s])
-        at = np.clip(_segment_search(x, s, e, cut), s + 1, e - 1)
-        tree = np.repeat(tree[split], 2)
-        start = np.column_stack([s, at]).ravel()
-        end = np.column_stack([at, e]).ravel()
-        low = np.column_stack([low[split], cut]).ravel()
-    tree, low, height = (np.concatenate(part) for part in zip(*leaves))
-    # every tree is a step function of the amount, and so is their sum
-    order = np.lexsort((low, tree))
-    low, height = low[order], height[order]
-    first = np.isneginf(low)
-    rise = np.diff(height, prepend=0.0)[~first]
-    cuts = low[~first]
-    by_cut = np.argsort(cuts, kind="stable")
-    sums = height[first].sum() + np.concatenate([[0.0], np.cumsum(rise[by_cut])])
-    scale = max(float(_path_length(sizes.mean())), 1e-9)
-    return cuts[by_cut], -np.exp2(-(sums / len(drawn)) / scale)
-
-
 def samples(movimentos: DataFrame, min_rows: int = skew.MIN_ROWS) -> DataFrame:
-    """``(empresa, amostras, semente)`` of eligible companies: one list with the whole
-    history where a tree can hold it, else a list for each tree.
+    """``(empresa, arvores)`` of eligible companies: the sorted distinct amounts ``v`` in cents
+    of each tree, the number of rows up to each ``ate``, and the start ``g`` of its draws. There is
+    one entry, for all trees, where a tree can hold the whole history.
 
-    A row is ranked for every tree by a hash of its id and the tree, and a tree takes its
-    ``TREE_ROWS`` first rows of the whole history. Rows whose hash is far from the first
-    ones are left out before the shuffle, so a company sends about as many as it needs.
+    A row has one digest, of its id; each tree takes the ``TREE_ROWS`` rows that come first in
+    its own step of the generator. Rows far from the first ones are left out before the
+    shuffle, so a company sends about as many as its trees need.
     """
-    rows = movimentos.where("valor is not null").select("id", "empresa", F.col("valor").cast("double").alias("valor"))
+    rows = movimentos.where("valor is not null").select("id", "empresa", _cents())
     counted = skew.join_lookup(rows, eligible(rows), ["empresa"], "inner", by="id", min_rows=min_rows)
     # ten standard deviations above the number wanted
     near = TREE_ROWS + 10 * TREE_ROWS ** 0.5
-    trees = (f"if(n <= {TREE_ROWS}, array(0), filter(sequence(0, {TREES - 1}), "
-             f"t -> xxhash64(id, t, {SEED}) / 18446744073709551616d + 0.5d < {near}d / n))")
-    place = F.row_number().over(W.partitionBy("empresa", "arvore").orderBy(F.xxhash64("id", "arvore", F.lit(SEED)), "id"))
-    drawn = (counted.select("id", "empresa", "valor", F.explode(F.expr(trees)).alias("arvore"))
-             .withColumn("_r", place).where(F.col("_r") <= TREE_ROWS)
-             .groupBy("empresa", "arvore").agg(F.array_sort(F.collect_list("valor")).alias("amostra")))
-    by_tree = F.array_sort(F.collect_list(F.struct("arvore", "amostra")))
-    return (drawn.groupBy("empresa").agg(by_tree["amostra"].alias("amostras"))
-            .withColumn("semente", F.abs(F.xxhash64("empresa") % (1 << 31))))
-
-
-def _fit_batches(batches):
-    for batch in batches:
-        rows = [(name, *_forest(trees, seed))
-                for name, trees, seed in zip(batch["empresa"], batch["amostras"], batch["semente"])]
-        yield pd.DataFrame(rows, columns=["empresa", "cortes", "notas"])
+    trees = (f"if(n <= {TREE_ROWS}, array(struct(0 as arvore, h as lugar)), filter("
+             f"transform({_steps(0)}, (m, t) -> struct(t as arvore, (h * m) % {PRIME}L as lugar)), "
+             f"x -> x.lugar < {near}D / n * {PRIME}D))")
+    first = F.row_number().over(W.partitionBy("empresa", "arvore").orderBy("lugar", "id"))
+    upto = F.sum("c").over(W.partitionBy("empresa", "arvore").orderBy("centimos"))
+    drawn = (counted.withColumn("h", F.expr(_start("id")))
+             .select("id", "empresa", "centimos", F.inline(F.expr(trees)))
+             .withColumn("_r", first).where(F.col("_r") <= TREE_ROWS)
+             .groupBy("empresa", "arvore", "centimos").agg(F.count("*").alias("c"))
+             .withColumns({"g": F.expr(_start("empresa, centimos")), "ate": upto})
+             .groupBy("empresa", "arvore")
+             .agg(F.array_sort(F.collect_list(F.struct(F.col("centimos").alias("v"), "ate", "g"))).alias("amostra")))
+    return drawn.groupBy("empresa").agg(F.array_sort(F.collect_list(F.struct("arvore", "amostra"))).alias("arvores"))
+
+
+def depths(times: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The depth of each gap in its tree, all trees level by level: the first gap of a run is
+    its cut, and what lies before and after it are the runs of the next level. ``times`` holds the
+    trees one after another. Gaps below ``LEVELS`` levels have that depth."""
+    depth = np.full(len(times), LEVELS, dtype=np.int32)
+    padded = np.append(times, np.inf)
+    end = np.cumsum(sizes)
+    start = end - sizes
+    for level in range(LEVELS):
+        some = start < end
+        start, end = start[some], end[some]
+        if len(start) == 0:
+            break
+        size = end - start
+        run = np.repeat(np.arange(len(start)), size)
+        at = np.arange(len(run)) + np.repeat(start - (np.cumsum(size) - size), size)
+        least = np.minimum.reduceat(padded, np.column_stack([start, end]).ravel())[::2]
+        hit = padded[at] == least[run]
+        _, first = np.unique(run[hit], return_index=True)
+        cut = at[hit][first]
+        depth[cut] = level
+        start, end = np.column_stack([start, cut + 1]).ravel(), np.column_stack([cut, end]).ravel()
+    return depth
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _depths(times: pd.Series) -> pd.Series:
+    sizes = times.str.len().to_numpy(dtype=np.int64)
+    flat = np.concatenate([np.empty(0), *times])
+    return pd.Series(np.split(depths(flat, sizes), np.cumsum(sizes))[:-1])
+
+
+# of rows with ``s`` (sorted amounts), ``mt`` and ``mc`` (steps), ``deepest``, and ``d``, the depths of the gaps
+_TIMES = f"transform(slice(s, 1, size(s) - 1), (x, i) -> -ln(((x.g * mt) % {PRIME}L) / {PRIME}D) / (s[i + 1].v - x.v))"
+
+
+def _steps_of_a_tree() -> str:
+    """``array<struct<corte, sobe>>``: what the height rises by above each cut; the first entry,
+    without a cut, is the height below all of them."""
+    # cuts with the two ends of the whole sample: amounts up to the cut, rows up to it, depth, place
+    cut = f"x.v + cast(floor((s[i + 1].v - x.v) * (((x.g * mc) % {PRIME}L) / {PRIME}D)) as bigint)"
+    inner = f"filter(transform(slice(s, 1, size(s) - 1), (x, i) -> if(d[i] < deepest, struct({cut} as corte, x.ate as ate, d[i] as d), null)), x -> x is not null)"
+    ends = "struct(cast(null as bigint) as corte, {0} as ate, -1 as d)"
+    cuts = f"concat(array({ends.format('0L')}), {inner}, array({ends.format('n')}))"
+    lengths = "array(" + ", ".join(f"{x}L" for x in fixed_lengths()) + ")"
+    heights = (f"transform(slice(k, 1, size(k) - 1), (x, i) -> {ONE}L * (1 + greatest(x.d, k[i + 1].d)) "
+               f"+ {lengths}[cast(k[i + 1].ate - x.ate as int)])")
+    rises = "transform(h, (x, i) -> struct(k[i].corte as corte, x - if(i = 0, 0L, h[i - 1]) as sobe))"
+    return _let("k", cuts, _let("h", heights, rises))
 
 
 def fit(movimentos: DataFrame) -> DataFrame:
-    """One row per eligible company: its forest as cut points and interval scores."""
-    return deal_out(samples(movimentos), "empresa").mapInPandas(_fit_batches, _MODEL_SCHEMA)
+    """One row per eligible company: its forest as ``cortes`` (cents), ``alturas`` (summed heights
+    of the intervals between them, times ``ONE``) and ``notas`` (their scores). A company
+    has ``TREES * TREE_ROWS`` cuts at most."""
+    # one sample serves all trees
+    trees = (f"if(size(arvores) = 1, transform({_steps(1)}, (m, t) -> struct(t as arvore, arvores[0].amostra as s)), "
+             "transform(arvores, a -> struct(a.arvore as arvore, a.amostra as s)))")
+    drawn = samples(movimentos).withColumn("_onde", F.xxhash64("empresa"))
+    # heavy work for its few bytes; what follows meets by the same column
+    rows = drawn.repartition(task_count(drawn.sparkSession), "_onde").select("_onde", "empresa", F.inline(F.expr(trees)))
+    grown = (rows.selectExpr("_onde", "empresa", "s", "s[size(s) - 1].ate as n", f"element_at({_steps(1)}, arvore + 1) as mt",
+                             f"element_at({_steps(2)}, arvore + 1) as mc")
+             .withColumn("d", _depths(F.expr(_TIMES)))
+             .withColumn("deepest", F.expr("cast(ceil(log2(greatest(n, 2L))) as int)"))
+             .selectExpr("_onde", "empresa", "n", f"inline({_steps_of_a_tree()})"))
+    by_cut = W.partitionBy("_onde", "empresa").orderBy("corte")
+    steps = (grown.select("_onde", "empresa", "n", "sobe", F.coalesce("corte", F.lit(-(1 << 63))).alias("corte"))
+             # equal cuts stand side by side and have the same sum
+             .select("_onde", "empresa", "n", "corte", F.sum("sobe").over(by_cut).alias("altura"), F.lag("corte").over(by_cut).alias("_antes"))
+             .where("_antes is null or _antes < corte"))
+    scale = "array(" + ", ".join(f"{max(path_length(m), 1e-9)!r}D" for m in range(TREE_ROWS + 1)) + ")[cast(n as int)]"
+    return (steps.groupBy("_onde", "empresa").agg(F.array_sort(F.collect_list(F.struct("corte", "altura"))).alias("l"), F.max("n").alias("n"))
+            .withColumn("escala", F.expr(f"{scale} * {ONE * TREES}D"))
+            .selectExpr("empresa", "slice(l.corte, 2, size(l) - 1) as cortes", "l.altura as alturas",
+                        "transform(l.altura, a -> -power(2D, -(a / escala))) as notas"))
 
 
 def _cents():
@@ -143,15 +186,15 @@ def _cents():
 
 # the place of an amount among the ordered cuts, by halving
 _PLACE = ("aggregate(sequence(1, 32), struct(0 as de, size(cortes) as ate), (s, i) -> if(s.de >= s.ate, s, "
-          "if(cortes[(s.de + s.ate) div 2] < c / 100D, struct(cast((s.de + s.ate) div 2 as int) + 1 as de, s.ate as ate), "
+          "if(cortes[(s.de + s.ate) div 2] < c, struct(cast((s.de + s.ate) div 2 as int) + 1 as de, s.ate as ate), "
           "struct(s.de as de, cast((s.de + s.ate) div 2 as int) as ate))), s -> s.de)")
 
 
 def score_amounts(movimentos: DataFrame, rows_per_part: int = AMOUNTS_PER_PART) -> DataFrame:
-    """Distinct amounts of each eligible company with their count and score. Lower
-    is more unusual. Every forest is fitted once; a company with many distinct amounts is
-    scored in parts, and its cuts and scores, which are bounded, go to each."""
-    amounts = (movimentos.select("empresa", _cents()).groupBy("empresa", "centimos")
+    """Distinct amounts of each eligible company with their count, their summed height and
+    their score. Lower is more unusual. Every forest is fitted once; a company with many
+    distinct amounts is scored in parts, and its cuts and scores, which are bounded, go to each."""
+    amounts = (movimentos.where("valor is not null").select("empresa", _cents()).groupBy("empresa", "centimos")
                .agg(F.count("*").alias("n")))
     heavy = skew.parts_of_heavy_keys(amounts.groupBy("empresa").agg(F.count("*").alias("_n")),
                                      "_n", rows_per_part)
@@ -159,11 +202,12 @@ def score_amounts(movimentos: DataFrame, rows_per_part: int = AMOUNTS_PER_PART)
              .groupBy("empresa", F.expr("pmod(xxhash64(centimos), coalesce(_partes, 1)) as _parte"))
              .agg(F.collect_list(F.struct("centimos", "n")).alias("a")))
     copies = (fit(movimentos).join(heavy, "empresa", "left").selectExpr(
-        "empresa", "cortes", "notas", "explode(sequence(0L, coalesce(_partes, 1) - 1L)) as _parte"))
+        "empresa", "cortes", "alturas", "notas", "explode(sequence(0L, coalesce(_partes, 1) - 1L)) as _parte"))
     rows = parts.join(copies, ["empresa", "_parte"]).withColumn("_onde", F.concat_ws("/", "empresa", "_parte"))
-    scored = f"transform(a.centimos, c -> notas[{_PLACE}])"
-    return deal_out(rows, "_onde").selectExpr(
-        "empresa", f"inline(arrays_zip(a.centimos, a.n, {scored})) as (centimos, n, nota)")
+    places = f"transform(a.centimos, c -> {_PLACE})"
+    return (deal_out(rows, "_onde")
+            .select("empresa", "alturas", "notas", F.inline(F.expr(f"arrays_zip(a.centimos, a.n, {places})")).alias("centimos", "n", "p"))
+            .selectExpr("empresa", "centimos", "n", "alturas[p] as altura", "notas[p] as nota"))
 
 
 def flag(movimentos: DataFrame, contaminacao: float = 0.1, dia=None,
@@ -173,11 +217,12 @@ def flag(movimentos: DataFrame, contaminacao: float = 0.1, dia=None,
     ensure_checkpoint_dir(movimentos.sparkSession)
     # read three times below, and dear to make
     scored = score_amounts(movimentos, rows_per_part).checkpoint()
+    # scores rise with heights, and heights are exact
     threshold = scored.groupBy("empresa").agg(
-        F.percentile("nota", F.lit(contaminacao), F.col("n")).alias("limite"))
+        F.percentile("altura", F.lit(contaminacao), F.col("n")).alias("limite"))
     unusual = (skew.join_lookup(scored, threshold, ["empresa"], "inner", by="centimos",
                                 min_rows=min_rows)
-               .where("nota < limite").select("empresa", "centimos", F.col("nota").alias("score")))
+               .where("altura < limite").select("empresa", "centimos", F.col("nota").alias("score")))
     rows = movimentos if dia is None else movimentos.where(F.col("dia") == F.lit(dia))
     return (skew.join_lookup(rows.select("id", "dia", "empresa", "descricao", "valor", _cents()),
                              unusual, ["empresa", "centimos"], "inner", by="id", min_rows=min_rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bankrec.plans import recursive_sql
+from bankrec.plans import forest_sql, recursive_sql
 
 _KEY = """regexp_replace(array_to_string(list_filter(
     regexp_split_to_array(upper(strip_accents(trim({0}))), '[\\s,]+'),
@@ -367,6 +367,12 @@ ORACLE: dict[str, str] = {
         "cast(sum(pago) as double) pago, max(imputacao) imputacao from linhas group by linhas.dia, tipo, chave",
         _LEDGER),
 }
+_FOREST = "recursive " + _FLOWS + "," + forest_sql.FOREST
+ORACLE["anomaly_models"] = _sql(
+    "select empresa, count(*) - 1 n_cortes, round(min(nota), 6) menor, round(max(nota), 6) maior from floresta group by empresa", _FOREST)
+ORACLE["anomaly_flags"] = _sql(
+    "select id, empresa, cast(valor as double) valor, round(nota, 4) score "
+    "from pontuada join limiar using (empresa) join fluxos using (id, empresa) where altura < limite", _FOREST)
 ORACLE["forecast_holt"] = recursive_sql.holt(_SERIES)
 ORACLE["forecast_arima"] = recursive_sql.arima(_SERIES)
 _MIDDLE = "(select min(dia) + cast((max(dia) - min(dia)) // 2 as integer) from fluxos)"

@@ -1,7 +1,7 @@
+import hashlib
 from datetime import date, timedelta
 
 import numpy as np
-import pytest
 
 from bankrec.operators import anomaly
 
@@ -43,40 +43,60 @@ def test_hot_company_split_gives_the_same_flags(movimentos):
     assert plain == split == again and 0.05 < len(plain) / 600 < 0.13
 
 
-
-
-def test_forest_scores():
+def test_forest_scores(movimentos):
     rng = np.random.default_rng(1)
-    values = np.concatenate([rng.normal(0, 1, 300), [50.0, -40.0]])
-    cuts, scores = anomaly.fit_forest(values, 7)
-    assert len(scores) == len(cuts) + 1 and (np.diff(cuts) >= 0).all()
-    at = lambda x: scores[np.searchsorted(cuts, x, side="left")]
+    values = [round(float(v), 2) for v in rng.normal(0, 1, 300)] + [50.0, -40.0]
+    got = anomaly.fit(movimentos([mov(i, v, DIA) for i, v in enumerate(values)])).first()
+    assert len(got.notas) == len(got.alturas) == len(got.cortes) + 1
+    assert (np.diff(got.cortes) > 0).all()
+    at = lambda x: got.notas[np.searchsorted(got.cortes, round(x * 100), side="left")]
     assert at(50.0) < at(0.0) and at(-40.0) < at(0.0)
-    assert (scores < 0).all() and (scores >= -1).all()
+    assert all(-1 <= v < 0 for v in got.notas)
     # mean path length of the sample, known in expectation, keeps typical scores near -0.5
-    typical = -np.mean([at(v) for v in values])
-    assert 0.4 < typical < 0.6
-
-
-def test_forest_equals_a_literal_one(monkeypatch):
-    """One tree, walked row by row with the same random numbers."""
-    monkeypatch.setattr(anomaly, "TREES", 1)
-    values = np.sort(np.round(np.random.default_rng(3).normal(0, 10, 40), 2))
-    cuts, scores = anomaly.fit_forest(values, 11)
-
-    rng = np.random.default_rng([anomaly.SEED, 11])
-    rng.random((1, 40))
-    level, leaves, depth, limit = [(values, -np.inf, np.inf)], [], 0, int(np.ceil(np.log2(40)))
-    while level:
-        split = [n for n in level if depth < limit and n[0][0] < n[0][-1]]
-        leaves += [(n, depth) for n in level if not any(n is s for s in split)]
-        draws, below = rng.random(len(split)) if split else [], []
-        for (run, lo, hi), u in zip(split, draws):
-            cut = run[0] + u * (run[-1] - run[0])
-            below += [(run[run <= cut], lo, cut), (run[run > cut], cut, hi)]
-        level, depth = below, depth + 1
-    size = anomaly._path_length(40)
-    for x in values:
-        (run, _, _), d = next(l for l in leaves if l[0][1] < x <= l[0][2])
-        want = -2.0 ** (-(d + float(anomaly._path_length(len(run)))) / float(size))
-        assert scores[np.searchsorted(cuts, x, side="left")] == pytest.approx(want)
+    assert 0.4 < -np.mean([at(v) for v in values]) < 0.6
+
+
+def _walk(times, level, out, first=0):
+    """One node after another."""
+    if len(times) and level < anomaly.LEVELS:
+        cut = int(np.argmin(times))
+        out[first + cut] = level
+        _walk(times[:cut], level + 1, out, first)
+        _walk(times[cut + 1:], level + 1, out, first + cut + 1)
+
+
+def test_depths_equal_a_walk():
+    rng = np.random.default_rng(3)
+    trees = [rng.integers(0, 40, n).astype(float) for n in (0, 1, 0, 5, 255, 30, 0)] + [np.arange(200.0), np.zeros(9)]
+    want = []
+    for t in trees:
+        out = np.full(len(t), anomaly.LEVELS)
+        _walk(t, 0, out)
+        want.extend(out)
+    sizes = np.array([len(t) for t in trees])
+    assert anomaly.depths(np.concatenate(trees), sizes).tolist() == want
+
+
+def test_forest_equals_a_literal_one(movimentos):
+    """Every tree walked node by node, and each amount down every tree."""
+    values = sorted({round(float(v), 2) for v in np.random.default_rng(4).normal(0, 10, 30)})
+    copies = values + values[:7]
+    got = anomaly.fit(movimentos([mov(i, v, DIA) for i, v in enumerate(copies)])).first()
+    cents = sorted(round(v * 100) for v in copies)
+    lengths, limit = anomaly.fixed_lengths(), int(np.ceil(np.log2(len(cents))))
+    distinct = sorted(set(cents))
+    start = {v: 1 + int(hashlib.md5(f"{anomaly.SEED}/A/{v}".encode()).hexdigest()[:15], 16) % (anomaly.PRIME - 1) for v in distinct}
+    total = dict.fromkeys(distinct, 0)
+    for mt, mc in zip(anomaly.multipliers(1), anomaly.multipliers(2)):
+        draw = lambda v, m: (start[v] * m) % anomaly.PRIME / anomaly.PRIME
+        following = dict(zip(distinct, distinct[1:]))
+        time = {v: -np.log(draw(v, mt)) / (w - v) for v, w in following.items()}
+        for x in distinct:
+            node, depth = distinct, 0
+            while depth < limit and len(node) > 1:
+                at = min(node[:-1], key=time.get)
+                cut = at + int((following[at] - at) * draw(at, mc))
+                node, depth = [v for v in node if (v <= at) == (x <= cut)], depth + 1
+            total[x] += depth * anomaly.ONE + lengths[sum(c in node for c in cents)]
+    for x in distinct:
+        assert got.alturas[np.searchsorted(got.cortes, x, side="left")] == total[x]
