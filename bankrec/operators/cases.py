@@ -1,8 +1,9 @@
 """The queue of ambiguous movements and the decisions people take on it.
 
 All movements of a group share the same candidate lines, so candidates are stored
-once per group, in ``(grupo, linha_id)`` rows; reports make one list of them per
-group, whole for a group of any size.
+once per group, in ``(grupo, linha_id)`` rows. Reports put them into pages that
+cases refer to by ``grupo``, so a group of m movements and n lines makes m + n rows at most,
+and no row holds more than a page. Lists copied to each case are for a screenful of cases.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from bankrec import skew
 from bankrec.operators.reconcile import KEYS, open_lines
 
 
+PAGE_LINES = 1000        # on average; a group's lines are dealt out to its pages by their id
+_PRIME, _ROOT = (1 << 31) - 1, 16807
+
+
 def ambiguous_cases(classificados: DataFrame) -> DataFrame:
     """One open case per ambiguous movement; the movement id is the case id."""
     nothing = F.lit(None).cast("string")
@@ -51,6 +56,27 @@ def candidate_details(candidatos: DataFrame, linhas: DataFrame) -> DataFrame:
                       "imputacao"), "linha_id", "left")
 
 
+def paged(candidatos: DataFrame, lines: int = PAGE_LINES) -> DataFrame:
+    """Candidates with the ``pagina`` (from 0) of their group that they are on. A line's page
+    depends on its id and the group's size alone, so no task numbers a group."""
+    page = f"cast(pmod(linha_id, {_PRIME}L) * {_ROOT} % {_PRIME} % ceil(n_candidatos / {lines}) as bigint)"
+    return candidatos.withColumn("pagina", F.expr(page))
+
+
+def of_open_cases(candidatos: DataFrame, casos: DataFrame) -> DataFrame:
+    """Candidates of the groups that have an unresolved case."""
+    groups = casos.where("resolvido_por is null").select("grupo").distinct()
+    return skew.join_lookup(candidatos, groups, ["grupo"], "inner", by="linha_id")
+
+
+def pages(candidatos: DataFrame, linhas: DataFrame, lines: int = PAGE_LINES) -> DataFrame:
+    """``(grupo, pagina, candidatos_detalhe)``: the candidates of each group with their
+    details, sorted by id on each page. A group without candidates has no page."""
+    detail = F.struct(F.col("linha_id").alias("id"), "linha", "tipo", "empresa", "previsto", "imputacao")
+    return (candidate_details(paged(candidatos, lines), linhas).groupBy("grupo", "pagina")
+            .agg(F.array_sort(F.collect_list(detail)).alias("candidatos_detalhe")))
+
+
 def open_cases(casos: DataFrame, candidatos: DataFrame, linhas: DataFrame) -> DataFrame:
     """Unresolved cases with the details of their candidates."""
     detail = F.struct(F.col("linha_id").alias("id"), "linha", "tipo", "empresa", "previsto",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bankrec import skew
 from bankrec.functions.text import case_text, line_text
-from bankrec.operators.cases import candidate_details
+from bankrec.operators.cases import PAGE_LINES, candidate_details, of_open_cases, paged
 
 # Texts for "no examples" and for answers that are not JSON.
 NO_EXAMPLES = "(sem casos parecidos resolvidos anteriormente)"
@@ -23,20 +23,20 @@ def case_texts(casos: DataFrame, movimentos: DataFrame) -> DataFrame:
             .select(F.col("id").alias("caso_id"), text.alias("texto")))
 
 
-def candidate_texts(candidatos: DataFrame, linhas: DataFrame) -> DataFrame:
-    """``(grupo, texto)``: the candidates of each group as text, a line each."""
-    detail = candidate_details(candidatos, linhas)
+def candidate_texts(candidatos: DataFrame, linhas: DataFrame, lines: int = PAGE_LINES) -> DataFrame:
+    """``(grupo, pagina, texto)``: the pages of each group's candidates as text, a line each."""
+    detail = candidate_details(paged(candidatos, lines), linhas)
     text = F.concat(F.lit("- "), line_text(F.col("linha"), F.col("tipo"), F.col("empresa"),
                                            F.col("previsto"), F.col("imputacao")))
-    return (detail.groupBy("grupo")
+    return (detail.groupBy("grupo", "pagina")
             .agg(F.array_sort(F.collect_list(F.struct("linha_id", text.alias("t")))).alias("l"))
-            .select("grupo", F.array_join("l.t", "\n").alias("texto")))
+            .select("grupo", "pagina", F.array_join("l.t", "\n").alias("texto")))
 
 
-def prompts(casos: DataFrame, candidatos: DataFrame, linhas: DataFrame, movimentos: DataFrame,
-            vizinhos: DataFrame) -> DataFrame:
-    """``(caso_id, prompt)`` for each unresolved case. ``vizinhos`` is the answer of
-    ``similarity.top_k``."""
+def prompt_parts(casos: DataFrame, movimentos: DataFrame, vizinhos: DataFrame) -> DataFrame:
+    """``(caso_id, grupo, antes, depois)`` for each unresolved case: its prompt up to the
+    candidates and after them. The candidates are in ``candidate_texts``, once per group.
+    ``vizinhos`` is the answer of ``similarity.top_k``."""
     texts = case_texts(casos, movimentos)
     solved = (casos.where("resolvido_por is not null")
               .select(F.col("id").alias("vizinho_id"), "resolucao")
@@ -47,18 +47,29 @@ def prompts(casos: DataFrame, candidatos: DataFrame, linhas: DataFrame, moviment
                 .groupBy("caso_id")
                 .agg(F.array_sort(F.collect_list(F.struct("rank", example.alias("t")))).alias("e"))
                 .select(F.col("caso_id").alias("id"), F.array_join("e.t", "\n").alias("_exemplos")))
-    lines = candidate_texts(candidatos, linhas).select("grupo", F.col("texto").alias("_linhas"))
-    rows = (skew.join_lookup(casos.where("resolvido_por is null"), lines, ["grupo"], "left", by="id")
-            .join(examples, "id", "left"))
-    prompt = F.concat_ws(
+    before = F.concat_ws(
         "\n",
         F.lit("Este movimento bancário corresponde a várias linhas do mapa com a mesma empresa "
               "e o mesmo valor. Escolhe a linha certa, ou nenhuma se for um movimento novo."),
         F.format_string("Movimento: %s | valor %s EUR", F.col("empresa"), F.col("valor").cast("string")),
-        F.lit("Linhas candidatas:"), F.coalesce("_linhas", F.lit("")),
+        F.lit("Linhas candidatas:"))
+    after = F.concat_ws(
+        "\n",
         F.lit("Casos parecidos já resolvidos:"), F.coalesce("_exemplos", F.lit(NO_EXAMPLES)),
         F.lit('Responde só com JSON: {"linha_id": <id ou null>, "justificacao": "<texto curto>"}'))
-    return rows.select(F.col("id").alias("caso_id"), prompt.alias("prompt"))
+    return casos.where("resolvido_por is null").join(examples, "id", "left").select(
+        F.col("id").alias("caso_id"), "grupo", before.alias("antes"), after.alias("depois"))
+
+
+def prompts(casos: DataFrame, candidatos: DataFrame, linhas: DataFrame, movimentos: DataFrame,
+            vizinhos: DataFrame) -> DataFrame:
+    """``(caso_id, prompt)`` for each unresolved case, whole, as it is sent: each prompt holds
+    all pages of its group. ``prompt_parts`` is the form to store."""
+    texts = candidate_texts(of_open_cases(candidatos, casos), linhas)
+    lines = (texts.groupBy("grupo").agg(F.array_sort(F.collect_list(F.struct("pagina", "texto"))).alias("p"))
+             .select("grupo", F.array_join("p.texto", "\n").alias("_linhas")))
+    parts = skew.join_lookup(prompt_parts(casos, movimentos, vizinhos), lines, ["grupo"], "left", by="caso_id")
+    return parts.select("caso_id", F.concat_ws("\n", "antes", F.coalesce("_linhas", F.lit("")), "depois").alias("prompt"))
 
 
 def parse_answers(respostas: DataFrame) -> DataFrame:

@@ -146,6 +146,13 @@ casos as (
     case when id % 3 <> 0 then 'linha_id=' || menor end resolucao
   from estado where tipo_match = 'ambiguo')"""
 
+# the pages of the candidates of all groups, or of those with an open case
+_PAGES = _CASES + """,
+grupos as (select distinct dia, chave, valor, primeiro grupo, n, bool_or(resolucao is null) over (partition by primeiro) aberto from casos),
+candidatas as (
+  select grupo, aberto, (l.id % 2147483647 * 16807 % 2147483647) % cast(ceil(n / 1000.0) as bigint) pagina, l.*
+  from grupos g join linhas l on l.dia = g.dia and l.chave = g.chave and l.previsto = g.valor and l.pago is null)"""
+
 _DAY = "cast(dia as varchar) dia"
 
 
@@ -172,7 +179,8 @@ ORACLE: dict[str, str] = {
     "plan_after_match": _sql(
         "select id, cast(previsto as double) previsto, cast(pago as double) pago from linhas_depois", _RUN),
     "ambiguous_cases": _sql(
-        "select id movimento_id, cast(valor as double) valor, ids candidatos from casos", _CASES),
+        "select id movimento_id, cast(valor as double) valor, primeiro grupo, null pagina, null candidatos from casos "
+        "union all select null, null, grupo, pagina, string_agg(id, ',' order by id) from candidatas group by grupo, pagina", _PAGES),
     "audit_before": _sql(
         "select cast(dia as varchar) dia, cast(sum(f) as bigint) sem_match_fwd, "
         "cast(sum(r) as bigint) sem_match_rev from ("
@@ -201,10 +209,9 @@ ORACLE: dict[str, str] = {
         "select id caso_id, coalesce(resolucao, 'novo') resolucao, "
         "case when resolucao is null then 'novo' else 'exato' end tipo_match from casos", _CASES),
     "open_cases": _sql(
-        "select c.id caso_id, c.n n_candidatos, string_agg(l.id || ':' || l.linha || ':' || l.tipo "
-        "|| ':' || l.imputacao, ',' order by l.id) linhas from casos c join linhas l on l.dia = c.dia "
-        "and l.chave = c.chave and l.previsto = c.valor and l.pago is null "
-        "where resolucao is null group by all", _CASES),
+        "select id caso_id, n n_candidatos, primeiro grupo, null pagina, null linhas from casos where resolucao is null "
+        "union all select null, null, grupo, pagina, string_agg(id || ':' || linha || ':' || tipo || ':' || imputacao, ',' order by id) "
+        "from candidatas where aberto group by grupo, pagina", _PAGES),
     "queue_size": _sql("select count(*) por_resolver from casos where resolucao is null", _CASES),
     "companies": _sql("select distinct empresa from movimentos", _LEDGER),
     "company_history": _sql(
@@ -311,19 +318,19 @@ ORACLE: dict[str, str] = {
           list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) desc, b.vec_id) rank
         from embeddings a, embeddings b where a.vec_id % 10 = 0 and b.vec_id % 10 <> 0) where rank <= 3""",
     "prompts": _sql("""
-        select c.id caso_id, concat_ws(chr(10),
+        select c.id caso_id, primeiro grupo, null pagina, null texto, concat_ws(chr(10),
           'Este movimento bancário corresponde a várias linhas do mapa com a mesma empresa e o mesmo valor. '
           || 'Escolhe a linha certa, ou nenhuma se for um movimento novo.',
-          'Movimento: ' || empresa || ' | valor ' || valor || ' EUR', 'Linhas candidatas:', texto,
-          'Casos parecidos já resolvidos:',
+          'Movimento: ' || empresa || ' | valor ' || valor || ' EUR', 'Linhas candidatas:') antes,
+          concat_ws(chr(10), 'Casos parecidos já resolvidos:',
           coalesce(exemplos, '(sem casos parecidos resolvidos anteriormente)'),
-          'Responde só com JSON: {"linha_id": <id ou null>, "justificacao": "<texto curto>"}') prompt
-        from casos c join textos using (dia, chave, valor) left join semelhantes s on s.id = c.id
-        where resolucao is null""", _CASES + """,
-        textos as (
-          select dia, chave, previsto valor, string_agg('- linha ' || linha || ' (' || tipo || '): empresa '
-            || empresa || ', previsto ' || previsto || ', imputação: ' || imputacao, chr(10) order by id) texto
-          from linhas where pago is null group by all),
+          'Responde só com JSON: {"linha_id": <id ou null>, "justificacao": "<texto curto>"}') depois
+        from casos c left join semelhantes s on s.id = c.id
+        where resolucao is null
+        union all
+        select null, grupo, pagina, string_agg('- linha ' || linha || ' (' || tipo || '): empresa '
+          || empresa || ', previsto ' || previsto || ', imputação: ' || imputacao, chr(10) order by id), null, null
+        from candidatas where aberto group by grupo, pagina""", _PAGES + """,
         vetores as (
           select c.*, cast(embedding as double[]) e from casos c
           join embeddings on vec_id = (c.id // 2) % (select count(*) from embeddings)),

@@ -105,10 +105,17 @@ def plan_after_match(spark, sf):
     return plain(after.select("id", "previsto", "pago"))
 
 
+def _with_pages(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """A row per case and a row per page of candidates of their groups."""
+    return plain(found.unionByName(pages, allowMissingColumns=True))
+
+
 def ambiguous_cases(spark, sf):
+    """Cases, and once per group the ids of their candidates."""
     _, lines, run = _run(spark, sf)
-    found = cases.with_candidates(cases.ambiguous_cases(run), cases.candidates(run, lines))
-    return plain(found.select("movimento_id", "valor", _joined("candidatos")))
+    pages = cases.pages(cases.candidates(run, lines), lines).withColumn("candidatos", F.col("candidatos_detalhe.id"))
+    return _with_pages(cases.ambiguous_cases(run).select("movimento_id", "valor", "grupo"),
+                       pages.select("grupo", "pagina", _joined("candidatos")))
 
 
 def audit_before(spark, sf):
@@ -177,11 +184,13 @@ def _half_resolved(spark, sf):
 
 
 def open_cases(spark, sf):
+    """Unresolved cases, and once per group the details of their candidates."""
     _, lines, found, options = _half_resolved(spark, sf)
     shown = F.transform("candidatos_detalhe", lambda d: F.concat_ws(
         ":", d["id"].cast("string"), d["linha"].cast("string"), d["tipo"], d["imputacao"]))
-    return plain(cases.open_cases(found, options, lines).select(
-        F.col("id").alias("caso_id"), "n_candidatos", F.array_join(shown, ",").alias("linhas")))
+    pages = cases.pages(cases.of_open_cases(options, found), lines)
+    return _with_pages(found.where("resolvido_por is null").select(F.col("id").alias("caso_id"), "n_candidatos", "grupo"),
+                       pages.select("grupo", "pagina", F.array_join(shown, ",").alias("linhas")))
 
 
 def queue_size(spark, sf):
@@ -405,14 +414,16 @@ def case_cosines(spark, sf):
 
 
 def prompts(spark, sf):
-    """Prompts for the open cases; every case has one of the vectors."""
+    """Prompts for the open cases, and once per group the texts of their candidates; every
+    case has one of the vectors."""
     m, lines, found, options = _half_resolved(spark, sf)
     vectors = ledger.load(spark, sf, "embeddings").select("vec_id", "embedding")
     place = F.expr(f"(id div 2) % {max(1, vectors.count())}").alias("vec_id")
     own = found.select(F.col("id").alias("caso_id"), "resolvido_por", place).join(vectors, "vec_id").drop("vec_id").checkpoint()
     near = similarity.top_k(own.where("resolvido_por is null").select("caso_id", "embedding"),
                             own.where("resolvido_por is not null").select("caso_id", "embedding"))
-    return suggestions.prompts(found, options, lines, m, near)
+    return _with_pages(suggestions.prompt_parts(found, m, near),
+                       suggestions.candidate_texts(cases.of_open_cases(options, found), lines))
 
 
 def suggestions_parsed(spark, sf):

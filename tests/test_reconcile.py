@@ -3,6 +3,7 @@ from datetime import date, datetime
 
 import pytest
 from conftest import money
+from pyspark.sql import functions as F
 
 from bankrec import schema
 from bankrec.operators import cases, cashflow, reconcile
@@ -179,6 +180,12 @@ def test_a_group_of_any_size_has_all_its_candidates(movimentos, linhas):
     options, found = cases.candidates(found, l), cases.ambiguous_cases(found)
     assert [len(r.candidatos) for r in cases.with_candidates(found, options).collect()] == [1001, 1001]
     assert [len(r.candidatos_detalhe) for r in cases.open_cases(found, options, l).collect()] == [1001, 1001]
+    # pages hold each candidate once, whatever the number of cases
+    got = cases.pages(cases.of_open_cases(options, found), l, 100).collect()
+    assert {(r.grupo, r.pagina) for r in got} == {(1, p) for p in range(11)}
+    ids = [[d.id for d in r.candidatos_detalhe] for r in got]
+    assert all(p == sorted(p) and len(p) < 150 for p in ids) and sorted(sum(ids, [])) == list(range(1, 1002))
+    assert cases.pages(cases.of_open_cases(options, found.withColumn("resolvido_por", F.lit("ana"))), l).count() == 0
 
 
 def test_listings(movimentos):

@@ -88,6 +88,15 @@ def test_candidates_of_a_group_are_one_text(movimentos, linhas):
     assert sum(r.texto.count("- linha") for r in rows) == 2
 
 
+def test_a_prompt_is_its_parts_around_the_pages_of_its_group(spark, movimentos, linhas):
+    m, l, found, options, _ = _ambiguous(movimentos, linhas)
+    none = spark.createDataFrame([], "caso_id long, rank int, vizinho_id long, similaridade double")
+    whole = {r.caso_id: r.prompt for r in suggestions.prompts(found, options, l, m, none).collect()}
+    page, = suggestions.candidate_texts(options, l).collect()
+    for r in suggestions.prompt_parts(found, m, none).collect():
+        assert r.grupo == page.grupo and whole[r.caso_id] == "\n".join([r.antes, page.texto, r.depois])
+
+
 @pytest.mark.parametrize("text,suggestion,why", [
     ('{"linha_id": 5, "justificacao": "bate com o histórico"}', "linha_id=5", "bate com o histórico"),
     ('Claro!\n{"linha_id": null, "justificacao": "nenhuma"}\nfim', "novo", "nenhuma"),
