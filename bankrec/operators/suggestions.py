@@ -74,14 +74,16 @@ def prompts(casos: DataFrame, candidatos: DataFrame, linhas: DataFrame, moviment
 
 def parse_answers(respostas: DataFrame) -> DataFrame:
     """``(caso_id, resolucao_sugerida, justificacao_sugerida)`` from answers
-    ``(caso_id, texto)``, the latest of a case by ``ts`` if there is that column: the JSON object inside the text, or no suggestion and the
-    text itself with a marker."""
+    ``(caso_id, texto, ts)``, the latest of a case by ``ts``, ties by text: the JSON object
+    inside the text, or no suggestion and the text itself with a marker."""
+    if "ts" not in respostas.columns:
+        raise ValueError("answers need a column ts, the latest of a case counts")
     found = F.regexp_extract("texto", r"(?s)\{.*\}", 0)
     # read as a list of one, so that anything after the object makes it invalid
     parsed = F.from_json(F.concat(F.lit("["), found, F.lit("]")),
                          "array<struct<linha_id:string,justificacao:string>>",
                          {"allowSingleQuotes": "false"})
-    latest = F.max_by("texto", F.struct("ts", "texto")) if "ts" in respostas.columns else F.max("texto")
+    latest = F.max_by("texto", F.struct("ts", "texto"))
     answers = (respostas.groupBy("caso_id").agg(F.coalesce(latest, F.lit("")).alias("texto"))
                .withColumn("j", parsed)
                .withColumn("ok", F.col("j").isNotNull() & (F.size("j") == 1) & (found != "")))
@@ -93,8 +95,15 @@ def parse_answers(respostas: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit(NOT_JSON), "texto")).alias("justificacao_sugerida"))
 
 
+def rejected_answers(casos: DataFrame, respostas: DataFrame) -> DataFrame:
+    """``(caso_id, texto, ts, motivo)``: answers to cases that do not exist, or to none."""
+    return (respostas.join(casos.select(F.col("id").alias("caso_id")), "caso_id", "left_anti")
+            .select("caso_id", "texto", "ts", F.lit("caso desconhecido").alias("motivo")))
+
+
 def apply_suggestions(casos: DataFrame, respostas: DataFrame) -> DataFrame:
-    """Cases with the suggestions stored; they stay unresolved."""
+    """Cases with the suggestions stored; they stay unresolved. Answers to unknown cases are
+    in ``rejected_answers``."""
     new = parse_answers(respostas).select(
         F.col("caso_id").alias("id"), F.col("resolucao_sugerida").alias("_s"),
         F.col("justificacao_sugerida").alias("_j"), F.lit(True).alias("_tem"))

@@ -348,6 +348,7 @@ ORACLE: dict[str, str] = {
         "case (id // 2) % 4 when 1 then 'nenhuma' when 2 then "
         "'[resposta do LLM não veio em JSON válido] não sei, caso ' || id else 'bate com o histórico' end "
         "justificacao_sugerida, cast(null as varchar) resolvido_por from casos", _CASES),
+    "answers_rejected": _sql("select -id caso_id, 'caso desconhecido' motivo from casos where id % 3 = 0", _CASES),
     "transcripts": """select conv_id,
         regexp_replace(regexp_replace(coalesce(string_agg(text, '' order by turn) filter (role <> 'system'), ''),
           '^\\s+', ''), '\\s+$', '') resposta,

@@ -426,8 +426,10 @@ def prompts(spark, sf):
                        suggestions.candidate_texts(cases.of_open_cases(options, found), lines))
 
 
-def suggestions_parsed(spark, sf):
-    """Answers of four kinds, by case: a line, no line, no JSON, JSON inside text."""
+def _answers(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Cases and answers of four kinds, by case: a line, no line, no JSON, JSON inside text.
+    Each case has an earlier answer, which does not count, and every third id is also
+    answered with its sign changed, which is no case."""
     _, lines, run = _run(spark, sf)
     found = cases.ambiguous_cases(run)
     kind = F.pmod(F.floor(F.col("id") / 2), F.lit(4))
@@ -436,10 +438,20 @@ def suggestions_parsed(spark, sf):
     answer = (F.when(kind == 0, line).when(kind == 1, F.lit('{"linha_id": null, "justificacao": "nenhuma"}'))
               .when(kind == 2, F.concat(F.lit("não sei, caso "), F.col("id").cast("string")))
               .otherwise(F.concat(F.lit("Claro:\n"), line, F.lit("\nEspero ter ajudado."))))
-    answered = suggestions.apply_suggestions(
-        found, found.select(F.col("id").alias("caso_id"), answer.alias("texto")))
-    return answered.select(F.col("id").alias("caso_id"), "resolucao_sugerida", "justificacao_sugerida",
-                           "resolvido_por")
+    last = F.struct(F.col("id").alias("caso_id"), answer.alias("texto"), F.lit(NOW).alias("ts"))
+    earlier = F.struct(F.col("id").alias("caso_id"), F.lit("{}").alias("texto"), F.lit(NOW - timedelta(hours=1)).alias("ts"))
+    astray = F.struct((-F.col("id")).alias("caso_id"), answer.alias("texto"), F.lit(NOW).alias("ts"))
+    given = F.when(F.col("id") % 3 == 0, F.array(last, earlier, astray)).otherwise(F.array(earlier, last))
+    return found, found.select(F.inline(given))
+
+
+def suggestions_parsed(spark, sf):
+    return suggestions.apply_suggestions(*_answers(spark, sf)).select(
+        F.col("id").alias("caso_id"), "resolucao_sugerida", "justificacao_sugerida", "resolvido_por")
+
+
+def answers_rejected(spark, sf):
+    return suggestions.rejected_answers(*_answers(spark, sf)).select("caso_id", "motivo")
 
 
 def folded_transcripts(spark, sf):
@@ -493,7 +505,7 @@ QUERIES: dict[str, Query] = {q.__name__: q for q in (
     forecast_linear, forecast_moving_average, forecast_features, forecast_too_short, chart_series,
     backtest_simple, rmse_table, case_cosines, best_simple_model, forecast_holt, forecast_arima, forecast_markov, forecast_boosting, forecast_balance, forecast_cashflow, feature_importance,
     backtest_all, anomaly_eligible, anomaly_models, anomaly_flags, script_status, overdue, late_scripts,
-    recent_runs, runs_of_script, record_runs, log_errors, similar_cases, prompts, import_plan,
+    recent_runs, runs_of_script, record_runs, log_errors, similar_cases, prompts, answers_rejected, import_plan,
     workbook_import, plan_import)}
 QUERIES["suggestions"] = suggestions_parsed
 QUERIES["transcripts"] = folded_transcripts

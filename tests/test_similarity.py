@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bankrec.operators import similarity, suggestions, transcripts
 from test_reconcile import _ambiguous
@@ -97,6 +98,19 @@ def test_a_prompt_is_its_parts_around_the_pages_of_its_group(spark, movimentos,
         assert r.grupo == page.grupo and whole[r.caso_id] == "\n".join([r.antes, page.texto, r.depois])
 
 
+def answers(spark, *rows):
+    return spark.createDataFrame(rows, "caso_id long, texto string, ts long").withColumn("ts", F.timestamp_seconds("ts"))
+
+
+def test_answers_to_no_case_are_listed_and_need_a_time(spark, movimentos, linhas):
+    _, _, found, _, _ = _ambiguous(movimentos, linhas)
+    given = answers(spark, (1, "a", 1), (9, "b", 1), (9, "b", 1), (None, "c", None))
+    assert sorted((r.caso_id or 0, r.texto) for r in suggestions.rejected_answers(found, given).collect()) == [
+        (0, "c"), (9, "b"), (9, "b")]
+    with pytest.raises(ValueError):
+        suggestions.parse_answers(given.drop("ts"))
+
+
 @pytest.mark.parametrize("text,suggestion,why", [
     ('{"linha_id": 5, "justificacao": "bate com o histórico"}', "linha_id=5", "bate com o histórico"),
     ('Claro!\n{"linha_id": null, "justificacao": "nenhuma"}\nfim', "novo", "nenhuma"),
@@ -107,7 +121,7 @@ def test_a_prompt_is_its_parts_around_the_pages_of_its_group(spark, movimentos,
 ])
 def test_answers(spark, movimentos, linhas, text, suggestion, why):
     _, _, found, _, _ = _ambiguous(movimentos, linhas)
-    got = suggestions.apply_suggestions(found, spark.createDataFrame([(1, text)], "caso_id long, texto string"))
+    got = suggestions.apply_suggestions(found, answers(spark, (1, text, 2), (1, "zzz", 1), (9, text, 2)))
     one, two = got.orderBy("id").collect()
     assert (one.resolucao_sugerida, one.justificacao_sugerida) == (suggestion, why)
     assert one.resolvido_por is None and two.resolucao_sugerida is None and two.justificacao_sugerida is None
