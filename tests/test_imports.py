@@ -234,3 +234,36 @@ def test_runs_are_stored_by_day(spark, ledger):
     runs.record(spark, root, spark.createDataFrame(rows, schema.EXECUCOES).drop("id"))
     one = schema.read_table(spark, root, "execucoes", [date(2026, 8, 2)])
     assert one.count() == 1 and "PartitionFilters: [isnotnull(dia" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_come_whole_from_rows_of_any_batch(spark):
+    """Files are rendered from a stream of rows, not from a group of rows each."""
+    from pyspark.sql import functions as F
+    from bankrec.plans import workbooks
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        base = spark.range(60).select("id", F.lit(DIA).alias("dia"), F.concat(F.lit("E"), F.col("id") % 3).alias("empresa"))
+        moved = base.select("*", F.when(F.col("id") % 5 > 0, "x").alias("descricao"), F.col("id").cast("decimal(18,2)").alias("valor"))
+        closing = spark.createDataFrame([(DIA, "E0", Decimal("5.00"), None)], "dia date, entidade string, saldo_contabilistico decimal(18,2), saldo_disponivel decimal(18,2)")
+        files = workbooks.statement_files(moved, closing, "raiz")
+        assert files.count() == 3 and "FlatMapGroups" not in files._jdf.queryExecution().toString()
+        c = workbook.cells(files)
+        got = statements.statement_movements(c).groupBy("empresa").agg(F.sum("valor").alias("v"), F.count_if(F.col("descricao") == "").alias("n")).collect()
+        assert {(r.empresa, r.v, r.n) for r in got} == {(f"E{k}", money(sum(range(k, 60, 3))), 4) for k in range(3)}
+        assert {(r.entidade, r.saldo_contabilistico, r.saldo_disponivel) for r in statements.statement_balances(c).collect()} == {
+            ("E0", money(5), None), ("E1", None, None), ("E2", None, None)}
+        lines = base.select("*", F.when(F.col("id") % 2 == 0, "recebimento").otherwise("pagamento").alias("tipo"),
+                            F.col("id").cast("decimal(18,2)").alias("previsto"), F.lit(None).cast("decimal(18,2)").alias("pago"), F.lit("I").alias("imputacao"))
+        plans = workbooks.plan_files(lines, "raiz")
+        assert "FlatMapGroups" not in plans._jdf.queryExecution().toString()
+        back = plan_sheet.plan_lines(workbook.cells(plans)).groupBy("tipo").agg(F.count("*").alias("n"), F.sum("previsto").alias("v")).collect()
+        assert {(r.tipo, r.n, r.v) for r in back} == {("recebimento", 30, money(870)), ("pagamento", 30, money(-900))}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_large_sheets_are_read_as_a_stream(spark, monkeypatch):
+    content = xlsx({"F": {**SHEET, "E6": 2.5}})
+    whole = list(workbook._read("p", content))
+    monkeypatch.setattr(workbook, "_SMALL_SHEET", 0)
+    assert list(workbook._read("p", content)) == whole and len(whole) == 10
