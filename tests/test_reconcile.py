@@ -211,3 +211,14 @@ def test_movements_are_shuffled_once(movimentos, linhas):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     by_key = [p for p in plan.splitlines() if "Exchange hashpartitioning(dia" in p and "_chave" in p]
     assert len(by_key) == 1 and "Window" not in plan      # the lookup is where its aggregate left it
+
+
+def test_the_query_gives_each_case_all_its_candidates(spark, tmp_path):
+    from datetime import datetime
+    from bankrec.plans import registry
+    orders = [(k, 1, "O", 10.5, datetime(2024, 1, 2), "1-URGENT") for k in (11, 12)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+                          "o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "Customer#1")], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.ambiguous_cases(spark, str(tmp_path)).collect()
+    assert {(r.movimento_id, r.valor, r.candidatos) for r in got} == {(22, 10.5, "22,23,24"), (24, 10.5, "22,23,24")}
