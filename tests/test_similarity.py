@@ -137,3 +137,23 @@ def test_transcripts(spark):
     long = spark.range(10_001).selectExpr("1L conv_id", "id turn", "if(id < 3, 'tool', 'assistant') role",
                                           "if(id = 3, '  oi', 'x') text", "cast(null as string) name")
     assert [len(r.resposta) for r in transcripts.fold(long).collect()] == [2 + 10_001 - 4]
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_best_of_wide_blocks_without_sorting_rows(k, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = similarity._unit(rng.normal(0, 1, (700, 6)))
+    vectors[100:400:7] = vectors[3]                      # ties
+    asked = np.vstack([vectors[:20], similarity._unit(rng.normal(0, 1, (20, 6)))])
+    ids = np.sort(rng.permutation(2000)[:700])
+    ids[10] = ids[9]                                     # an id that comes twice
+    own = np.concatenate([ids[:20], np.arange(5000, 5020)])
+    real = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *p, **q: real(a, *p, **q) if np.ndim(a) == 1 else pytest.fail("rows are sorted"))
+    pd = __import__("pandas")
+    got = similarity._compare(k)(None, pd.DataFrame({"id": own, "vetor": list(asked)}), pd.DataFrame({"id": ids, "vetor": list(vectors)}))
+    want = []
+    for q, v in zip(own, asked):
+        sims = np.round(vectors @ v, 12)
+        want += [(q, ids[j]) for j in sorted(np.nonzero(ids != q)[0], key=lambda j: (-sims[j], j))[:k]]
+    assert list(zip(got["caso_id"], got["vizinho_id"])) == want
