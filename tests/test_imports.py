@@ -267,3 +267,15 @@ def test_large_sheets_are_read_as_a_stream(spark, monkeypatch):
     whole = list(workbook._read("p", content))
     monkeypatch.setattr(workbook, "_SMALL_SHEET", 0)
     assert list(workbook._read("p", content)) == whole and len(whole) == 10
+
+
+def test_statements_are_parsed_once_for_the_numbers(spark, ledger, monkeypatch):
+    """Rows that get ids are read twice, so they are written down first."""
+    root, _ = ledger
+    c = cells(spark, {f"/{FOLDER}/21-07-2026_A.xlsx": xlsx({"F": SHEET})}).checkpoint()
+    plans, real = [], ingest.assign_ids
+    monkeypatch.setattr(ingest, "assign_ids", lambda rows, *more: plans.append(rows._jdf.queryExecution().analyzed().toString()) or real(rows, *more))
+    ingest.import_movements(root, c, [DIA])
+    ingest.import_balances(root, c)
+    ingest.refresh_balances(root, c, DIA)
+    assert len(plans) == 3 and not any("Aggregate" in p or "Join" in p for p in plans)
