@@ -41,3 +41,11 @@ def test_balances_are_told_by_file(spark, monkeypatch):
     assert calls == ["closings"] * 2
     assert sorted((r.dia, r.entidade, int(r.saldo_contabilistico)) for r in schema.read_table(spark, root, "saldos").collect()) == [
         (d, name, 5 * n) for d in DAYS for n, name in enumerate("AB", 1)]
+
+
+def test_one_import_reads_balances_once(spark, monkeypatch):
+    calls, root, cells = counted(monkeypatch, "closings", "raw_movements"), ledger(spark), workbook.cells(files(spark))
+    report, errors = ingest.import_cells(root, cells, None, DAYS, date(2026, 7, 23))
+    assert sorted(calls) == ["closings", "raw_movements"]
+    assert sorted(map(tuple, report.collect())) == [(DAYS[0], "movimentos", 4), (DAYS[0], "saldos", 2), (DAYS[1], "movimentos", 4), (
+        DAYS[1], "saldos", 2)] and errors.count() == 0
