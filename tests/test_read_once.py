@@ -49,3 +49,10 @@ def test_one_import_reads_balances_once(spark, monkeypatch):
     assert sorted(calls) == ["closings", "raw_movements"]
     assert sorted(map(tuple, report.collect())) == [(DAYS[0], "movimentos", 4), (DAYS[0], "saldos", 2), (DAYS[1], "movimentos", 4), (
         DAYS[1], "saldos", 2)] and errors.count() == 0
+
+
+def test_a_batch_of_the_stream_parses_statements_once(spark, monkeypatch):
+    calls, root = counted(monkeypatch, "raw_movements"), ledger(spark)
+    imports.import_batch(root, files(spark), 0)
+    assert calls == ["raw_movements"]
+    assert schema.read_table(spark, root, "movimentos").select("id").distinct().count() == 8
